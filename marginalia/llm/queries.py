@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op08_tokens
+from . import op08_tokens, op10_decontaminate
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -15,7 +15,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op10_decontaminate_benchmark": op10_decontaminate_benchmark,
     "op8_token_counts": op8_token_counts,
 }
 
