@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op04_fingerprint, op08_tokens, op10_decontaminate
+from . import op02_quality, op04_fingerprint, op08_tokens, op10_decontaminate
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op02_quality.scores(docs, op02_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,7 @@ def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_fingerprints": op4_fingerprints,
     "op10_decontaminate_benchmark": op10_decontaminate_benchmark,
     "op8_token_counts": op8_token_counts,
