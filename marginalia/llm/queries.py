@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_quality, op04_fingerprint, op08_tokens, op10_decontaminate
+from . import op02_quality, op03_packing, op04_fingerprint, op08_tokens, op10_decontaminate
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_quality.scores(docs, op02_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_fingerprints": op4_fingerprints,
     "op10_decontaminate_benchmark": op10_decontaminate_benchmark,
