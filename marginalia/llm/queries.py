@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_quality, op03_packing, op04_fingerprint, op08_tokens, op10_decontaminate
+from . import op01_minhash, op02_quality, op03_packing, op04_fingerprint, op08_tokens, op10_decontaminate
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return op02_quality.scores(docs, op02_quality.train(docs, table(spark, sf_dir, "labels")))
@@ -33,6 +37,7 @@ def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op3_packing": op3_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_fingerprints": op4_fingerprints,
