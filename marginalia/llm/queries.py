@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_minhash, op02_quality, op03_packing, op04_fingerprint, op08_tokens, op10_decontaminate
+from . import op01_minhash, op02_quality, op03_packing, op04_fingerprint, op06_pii, op08_tokens, op10_decontaminate
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -37,6 +41,7 @@ def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_personal_data": op6_personal_data,
     "op1_near_duplicates": op1_near_duplicates,
     "op3_packing": op3_packing,
     "op2_quality_classifier": op2_quality_classifier,
