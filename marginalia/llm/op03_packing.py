@@ -22,8 +22,12 @@ empty table gives no pieces. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import sys
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,53 +36,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, texts
-from .op08_tokens import LONG, merger
+from .op08_tokens import SPLIT, byte_symbols, merger
 
 LIMIT, END_ID = 2048, 1
-#: Tokens of remainders in a group; known chunks of text that a worker remembers.
-GROUP_TOKENS, REMEMBER = 1 << 21, 400_000
+#: Tokens of remainders in a group.
+GROUP_TOKENS = 1 << 21
+#: Characters on which regular expression engines may disagree about white space, and long runs.
+ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]|\\s{4000}|\\S{100000}")
 
 
-class Ids(dict):
-    """Ids (four bytes each, little-endian) by chunk of text between single blanks.
+class Ids:
+    """Ids of texts (four bytes each, little-endian) as the tokenizers library gives them.
 
-    Pre-tokens don't cross a blank that is followed by neither white space nor a special
-    string, so a text without such places is encoded chunk by chunk (each with the blank
-    before it), and any other text as a whole."""
+    Where the vocabulary file is a plain byte-level one whose ids follow its merge ranks,
+    tiktoken's faster merges run over that file's own vocabulary and give the same ids;
+    texts it can't take, and other vocabularies, go through the library itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.specials = tuple(merger(path).specials)
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, rows: list[str]) -> list[bytes]:
-        if len(self) > REMEMBER:
-            self.clear()
-        cut = [t.split(" ") for t in rows]
-        new = list(set().union(*(c[1:] for c in cut)).difference(self))
-        good = [c for c in new if c and not c[0].isspace() and c[0] not in "\x85​﻿" and not c.startswith(self.specials)]
-        self.update(dict.fromkeys(new))
-        self.update(zip(good, self.raw([" " + c for c in good]), strict=True))
-        heads = self.raw([c[0] for c in cut])
-        out, whole = [], []
-        for i, c in enumerate(cut):
-            got = [self[x] for x in c[1:]]
-            if None in got:
-                whole.append(i)
-                out.append(b"")
-            else:
-                out.append(heads[i] + b"".join(got))
-        for i, ids in zip(whole, self.raw([rows[i] for i in whole]), strict=True):
-            out[i] = ids
-        for c in [c for c in new if len(c) > LONG]:
-            del self[c]
-        return out
+        self.by = merger(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        back = {s: b for b, s in byte_symbols().items()}
+        own = {k: v for k, v in spec["model"]["vocab"].items() if k not in self.by.specials}
+        plain = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and spec["normalizer"] is None
+        plain = plain and bool((np.diff(self.by.made) > 0).all()) and int(self.by.made[0]) == len(back)
+        ranks = {bytes(map(back.__getitem__, k)): v for k, v in own.items()} if plain else {}
+        self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if plain else None
+
+    def slow(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: str) -> bytes:
+        cut = self.by.cut
+        if self.fast is None or ODD.search(text):
+            ids = self.slow(text)
+        else:
+            try:
+                if cut is None or not cut.search(text):
+                    ids = self.fast.encode_ordinary(text)
+                else:
+                    ids, at = [], 0
+                    for m in cut.finditer(text):
+                        ids += [*self.fast.encode_ordinary(text[at : m.start()]), self.by.specials[m[0]]]
+                        at = m.end()
+                    ids += self.fast.encode_ordinary(text[at:])
+            except ValueError:  # its pattern gives up on very long runs of white space
+                ids = self.slow(text)
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
 
 def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
@@ -93,8 +102,8 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, limit:
             rows = texts(batch)
             for at in range(0, len(rows), 500):
                 out: dict = {k: [] for k in ("tokens", "whole", "rest", "rest_crc", "rest_ids")}
-                for ids in known.encode(rows[at : at + 500]):
-                    raw = memoryview(ids + end)
+                for text in rows[at : at + 500]:
+                    raw = memoryview(known.encode(text) + end)
                     n, step = len(raw) // 4, limit * 4
                     full = n // limit
                     rest = raw[full * step :]
@@ -147,7 +156,7 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, limit: int) -> tuple[float,
     return float(best[limit]), pattern
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, limit: int, gap: float = 2e-3, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+def patterns(sizes: np.ndarray, demand: np.ndarray, limit: int, gap: float = 5e-3, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, how often each is used) of the linear relaxation, within gap of its bound."""
     m = len(sizes)
     basis = np.diag(limit // sizes).astype(np.float64)  # a column for each pattern

@@ -75,3 +75,11 @@ def test_linear_programme(seed):
     # No pattern can improve on the duals: the relaxation is solved.
     price = np.linalg.inv(found.T.astype(float)).sum(axis=0)
     assert op.knapsack(sizes, price, 100)[0] <= 1 + 1e-6
+
+
+def test_ids_equal_the_library():
+    r = random.Random(6)
+    known = op.Ids(PATH)
+    odd = ["", "\x1c \x1d\x85 x", " 　 ​a", "a" * 5000, " " * 9000 + "x", "\n" * 5000, "x" * 120_000, "<|endoftext|><|endoftext|> x", "don't I'LL 're's", "²½Ⅷ١٢ 한국어 🙂👍🏽"]
+    for t in [*odd, *("".join(chr(r.choice([r.randrange(32, 600), r.randrange(0x2000, 0x3100), 32, 10, 9, 97, 0x4E2D])) for _ in range(60)) for _ in range(2000))]:
+        assert known.encode(t) == np.array(known.slow(t), dtype="<u4").tobytes(), t[:80]
