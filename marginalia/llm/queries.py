@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_minhash, op02_quality, op03_packing, op04_fingerprint, op06_pii, op08_tokens, op10_decontaminate
+from . import op01_minhash, op02_quality, op03_packing, op04_fingerprint, op05_urls, op06_pii, op07_licence, op08_tokens, op09_chat, op10_decontaminate
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -32,6 +32,18 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_pii.find(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_licence.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -41,13 +53,20 @@ def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op6_personal_data": op6_personal_data,
     "op1_near_duplicates": op1_near_duplicates,
-    "op3_packing": op3_packing,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
-    "op10_decontaminate_benchmark": op10_decontaminate_benchmark,
+    "op5_url_filter": op5_url_filter,
+    "op6_personal_data": op6_personal_data,
+    "op7_licence_scan": op7_licence_scan,
     "op8_token_counts": op8_token_counts,
+    "op9_chat_rotation": op9_chat_rotation,
+    "op10_decontaminate_benchmark": op10_decontaminate_benchmark,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others need models, graphs or library calls that SQL can't express; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op7_licence_scan": op07_licence.oracle(),
+    "op9_chat_rotation": op09_chat.ORACLE,
+}
