@@ -1,8 +1,59 @@
-"""The corpus pipeline; its stages are added as their operators are finished."""
+"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's documents. All but the last keep the columns
+of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from marginalia.llm import op01_minhash, op02_quality, op03_packing, op06_pii, op10_decontaminate
+from marginalia.llm.common import materialise, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. It learns from all labelled documents but the held-out ones."""
+    model = op02_quality.train(docs, table(spark, sf_dir, "labels"))
+    return op02_quality.keep_good(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one with the lowest id."""
+    return op01_minhash.firsts(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of benchmark items; the documents stay."""
+    return op10_decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data masked."""
+    return op06_pii.redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return op03_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("personal data", personal_data),
+    ("packing", packing),
+]
+
+#: Models and library calls have no SQL form; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
