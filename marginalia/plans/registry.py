@@ -1,13 +1,24 @@
 """Registry of the queries outside the optional subpackage."""
 
+from __future__ import annotations
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries():
-    return {}
+from . import language
 
+_MODULES = (language,)
 
-def oracle_sql():
-    return {}
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readability of the English documents."""
+    return language.readability(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
