@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language
+from . import language, style
 
-_MODULES = (language,)
+_MODULES = (language, style)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
