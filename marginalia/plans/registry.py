@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, style
+from . import language, records, style
 
-_MODULES = (language, style)
+_MODULES = (language, style, records)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
