@@ -87,3 +87,33 @@ QUANTITY_WORDS = """torque pressure voltage current resistance power frequency t
 weight mass length width height depth diameter radius thickness clearance gap tolerance
 capacity volume flow duration delay timeout interval range altitude distance load force angle
 offset margin rating output input supply drop rise limit setting""".split()
+
+MONTHS = "january february march april may june july august september october november december".split()
+
+MATERIALS = """bronze steel iron wooden wood oak ash copper brass silver gold golden aluminium aluminum tin
+lead nickel titanium plastic glass leather stone granite marble ceramic rubber carbon composite
+alloy canvas linen silk wool cotton paper clay""".split()
+COLOURS = """black white red green blue yellow brown grey gray purple orange pink crimson scarlet amber
+auburn blonde blond chestnut hazel violet ivory""".split()
+SIZES = """small large big huge tiny enormous vast narrow wide tall short thick thin slender massive
+immense compact miniature""".split()
+AGES = "old new young ancient elderly modern antique aged brand-new newborn middle-aged venerable".split()
+KIN = "brother sister mother father son daughter wife husband cousin uncle aunt partner".split()
+
+CALENDAR = [*WEEKDAYS, *MONTHS, "christmas", "easter", "midsummer", "michaelmas", "lent", "advent"]
+#: What stands before a date and not before a person.
+DATE_BEFORE = """in on of since until till by last next early late mid every this that each from through
+during before after come one a the""".split()
+
+NICKNAMES = {
+    "aleksandr": "alexander alex sasha sacha aleksei", "alexander": "aleksandr alex sasha xander", "elizabeth": "eliza liz beth betty libby lisbeth",
+    "katherine": "kate katie kathy kitty cat catherine", "margaret": "maggie meg peggy greta rita", "william": "will bill billy liam", "richard": "rick dick richie",
+    "robert": "rob bob bobby bert", "james": "jim jimmy jamie", "john": "jack johnny jon", "michael": "mike mick mikey micha", "nicholas": "nick nico niko colin",
+    "theodore": "theo ted teddy", "victoria": "vicky vic tori", "dmitri": "dima mitya dmitry", "yekaterina": "katya katerina katia",
+}
+
+SECTION_NAMES = [
+    "verse", "chorus", "pre-chorus", "prechorus", "post-chorus", "refrain", "bridge", "intro", "outro", "hook", "coda", "interlude", "breakdown", "instrumental", "solo", "tag",
+    "drop", "rap", "spoken", "middle eight", "middle 8", "final chorus", "outro chorus", "vamp", "turnaround", "pre chorus", "post chorus", "guitar solo", "fade out", "fade in",
+    "build", "build up", "break", "spoken word", "end", "instrumental break", "chant", "choir",
+]
