@@ -164,7 +164,7 @@ ORACLES = {
                           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events)
         SELECT user_id, event_type, min(rn) AS first, max(rn) AS last, count(*) AS n FROM r GROUP BY user_id, event_type, g HAVING count(*) >= 3""",
     "timeline_order_reversals": """
-        SELECT * FROM (SELECT user_id, event_id, epoch_us(ts) AS at, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE at < before""",
+        SELECT * FROM (SELECT user_id, event_id, epoch_us(ts) AS "at", lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE "at" < before""",
     "order_gaps": """
         WITH d AS (SELECT DISTINCT user_id, date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS after FROM events),
         l AS (SELECT *, lead(after) OVER (PARTITION BY user_id ORDER BY after) AS before FROM d)
