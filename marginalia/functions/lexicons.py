@@ -117,3 +117,16 @@ SECTION_NAMES = [
     "drop", "rap", "spoken", "middle eight", "middle 8", "final chorus", "outro chorus", "vamp", "turnaround", "pre chorus", "post chorus", "guitar solo", "fade out", "fade in",
     "build", "build up", "break", "spoken word", "end", "instrumental break", "chant", "choir",
 ]
+
+#: Voice types and their families; families that may stand for each other.
+VOICES = {
+    "soprano": "soprano", "mezzo": "mezzo", "mezzo-soprano": "mezzo", "mezzosoprano": "mezzo", "contralto": "contralto", "alto": "contralto", "countertenor": "countertenor", "tenor": "tenor",
+    "heldentenor": "tenor", "baritenor": "baritenor", "baritone": "baritone", "bass-baritone": "bass-baritone", "bassbaritone": "bass-baritone", "bass": "bass", "treble": "treble",
+}
+VOICE_NEIGHBOURS = [("tenor", "baritenor"), ("baritone", "baritenor"), ("baritone", "bass-baritone"), ("bass", "bass-baritone"), ("mezzo", "soprano"), ("mezzo", "contralto")]
+#: Words that make a voice type an instrument, after it and before it, and those that keep it a voice.
+INSTRUMENT_AFTER = """sax saxes saxophone saxophones drop drops line lines guitar guitars drum drums synth synths clarinet
+recorder trombone horn horns flute ukulele boost heavy riff riffs groove pedal pedals player section hits hit wobble
+kick note notes""".split()
+INSTRUMENT_BEFORE = "808 sub slap synth upright electric double fretless acid deep booming".split()
+VOICE_NOUNS = "voice voiced vocal vocals singer register range timbre lead line-up".split()

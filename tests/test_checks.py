@@ -103,3 +103,15 @@ def test_lyrics(spark):
     assert lyrics.misaligned(ln).count() == 0
     assert lyrics.uneven_lines(ln).count() >= 0
     assert lyrics.odd_schemes(lyrics.schemes(ln)).count() == 0
+
+
+def test_song_tags(spark):
+    text = "> a style\n[Vrese 1]\n[Chorus: Mara, dark tenor]\nline (echo) one\n[Bridge: Mara over a bass drop]\n[Verse: Tom and Mara]\n[Outro: Ann, soprano]\nend"
+    songs = spark.createDataFrame([("s", text)], "song string, text string")
+    cast, record = ["Mara", "Tom", "Ann"], {"mara": "low baritenor", "Ann": "bass voice"}
+    got = {(r.inner[:6], r.name, r.severity) for r in lyrics.broken_voices(songs, cast, record).collect()}
+    assert got == {("Bridge", "Mara", "warn"), ("Verse:", "Tom", "note"), ("Verse:", "Mara", "warn"), ("Outro:", "Ann", "defect")}
+    assert [(r.tag, r.guess) for r in lyrics.misspelt_tags(songs).collect()] == [("vrese", "verse")]
+    r = lyrics.format_limits(songs, body=20, style=3).first()
+    assert r.long_body and r.long_style and r.brackets == 1
+    assert {tuple(r.singers) for r in lyrics.sung_by(songs, cast).collect() if len(r.singers) > 1} == {("Mara", "Tom")}
