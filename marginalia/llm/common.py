@@ -5,14 +5,32 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application: they may
+    have neither the driver's working directory nor its search path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_marginalia_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    made = Path(tempfile.mkdtemp(prefix="marginalia-")).resolve() / "marginalia_package.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(made))
+    sc._marginalia_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +48,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that later stages start
     from files that survive the loss of executors. Removed when the driver ends."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
@@ -49,6 +68,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
     """Run make()(batch) over Arrow batches; each result is a dict of columns."""
+    ship(df.sparkSession)
     target = F.from_json(F.lit("{}"), schema)  # parses the DDL in the JVM only
     struct = df.sparkSession.range(0).select(target.alias("x")).schema["x"].dataType
     from pyspark.sql.pandas.types import to_arrow_schema

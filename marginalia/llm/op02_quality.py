@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import map_batches, ship, texts
 
 SAMPLE, PAIRS, BINS, STEPS = 20_000, 60_000, 10, 250
 ACCEPT = 0.7
@@ -185,6 +185,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The accepted rows of docs, with their columns."""
 
+    ship(docs.sparkSession)
+
     def keep(batches):
         for batch in batches:
             rows = texts(batch, text_col)

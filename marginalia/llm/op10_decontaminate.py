@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 WINDOW = 10
 #: Words of a document cut at a time; symbols and documents of a shard; windows of a block.
 SLICE, SHARD, SHARD_DOCS, BLOCK = 1 << 20, 1 << 20, 4000, 200_000
@@ -263,6 +265,7 @@ _OURS = ("_n_words", "_starts", "_ends", "_items")
 def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BLOCK) -> DataFrame:
     """docs with _n_words, merged spans of hit words (_starts, _ends) and _items."""
     spark = docs.sparkSession
+    ship(spark)
     for c, kind in zip(_OURS, ("long", "array<long>", "array<long>", "array<long>"), strict=True):
         docs = docs.withColumn(c, F.lit(0).cast(kind) if kind == "long" else F.array().cast(kind))
     for block in list(blocks(items, item_id, item_text, limit)) or [Windows([])]:
