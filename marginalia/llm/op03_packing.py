@@ -42,7 +42,7 @@ LIMIT, END_ID = 2048, 1
 #: Tokens of remainders in a group.
 GROUP_TOKENS = 1 << 21
 #: Characters on which regular expression engines may disagree about white space, and long runs.
-ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]|\\s{4000}|\\S{100000}")
+ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]|(?<!\\s)\\s{4000}|(?<!\\S)\\S{20000}")
 
 
 class Ids:
