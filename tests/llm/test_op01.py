@@ -120,3 +120,12 @@ def test_empty_and_null(spark):
     assert [(r.doc_id, r.class_id, r.class_size) for r in got[:2]] == [(4, 4, 2), (9, 9, 1)]
     assert op.firsts(docs).count() == 3
     assert op.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_sketches_agree_as_often_as_sets_are_alike():
+    r = np.random.default_rng(4)
+    h = op.mixed(r.integers(0, 2**63, 900).astype(np.uint64))
+    rows = [np.sort(h[:700]), np.sort(h[100:]), np.sort(h[:20]), h[:0]]
+    fine = np.array([np.frombuffer(op.sketch(x), dtype=np.uint8) for x in rows])
+    near = op.agreement(fine, np.array([0, 0, 2, 3]), np.array([1, 0, 2, 3]))
+    assert abs(near[0] - 600 / 900) < 0.1 and near[1] == near[2] == 1 and near[3] == 0
