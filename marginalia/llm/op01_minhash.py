@@ -22,9 +22,9 @@ the most central text of its largest bucket, so that chunks meet; the pairs are
 by the weighted Jaccard similarity of the whole texts, and the texts linked so far form
 classes, found by spreading the lowest key with shortcuts. Two more rounds pair each text
 with its likeliest partners in other classes, and the last one verifies every likely
-pair of a chunk that still stands in two classes; there a finer sketch of the shingles
-must agree too. So a text has few pairs however large its group is, and no likely pair of
-a chunk is left out that could join two classes.
+pair of a chunk that still stands in two classes, unless the weights summed by bins of
+the shingles' hashes prove it below the threshold. So a text has few pairs however large
+its group is, and no likely pair of a chunk is left out that could join two classes.
 
 Null text is empty; texts without words are equal to each other. Repeated rows and ties
 join one class, named by its lowest doc_id (null ids come last). Very long texts are
@@ -52,9 +52,8 @@ TABLE = 1 << 16
 CHUNK = 512
 #: Pairs whose samples agree less often are not verified: over three deviations below the threshold.
 LIKELY = 0.58
-#: Bins of the finer sketch of a text's shingles, and the agreement below which a likely pair
-#: is not verified: over three deviations of the sketch, with room for the weights.
-BINS, FINE = 256, 0.70
+#: Bins of a text's outline.
+BINS = 256
 #: Shingles hashed at a time; bytes of a text cut into words at a time.
 PART, SLICE = 1 << 16, 1 << 22
 
@@ -167,6 +166,26 @@ def agreement(fine: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def outline(h: np.ndarray, w: np.ndarray) -> bytes:
+    """The total weight (8 bytes) and the weight in each bin of the hashes, rounded up to 16 bits."""
+    sums = np.bincount((h >> np.uint64(56)).astype(np.int64), w, BINS)
+    with np.errstate(over="ignore"):
+        up = sums.astype("<f2")
+        up = np.where(up.astype(np.float64) < sums, np.nextafter(up, np.float16(np.inf)), up)
+    return np.array([w.sum()], dtype="<f8").tobytes() + up.astype("<f2").tobytes()
+
+
+def possible(total: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether pairs of rows can reach the threshold. Two texts share no more weight in a bin
+    than the lighter one has there, so a pair that is refused is below it for certain."""
+    out = np.zeros(len(a), dtype=bool)
+    for at in range(0, len(a), 8_000):
+        x, y = a[at : at + 8_000], b[at : at + 8_000]
+        low = np.minimum(bins[x], bins[y]).sum(axis=1, dtype=np.float64)
+        out[at : at + 8_000] = low * (1 + threshold) >= threshold * (total[x] + total[y]) * (1 - 1e-6)
+    return out
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard: summed minima over summed maxima. Two empty sets are equal."""
     total = a[1].sum() + b[1].sum()
@@ -205,7 +224,7 @@ def idf_table(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
-    """id, row and text keys, bands, samples (16 bits of each), sketch of every document."""
+    """id, row and text keys, bands, samples (16 bits of each), outline of every document."""
     k = BANDS * ROWS
 
     def make():
@@ -228,7 +247,7 @@ def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
                     "key": keys,
                     "bands": [b.tolist() if len(s[0]) else [] for b, s in zip(bands.view(np.int64), sets, strict=True)],
                     "drawn": [d.tobytes() for d in (drawn & np.uint32(0xFFFF)).astype("<u2")],
-                    "fine": [sketch(x[0]) for x in sets],
+                    "fine": [outline(*x) for x in sets],
                 }
 
         return work
@@ -264,7 +283,7 @@ def partners(keys: list[bytes], drawn: np.ndarray) -> list[tuple]:
     return [*out, (keys[centre], keys[centre], float(len(keys)), True)]
 
 
-def across(keys: list[bytes], drawn: np.ndarray, fine: np.ndarray, classes: list[bytes], most: int | None) -> list[tuple]:
+def across(keys: list[bytes], drawn: np.ndarray, fine: list[bytes], classes: list[bytes], most: int | None, threshold: float) -> list[tuple]:
     """The likely pairs of two classes; with `most`, each text's likeliest ones."""
     if len(set(classes)) < 2:
         return []
@@ -276,12 +295,14 @@ def across(keys: list[bytes], drawn: np.ndarray, fine: np.ndarray, classes: list
         a, b = a[likely], b[likely]
     else:
         a, b = np.nonzero(np.triu(near >= LIKELY))
-    ok = agreement(fine, a, b) >= FINE
+    total = np.array([np.frombuffer(x, dtype="<f8", count=1)[0] for x in fine])
+    bins = np.array([np.frombuffer(x, dtype="<f2", offset=8) for x in fine], dtype=np.float32)
+    ok = possible(total, bins, a, b, threshold)
     a, b = a[ok], b[ok]
     return [(keys[i], keys[j], 1.0, False) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def by_chunk(members: DataFrame, second: bool, most: int | None = None) -> DataFrame:
+def by_chunk(members: DataFrame, second: bool, most: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """members: band, chunk, key, drawn, class; the rows of a chunk come one after another."""
 
     def run(batches):
@@ -294,8 +315,7 @@ def by_chunk(members: DataFrame, second: bool, most: int | None = None) -> DataF
             drawn = np.frombuffer(b"".join(x[1] for x in held), dtype="<u2").reshape(len(held), -1)
             keys = [x[0] for x in held]
             if second:
-                fine = np.frombuffer(b"".join(x[3] for x in held), dtype=np.uint8).reshape(len(held), -1)
-                found = across(keys, drawn, fine, [x[2] for x in held], most)
+                found = across(keys, drawn, [x[3] for x in held], [x[2] for x in held], most, threshold)
             else:
                 found = partners(keys, drawn)
             return [(last[0], *f) for f in found]
@@ -410,7 +430,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     label = components(links)
     for most in (3, 3, None):
         known = members.join(label, "key", "left").withColumn("class", F.coalesce("class", "key"))
-        fresh = materialise(ordered(by_chunk(known, True, most), "key", "partner").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        fresh = materialise(ordered(by_chunk(known, True, most, threshold), "key", "partner").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = materialise(verified(fresh, whole, idf, threshold), "links")
         tested = tested.union(fresh)
         if not more.isEmpty():

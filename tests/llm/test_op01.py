@@ -129,3 +129,31 @@ def test_sketches_agree_as_often_as_sets_are_alike():
     fine = np.array([np.frombuffer(op.sketch(x), dtype=np.uint8) for x in rows])
     near = op.agreement(fine, np.array([0, 0, 2, 3]), np.array([1, 0, 2, 3]))
     assert abs(near[0] - 600 / 900) < 0.1 and near[1] == near[2] == 1 and near[3] == 0
+
+
+def test_repeated_lines_are_not_refused(spark):
+    """Alike by weight but not by distinct shingles, with the likeliest partner elsewhere."""
+    line, own = [f"l{i}" for i in range(10)], [f"u{i}" for i in range(40)]
+    edit = [f"e{i}" if i % 9 == 4 else w for i, w in enumerate(own)]
+    idf = np.ones(op.TABLE)
+    known = op.WordHashes()
+    a, b = (op.weighted(op.word_hashes(" ".join(line * 30 + x), known), idf) for x in (own, edit))
+    assert op.similarity(a, b) > 0.8 and len(np.intersect1d(a[0], b[0])) / len(np.union1d(a[0], b[0])) < 0.6
+    drawn = np.zeros((2, 36), dtype="<u2")
+    assert len(op.across([b"a", b"b"], drawn, [op.outline(*a), op.outline(*b)], [b"x", b"y"], None, 0.8)) == 1
+
+
+def test_no_pair_at_the_threshold_is_refused():
+    r = np.random.default_rng(6)
+    h = np.sort(r.integers(0, 2**63, 3000).astype(np.uint64) << np.uint64(1))
+    sets = []
+    for _ in range(60):
+        keep = r.random(3000) < r.choice([0.05, 0.9, 0.99])
+        sets.append((h[keep], np.exp(r.normal(0, 2, keep.sum())) if r.random() < 0.1 else np.where(np.arange(3000) % 50 == 0, 70_000.0, 1.0)[keep]))
+    fine = [op.outline(*x) for x in sets]
+    total = np.array([np.frombuffer(x, dtype="<f8", count=1)[0] for x in fine])
+    bins = np.array([np.frombuffer(x, dtype="<f2", offset=8) for x in fine], dtype=np.float32)
+    a, b = np.triu_indices(60, 1)
+    may = op.possible(total, bins, a, b, 0.8)
+    near = np.array([op.similarity(sets[i], sets[j]) for i, j in zip(a, b, strict=True)])
+    assert may[near >= 0.8].all() and (near >= 0.8).any() and not may.all()
