@@ -20,11 +20,13 @@ chunks of bounded size; within a chunk all pairs are estimated by their samples.
 first round each text is paired with its likeliest partner of all its chunks and with
 the most central text of its largest bucket, so that chunks meet; the pairs are verified
 by the weighted Jaccard similarity of the whole texts, and the texts linked so far form
-classes, found by spreading the lowest key with shortcuts. Two more rounds pair each text
-with its likeliest partners in other classes, and the last one verifies every likely
-pair of a chunk that still stands in two classes, unless the weights summed by bins of
-the shingles' hashes prove it below the threshold. So a text has few pairs however large
-its group is, and no likely pair of a chunk is left out that could join two classes.
+classes, found by spreading the lowest key with shortcuts. A second round pairs each text
+with its likeliest partners in other classes. The last two take the buckets that still
+hold two classes whole, every two chunks a task: the third round pairs each class with its
+likeliest partner there, and the last one verifies every likely pair that still stands in
+two classes, unless the weights summed by bins of the shingles' hashes prove it below the
+threshold. So a text has few pairs however large its group is, and no likely pair of a
+bucket is left out that could join two classes.
 
 Null text is empty; texts without words are equal to each other. Repeated rows and ties
 join one class, named by its lowest doc_id (null ids come last). Very long texts are
@@ -283,27 +285,42 @@ def partners(keys: list[bytes], drawn: np.ndarray) -> list[tuple]:
     return [*out, (keys[centre], keys[centre], float(len(keys)), True)]
 
 
-def across(keys: list[bytes], drawn: np.ndarray, fine: list[bytes], classes: list[bytes], most: int | None, threshold: float) -> list[tuple]:
-    """The likely pairs of two classes; with `most`, each text's likeliest ones."""
+def across(keys: list[bytes], drawn: np.ndarray, fine: list[bytes], classes: list[bytes], most: int | None, threshold: float, sides: list[int] = (), shared: np.ndarray | None = None, each: bool = False) -> list[tuple]:
+    """The likely pairs of two classes; with `most`, each text's likeliest ones, with `each`
+    the likeliest of each class. Rows of two sides pair across only; `shared` has each row's
+    bands and this one, and a pair counts in the first band that it shares."""
     if len(set(classes)) < 2:
         return []
     own = np.unique(np.array([c.hex() for c in classes]), return_inverse=True)[1]
     near = estimated(drawn) * (own[:, None] != own[None, :])
+    if len(set(sides)) > 1:
+        side = np.array(sides)
+        near *= side[:, None] != side[None, :]
     if most is not None and most < len(keys):
         a, b = np.repeat(np.arange(len(keys)), most), np.argpartition(-near, most - 1, axis=1)[:, :most].ravel()
         likely = near[a, b] >= LIKELY
         a, b = a[likely], b[likely]
     else:
         a, b = np.nonzero(np.triu(near >= LIKELY))
+    if shared is not None and len(a):
+        bands, this = shared
+        first = np.concatenate([(bands[a[at : at + 50_000]] == bands[b[at : at + 50_000]]).argmax(axis=1) for at in range(0, len(a), 50_000)])
+        a, b = a[bands[a, first] == this], b[bands[a, first] == this]
     total = np.array([np.frombuffer(x, dtype="<f8", count=1)[0] for x in fine])
     bins = np.array([np.frombuffer(x, dtype="<f2", offset=8) for x in fine], dtype=np.float32)
     ok = possible(total, bins, a, b, threshold)
     a, b = a[ok], b[ok]
+    if each:
+        order = np.argsort(-near[a, b], kind="stable")
+        a, b = a[order], b[order]
+        best = np.union1d(np.unique(own[a], return_index=True)[1], np.unique(own[b], return_index=True)[1])
+        a, b = a[best], b[best]
     return [(keys[i], keys[j], 1.0, False) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def by_chunk(members: DataFrame, second: bool, most: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """members: band, chunk, key, drawn, class; the rows of a chunk come one after another."""
+def by_chunk(members: DataFrame, second: bool, most: int | None = None, threshold: float = THRESHOLD, whole: bool = False, each: bool = False) -> DataFrame:
+    """members: band, chunk, key, drawn, class; the rows of a task come one after another.
+    A task is a chunk, or with `whole` every two chunks of a bucket."""
 
     def run(batches):
         held: list[list] = []
@@ -314,7 +331,9 @@ def by_chunk(members: DataFrame, second: bool, most: int | None = None, threshol
                 return None
             drawn = np.frombuffer(b"".join(x[1] for x in held), dtype="<u2").reshape(len(held), -1)
             keys = [x[0] for x in held]
-            if second:
+            if whole:
+                found = across(keys, drawn, [x[3] for x in held], [x[2] for x in held], most, threshold, [x[4] for x in held], (np.array([x[5] for x in held]), last[0]), each)
+            elif second:
                 found = across(keys, drawn, [x[3] for x in held], [x[2] for x in held], most, threshold)
             else:
                 found = partners(keys, drawn)
@@ -322,14 +341,14 @@ def by_chunk(members: DataFrame, second: bool, most: int | None = None, threshol
 
         out: list[tuple] = []
         for batch in batches:
-            for band, chunk, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (band, chunk) != last:
+            for band, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, low, high) != last:
                     out += flush() or []
-                    held, last = [], (band, chunk)
+                    held, last = [], (band, low, high)
+                    if len(out) > 10_000:
+                        yield rows(out)
+                        out = []
                 held.append(row)
-            if len(out) > 10_000:
-                yield rows(out)
-                out = []
         out += flush() or []
         yield rows(out)
 
@@ -338,10 +357,18 @@ def by_chunk(members: DataFrame, second: bool, most: int | None = None, threshol
     def rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], type=t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
-    dealt = members.select("band", "chunk", "key", "drawn", "class", *["fine"] * second).repartition("band", "chunk").sortWithinPartitions("band", "chunk", "key")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)) if whole else F.col("chunk")
+    dealt = members.withColumn("other", other).select("band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "key", "drawn", "class", *["fine"] * second, *["chunk", "bands"] * whole)
+    dealt = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "key")
     return dealt.mapInArrow(run, "band bigint, key binary, partner binary, near double, centre boolean")
 
 
+def divided(members: DataFrame) -> DataFrame:
+    """The members of the buckets that hold more than one class."""
+    kept = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
+    return members.join(kept, "band", "left_semi")
+
+
 def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
@@ -421,16 +448,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # Of equal texts one counts: the copies of a band's rows are dropped before any grouping.
     bands = signed.select("key", F.explode("bands").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    drawn = signed.groupBy("key").agg(F.min(F.struct("drawn", "fine")).alias("s")).select("key", "s.drawn", "s.fine")
-    chunk = F.pmod(F.xxhash64("key", "band"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
-    members = materialise(bands.join(shared, "band").select("band", "key", chunk, "n").join(drawn, "key"), "members")
+    drawn = signed.groupBy("key").agg(F.min(F.struct("drawn", "fine", "bands")).alias("s")).select("key", "s.drawn", "s.fine", "s.bands")
+    chunks = F.ceil(F.col("n") / CHUNK)
+    chunk = F.pmod(F.xxhash64("key", "band"), chunks).alias("chunk")
+    members = materialise(bands.join(shared, "band").select("band", "key", chunk, chunks.alias("chunks"), "n").join(drawn, "key"), "members")
     whole = materialise(whole_texts(docs, signed, members, id_col, text_col), "texts")
     tested = materialise(first_pairs(members), "pairs")
     links = materialise(verified(tested, whole, idf, threshold), "links")
     label = components(links)
-    for most in (3, 3, None):
+    for most, over, each in ((3, False, False), (None, True, True), (None, True, False)):
         known = members.join(label, "key", "left").withColumn("class", F.coalesce("class", "key"))
-        fresh = materialise(ordered(by_chunk(known, True, most, threshold), "key", "partner").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = by_chunk(divided(known), True, most, threshold, over, each)
+        fresh = materialise(ordered(found, "key", "partner").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = materialise(verified(fresh, whole, idf, threshold), "links")
         tested = tested.union(fresh)
         if not more.isEmpty():

@@ -157,3 +157,21 @@ def test_no_pair_at_the_threshold_is_refused():
     may = op.possible(total, bins, a, b, 0.8)
     near = np.array([op.similarity(sets[i], sets[j]) for i, j in zip(a, b, strict=True)])
     assert may[near >= 0.8].all() and (near >= 0.8).any() and not may.all()
+
+
+def test_star_of_chunks_equals_all_pairs(spark, monkeypatch):
+    """Near copies of a text at about the threshold from each other, a few to a chunk: no link is lost."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for _ in range(90):
+        edit = list(base)
+        for at in r.sample(range(150), r.choice([2, 3, 3])):
+            edit[at] = r.choice(base)
+        rows.append(" ".join(edit))
+    want, _ = plain_classes(rows, range(len(rows)))
+    assert len(set(want)) > 30 and max(Counter(want).values()) > 30
+    monkeypatch.setattr(op, "CHUNK", 4)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in op.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == want
