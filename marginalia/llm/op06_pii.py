@@ -4,8 +4,9 @@ Base spans come from four fixed patterns (email, ip, card, phone), each read fro
 to right without overlap; a match that fails its check is dropped. They stay as they are.
 
 The bootstrap adds spans of kind "id". Tokens with a digit or an at sign are instances;
-the two words before one are its lexical pattern. Tokens on a base span are seeds with
-confidence 1. Rounds of scoring run over the graph of patterns and instances: a pattern's
+the two words before one (one at the start of a text; "0" for a word that is itself such a
+token) are its lexical pattern; numbers alone are none. Tokens on a base span are seeds with
+confidence 1. Patterns come from seeds and from instances that reached the threshold. Rounds of scoring run over the graph of patterns and instances: a pattern's
 confidence is the mean confidence of its distinct instances, damped for few of them; an
 instance's is the chance that not all of its patterns mislead. Unseen instances of
 patterns above the threshold, long enough to identify someone, become spans.
@@ -30,8 +31,8 @@ from .common import materialise
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds over the graph; distinct instances that damp a pattern; confidence to accept.
 ROUNDS, DAMP, ACCEPT = 3, 2.0, 0.7
-#: Shortest discovered token, and the characters before a token that hold its pattern.
-SHORTEST, CONTEXT = 6, 60
+#: Shortest discovered token, and the words before a token that are its pattern.
+SHORTEST, CONTEXT = 6, 2
 
 _JOIN = "\x01"
 _LABEL = "A-Za-z0-9-"
@@ -39,21 +40,42 @@ _LOCAL = f"A-Za-z0-9._%+{_JOIN}-"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit, before>>: matches with code point offsets; before is
-    the end of the text between the last match and this one."""
+    """array<struct<start, end, hit>>: matches with code point offsets."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.char_length(p).alias("gap"), F.right(p, F.lit(CONTEXT)).alias("before"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
+    steps = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.char_length(p).alias("gap"), h.alias("hit")))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.char_length(x["hit"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["before"].alias("before"))
+        found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
         return F.struct(end.alias("at"), F.array_append(acc["found"], found).alias("found"))
 
     return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda acc: acc["found"])
 
 
+def last(words: Column) -> Column:
+    return F.slice(words, F.greatest(F.size(words) - (CONTEXT - 1), F.lit(1)), CONTEXT)
+
+
+def in_context(text: Column, pattern: str) -> Column:
+    """matches, with `before`: the words before each one, earlier matches among them as "0"."""
+    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    words = lambda p: last(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
+    steps = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.char_length(p).alias("gap"), words(p).alias("words"), h.alias("hit")))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.char_length(x["hit"])
+        before = F.concat(acc["tail"], x["words"])
+        found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.array_join(last(before), " ").alias("before"))
+        return F.struct(end.alias("at"), last(F.array_append(before, F.lit("0"))).alias("tail"), F.array_append(acc["found"], found).alias("found"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("tail"), none.alias("found"))
+    return F.aggregate(steps, start, add, lambda acc: acc["found"])
+
+
 def joined(text: Column, sides: str, marks: str) -> Column:
     """Marks between two characters of sides become the control character."""
     return F.regexp_replace(F.translate(text, _JOIN, "\x02"), f"(?<=[{sides}])[{marks}](?=[{sides}])", _JOIN)
@@ -71,7 +93,7 @@ def luhn(number: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end>>, by kind as listed, then by start."""
-    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
     when = lambda gate, found: F.when(gate, found).otherwise(none)
     email = when(
         F.contains(text, F.lit("@")),
@@ -94,7 +116,7 @@ def base_spans(text: Column) -> Column:
 
 def instances(text: Column, spans: Column) -> Column:
     """array<struct<start, end, token, pattern, seed>> of the tokens that have a pattern."""
-    found = F.when(text.rlike("[0-9@]"), matches(text, r"(?<!\S)\S*[0-9@]\S*")).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>"))
+    found = F.when(text.rlike("[0-9@]"), in_context(text, r"(?<!\S)\S*[0-9@]\S*")).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>"))
     edge = r"^[^\p{L}\p{N}+@]+"
 
     def one(x: Column) -> Column:
@@ -103,12 +125,11 @@ def instances(text: Column, spans: Column) -> Column:
         core = F.regexp_replace(body, r"[^\p{L}\p{N}]+$", "")
         start = x["start"] + lead
         end = start + F.char_length(core)
-        words = F.regexp_extract(x["before"], r"(?:^|\s)(\S+\s+\S+)\s+$", 1)
-        pattern = F.regexp_replace(F.regexp_replace(F.lower(words), r"[^\p{L}\p{N}\s:=]+", ""), r"\s+", " ")
+        pattern = F.regexp_replace(F.regexp_replace(F.lower(x["before"]), r"[^\p{L}\p{N}\s:=]+", ""), r"\s+", " ")
         seed = F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
         return F.struct(start.alias("start"), end.alias("end"), F.lower(core).alias("token"), pattern.alias("pattern"), seed.alias("seed"))
 
-    return F.filter(F.transform(found, one), lambda x: (F.length(x["pattern"]) > 2) & (F.length(x["token"]) > 0))
+    return F.filter(F.transform(found, one), lambda x: (F.length(x["pattern"]) > 2) & ~x["pattern"].rlike("^[0 ]*$") & (F.length(x["token"]) > 0))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -130,8 +151,8 @@ def discovered(rows: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) ->
     edges = materialise(each.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges")
     known = edges.groupBy("token").agg(F.max("seed").cast("double").alias("belief"))
     for _ in range(rounds):
-        scored = edges.join(known, "token").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + F.lit(DAMP))).alias("trust"), F.max("seed").alias("seeded"))
-        trust = materialise(scored.where("trust > 0.05 and seeded").select("pattern", "trust"), "trust")
+        scored = edges.join(known, "token").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + F.lit(DAMP))).alias("trust"), F.max(F.col("seed") | (F.col("belief") >= accept)).alias("backed"))
+        trust = materialise(scored.where("trust > 0.05 and backed").select("pattern", "trust"), "trust")
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))
         known = edges.join(trust, "pattern", "left").groupBy("token").agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
         known = materialise(known.select("token", F.when(F.col("seed"), 1.0).otherwise(1 - F.coalesce("doubt", F.lit(1.0))).alias("belief")), "belief")

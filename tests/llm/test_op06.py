@@ -80,3 +80,12 @@ def test_redaction_and_edges(spark):
     assert got[2].text is None and got[3].text == ""
     assert op.redact(docs).schema.names == docs.columns
     assert op.find(docs.limit(0)).count() == 0
+
+
+def test_patterns_beside_numbers_at_the_start_and_over_two_hops(spark):
+    rows = [f"row 7 contact user{i}@mail.org" for i in range(200)] + [f"row 7 contact tag_{i}99x" for i in range(20)]
+    rows += [f"Passport tag_{i}99x" for i in range(20)] + ["Passport AB123456"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in op.find(docs).where("n_discovered > 0").collect()}
+    assert got == {i: ("id:14:" if i < 220 else "id:9:") + str(len(rows[i])) for i in range(200, 241)}
+    assert {r.text for r in op.redact(docs).where("doc_id >= 220").collect()} == {"Passport [ID]"}
