@@ -1,4 +1,6 @@
-"""Public licence texts that scans look up, without their copyright lines."""
+"""Public licence texts that scans look up, without their copyright lines, and their titles."""
+
+from pathlib import Path
 
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
@@ -93,3 +95,18 @@ the following restrictions:
 3. This notice may not be removed or altered from any source distribution.
 """,
 }
+
+#: Title lines that stand over a text in its published forms; marks and case don't matter.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+
+
+def full() -> dict[str, str]:
+    """Longer licences, whole with their titles. Read on the driver only."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "texts").glob("*.txt"))}

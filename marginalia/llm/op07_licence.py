@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .licences import LICENCES
+from .licences import LICENCES, TITLES, full
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Patterns and replacements, in the common syntax of Java's and RE2's
@@ -45,9 +45,20 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+def forms(licences: dict[str, str]) -> list[tuple[str, str]]:
+    """(license_id, text) of every form: bare, under each title, and the longer licences with
+    and without their appendix."""
+    own = [(k, t) for k, v in licences.items() for t in (v, *(f"{title}\n\n{v}" for title in TITLES.get(k, ())))]
+    if licences is LICENCES:
+        for k, v in full().items():
+            body, end, _ = v.partition("END OF TERMS AND CONDITIONS")
+            own += [(k, v), (k, body + end), (k, body)]
+    return own
+
+
 def known(docs: DataFrame, licences: dict[str, str]) -> DataFrame:
-    """(digest, license_id): as many rows as licences, the first name of equal ones."""
-    rows = docs.sparkSession.createDataFrame(list(licences.items()), "license_id string, body string")
+    """(digest, license_id): at most as many rows as forms, the first name of equal ones."""
+    rows = docs.sparkSession.createDataFrame(forms(licences), "license_id string, body string")
     return rows.groupBy(F.sha2(canonical(F.col("body")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
