@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting for the bytes of an Arrow batch, and its value for the jobs of this package.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application: they may
     have neither the driver's working directory nor its search path."""
@@ -27,6 +32,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     sc.addPyFile(str(made))
     sc._marginalia_shipped = True
+    # A batch of rows with long texts is cut by its bytes, whatever number of rows it has.
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset (local
-    tests) a folder of our own is made and set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a session whose
+    executors are threads of the driver gets a folder of its own; any other one is refused,
+    as its executors don't see the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -84,6 +95,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, struct)
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

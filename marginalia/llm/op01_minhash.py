@@ -19,14 +19,17 @@ Equal texts are one text from the start. A bucket of a band is dealt by a hash i
 chunks of bounded size; within a chunk all pairs are estimated by their samples. In a
 first round each text is paired with its likeliest partner of all its chunks and with
 the most central text of its largest bucket, so that chunks meet; the pairs are verified
-by the weighted Jaccard similarity of the whole texts, and the texts linked so far form
+by the weighted Jaccard similarity of the whole sets, and the texts linked so far form
 classes, found by spreading the lowest key with shortcuts. A second round pairs each text
 with its likeliest partners in other classes. The last two take the buckets that still
-hold two classes whole, every two chunks a task: the third round pairs each class with its
-likeliest partner there, and the last one verifies every likely pair that still stands in
-two classes, unless the weights summed by bins of the shingles' hashes prove it below the
-threshold. So a text has few pairs however large its group is, and no likely pair of a
-bucket is left out that could join two classes.
+hold two classes: the bucket's largest class and the rest of it are cut into chunks, and
+a task has two chunks of the rest, or one of the rest and one of the largest class (pairs
+inside of one class are never needed). The third round pairs each class with its
+likeliest partner there. The last one verifies every pair of a bucket that still stands
+in two classes, unless the weights summed by bins of the shingles' hashes prove it below
+the threshold. That bound is never wrong, so no pair that shares a band is lost. A text
+has few pairs however large its group is; the comparisons by bound inside of a task grow
+with the texts of a bucket outside of its largest class times the texts of the bucket.
 
 Null text is empty; texts without words are equal to each other. Repeated rows and ties
 join one class, named by its lowest doc_id (null ids come last). Very long texts are
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, texts
+from .common import map_batches, materialise, spare, texts
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands of samples: a pair at the threshold shares one with a chance of over 0.999.
@@ -52,12 +55,12 @@ BANDS, ROWS = 12, 3
 TABLE = 1 << 16
 #: Texts of a bucket that are compared at once.
 CHUNK = 512
-#: Pairs whose samples agree less often are not verified: over three deviations below the threshold.
+#: In the first rounds, pairs whose samples agree less often wait for the last one, which takes every pair.
 LIKELY = 0.58
 #: Bins of a text's outline.
 BINS = 256
-#: Shingles hashed at a time; bytes of a text cut into words at a time.
-PART, SLICE = 1 << 16, 1 << 22
+#: Shingles hashed at a time; bytes of a text cut into words at a time; characters of texts held as sets at a time.
+PART, SLICE, HELD = 1 << 16, 1 << 22, 1 << 22
 
 #: Bytes of a text with A-Z lower-cased and all other ASCII but letters and digits as blanks.
 _KEEP = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -149,25 +152,6 @@ def _draw(sets: list, held: list[int], k: int, out: np.ndarray) -> None:
         out[held, f] = (low & 0xFFFFFFFF).astype(np.uint32)
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """A byte for each bin of the sorted hashes: of the lowest one in it, 0 of none."""
-    out = np.zeros(BINS, dtype=np.uint8)
-    if len(h):
-        slot = (h >> np.uint64(56)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-        out[slot[first]] = 1 + (h[first] & np.uint64(0xFFFF)) % np.uint64(255)
-    return out.tobytes()
-
-
-def agreement(fine: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of pairs of rows by their sketches."""
-    out = np.zeros(len(a))
-    for at in range(0, len(a), 20_000):
-        x, y = fine[a[at : at + 20_000]], fine[b[at : at + 20_000]]
-        out[at : at + 20_000] = ((x == y) & (x > 0)).sum(axis=1) / np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
-    return out
-
-
 def outline(h: np.ndarray, w: np.ndarray) -> bytes:
     """The total weight (8 bytes) and the weight in each bin of the hashes, rounded up to 16 bits."""
     sums = np.bincount((h >> np.uint64(56)).astype(np.int64), w, BINS)
@@ -225,6 +209,15 @@ def idf_table(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.log1p(rows / np.maximum(df, 1))
 
 
+def bounded(rows: list[str], at: int) -> list[str]:
+    """At most 500 of the texts from a place on, and at most HELD characters of them (or one text)."""
+    end, size = at, 0
+    while end < len(rows) and end < at + 500 and (end == at or size + len(rows[end]) <= HELD):
+        size += len(rows[end])
+        end += 1
+    return rows[at:end]
+
+
 def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
     """id, row and text keys, bands, samples (16 bits of each), outline of every document."""
     k = BANDS * ROWS
@@ -234,9 +227,9 @@ def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
 
         def work(batch: pa.RecordBatch):
-            rows = texts(batch)
-            for at in range(0, len(rows), 500):
-                part = rows[at : at + 500]
+            rows, at = texts(batch), 0
+            while at < len(rows):
+                part = bounded(rows, at)
                 sets = [weighted(word_hashes(t, known), idf.value) for t in part]
                 drawn = samples(sets, k)
                 bands = np.broadcast_to(salt, (len(part), BANDS)).copy()
@@ -251,6 +244,7 @@ def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
                     "drawn": [d.tobytes() for d in (drawn & np.uint32(0xFFFF)).astype("<u2")],
                     "fine": [outline(*x) for x in sets],
                 }
+                at += len(part)
 
         return work
 
@@ -285,71 +279,90 @@ def partners(keys: list[bytes], drawn: np.ndarray) -> list[tuple]:
     return [*out, (keys[centre], keys[centre], float(len(keys)), True)]
 
 
-def across(keys: list[bytes], drawn: np.ndarray, fine: list[bytes], classes: list[bytes], most: int | None, threshold: float, sides: list[int] = (), shared: np.ndarray | None = None, each: bool = False) -> list[tuple]:
-    """The likely pairs of two classes; with `most`, each text's likeliest ones, with `each`
-    the likeliest of each class. Rows of two sides pair across only; `shared` has each row's
-    bands and this one, and a pair counts in the first band that it shares."""
+def read_outlines(fine: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(total weights, weights by bin)."""
+    total = np.array([np.frombuffer(x, dtype="<f8", count=1)[0] for x in fine])
+    return total, np.array([np.frombuffer(x, dtype="<f2", offset=8) for x in fine], dtype=np.float32)
+
+
+def across(keys: list[bytes], drawn: np.ndarray, fine: list[bytes], classes: list[bytes], most: int, threshold: float) -> list[tuple]:
+    """The likely pairs of two classes, of each text its likeliest ones."""
     if len(set(classes)) < 2:
         return []
     own = np.unique(np.array([c.hex() for c in classes]), return_inverse=True)[1]
     near = estimated(drawn) * (own[:, None] != own[None, :])
-    if len(set(sides)) > 1:
-        side = np.array(sides)
-        near *= side[:, None] != side[None, :]
-    if most is not None and most < len(keys):
-        a, b = np.repeat(np.arange(len(keys)), most), np.argpartition(-near, most - 1, axis=1)[:, :most].ravel()
-        likely = near[a, b] >= LIKELY
-        a, b = a[likely], b[likely]
-    else:
-        a, b = np.nonzero(np.triu(near >= LIKELY))
-    if shared is not None and len(a):
-        bands, this = shared
-        first = np.concatenate([(bands[a[at : at + 50_000]] == bands[b[at : at + 50_000]]).argmax(axis=1) for at in range(0, len(a), 50_000)])
-        a, b = a[bands[a, first] == this], b[bands[a, first] == this]
-    total = np.array([np.frombuffer(x, dtype="<f8", count=1)[0] for x in fine])
-    bins = np.array([np.frombuffer(x, dtype="<f2", offset=8) for x in fine], dtype=np.float32)
-    ok = possible(total, bins, a, b, threshold)
-    a, b = a[ok], b[ok]
-    if each:
-        order = np.argsort(-near[a, b], kind="stable")
+    most = min(most, len(keys) - 1)
+    a, b = np.repeat(np.arange(len(keys)), most), np.argpartition(-near, most - 1, axis=1)[:, :most].ravel()
+    likely = near[a, b] >= LIKELY
+    a, b = a[likely], b[likely]
+    ok = possible(*read_outlines(fine), a, b, threshold)
+    return [(keys[i], keys[j], 1.0, False) for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]
+
+
+def still_possible(keys: list[bytes], drawn: np.ndarray, fine: list[bytes], classes: list[bytes], sides: list[int], bands: np.ndarray, this: int, threshold: float, each: bool) -> list[tuple]:
+    """Every pair of two classes that the bound allows; rows of two sides pair across only. A
+    pair counts in the first band that it shares. With `each`, of each class its likeliest pair."""
+    own = np.unique(np.array([c.hex() for c in classes]), return_inverse=True)[1]
+    side = np.array(sides)
+    if len(set(classes)) < 2:
+        return []
+    total, bins = read_outlines(fine)
+    apart = len(set(sides)) > 1
+    left, right = [], []
+    for i in range(len(keys) - 1):
+        j = np.arange(i + 1, len(keys))
+        high = np.maximum(total[j], total[i])
+        j = j[(own[j] != own[i]) & (np.minimum(total[j], total[i]) >= threshold * high * (1 - 1e-6)) & ((side[j] != side[i]) if apart else True)]
+        if len(j):
+            j = j[possible(total, bins, np.full(len(j), i), j, threshold)]
+        if len(j):
+            j = j[bands[j, (bands[j] == bands[i]).argmax(axis=1)] == this]
+            left.append(np.full(len(j), i))
+            right.append(j)
+    if not left:
+        return []
+    a, b = np.concatenate(left), np.concatenate(right)
+    if each and len(a):
+        near = np.concatenate([(drawn[a[at : at + 50_000]] == drawn[b[at : at + 50_000]]).mean(axis=1) for at in range(0, len(a), 50_000)])
+        order = np.argsort(-near, kind="stable")
         a, b = a[order], b[order]
         best = np.union1d(np.unique(own[a], return_index=True)[1], np.unique(own[b], return_index=True)[1])
         a, b = a[best], b[best]
     return [(keys[i], keys[j], 1.0, False) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def by_chunk(members: DataFrame, second: bool, most: int | None = None, threshold: float = THRESHOLD, whole: bool = False, each: bool = False) -> DataFrame:
-    """members: band, chunk, key, drawn, class; the rows of a task come one after another.
-    A task is a chunk, or with `whole` every two chunks of a bucket."""
+def by_chunk(members: DataFrame, step: str, threshold: float = THRESHOLD, most: int = 3) -> DataFrame:
+    """Pairs of the members (band, chunk, other, key, drawn, class, fine, bands). A task is a
+    band's chunk, or two of its chunks. step: "first", "likeliest", "each" or "all"."""
+    two = step in ("each", "all")
+
+    def pairs(held: list[list], band: int) -> list[tuple]:
+        if len(held) < 2:
+            return []
+        drawn = np.frombuffer(b"".join(x[1] for x in held), dtype="<u2").reshape(len(held), -1)
+        keys = [x[0] for x in held]
+        if step == "first":
+            found = partners(keys, drawn)
+        elif step == "likeliest":
+            found = across(keys, drawn, [x[3] for x in held], [x[2] for x in held], most, threshold)
+        else:
+            found = still_possible(keys, drawn, [x[3] for x in held], [x[2] for x in held], [x[4] for x in held], np.array([x[5] for x in held]), band, threshold, step == "each")
+        return [(band, *f) for f in found]
 
     def run(batches):
         held: list[list] = []
         last = None
-
-        def flush():
-            if len(held) < 2:
-                return None
-            drawn = np.frombuffer(b"".join(x[1] for x in held), dtype="<u2").reshape(len(held), -1)
-            keys = [x[0] for x in held]
-            if whole:
-                found = across(keys, drawn, [x[3] for x in held], [x[2] for x in held], most, threshold, [x[4] for x in held], (np.array([x[5] for x in held]), last[0]), each)
-            elif second:
-                found = across(keys, drawn, [x[3] for x in held], [x[2] for x in held], most, threshold)
-            else:
-                found = partners(keys, drawn)
-            return [(last[0], *f) for f in found]
-
         out: list[tuple] = []
         for batch in batches:
             for band, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (band, low, high) != last:
-                    out += flush() or []
+                    out += pairs(held, last[0]) if last else []
                     held, last = [], (band, low, high)
                     if len(out) > 10_000:
                         yield rows(out)
                         out = []
                 held.append(row)
-        out += flush() or []
+        out += pairs(held, last[0]) if last else []
         yield rows(out)
 
     kinds = {"band": pa.int64(), "key": pa.binary(), "partner": pa.binary(), "near": pa.float64(), "centre": pa.bool_()}
@@ -357,8 +370,9 @@ def by_chunk(members: DataFrame, second: bool, most: int | None = None, threshol
     def rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], type=t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)) if whole else F.col("chunk")
-    dealt = members.withColumn("other", other).select("band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "key", "drawn", "class", *["fine"] * second, *["chunk", "bands"] * whole)
+    other = F.col("other") if two else F.col("chunk")
+    columns = ["key", "drawn"] + ["class", "fine"] * (step != "first") + ["chunk", "bands"] * two
+    dealt = members.select("band", F.least("chunk", other).alias("low"), F.greatest("chunk", other).alias("high"), *columns)
     dealt = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "key")
     return dealt.mapInArrow(run, "band bigint, key binary, partner binary, near double, centre boolean")
 
@@ -369,40 +383,55 @@ def divided(members: DataFrame) -> DataFrame:
     return members.join(kept, "band", "left_semi")
 
 
+def paired_chunks(members: DataFrame) -> DataFrame:
+    """members of divided buckets once for each pair of chunks (chunk, other) that they are
+    in: a bucket's largest class and the rest of it are cut apart, and only pairs with a
+    chunk of the rest are made. A bucket of up to CHUNK texts is one chunk."""
+    sizes = members.groupBy("band", "class").agg(F.count("*").alias("n"))
+    bands = sizes.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n_all"), F.count("*").alias("n_classes")).where("n_classes > 1")
+    rest = F.when(F.col("n_all") <= CHUNK, 1).otherwise(F.ceil((F.col("n_all") - F.col("n_top")) / CHUNK))
+    top = F.when(F.col("n_all") <= CHUNK, 0).otherwise(F.ceil(F.col("n_top") / CHUNK))
+    m = members.drop("chunk", "n").join(bands.select("band", "top", rest.cast("long").alias("rest"), top.cast("long").alias("tops")), "band")
+    leads = (F.col("class") == F.col("top")) & (F.col("tops") > 0)
+    h = F.xxhash64("key", "band")
+    m = m.withColumn("leads", leads).withColumn("chunk", F.when(leads, F.col("rest") + F.pmod(h, F.col("tops"))).otherwise(F.pmod(h, F.col("rest"))))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("leads"), F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1)
+    return m.withColumn("other", F.explode(others)).drop("top", "rest", "tops", "leads")
+
+
 def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
 def first_pairs(members: DataFrame) -> DataFrame:
     """Of each text its likeliest partner, and the centre of its largest bucket of several chunks."""
-    found = materialise(by_chunk(members.withColumn("class", F.col("key")), False), "partners")
+    found = materialise(by_chunk(members, "first"), "partners")
     best = found.where("not centre").groupBy("key").agg(F.max_by("partner", F.struct("near", "partner")).alias("partner"))
     middle = found.where("centre").groupBy("band").agg(F.max_by("partner", F.struct("near", "partner")).alias("partner"))
     largest = members.join(middle, "band").where("key <> partner").groupBy("key").agg(F.max_by("partner", F.struct("n", "partner")).alias("partner"))
     return ordered(best.union(largest), "key", "partner").distinct()
 
 
-def verified(pairs: DataFrame, whole: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs whose texts reach the threshold. whole: key, text of each distinct text."""
-    rows = pairs.join(whole.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(whole.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+def packed(own: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """A weighted set: the hashes (8 bytes each), then the weights (4 bytes each)."""
+    return own[0].astype("<u8").tobytes() + own[1].astype("<f4").tobytes()
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 12
+    return np.frombuffer(raw, dtype="<u8", count=n), np.frombuffer(raw, dtype="<f4", offset=8 * n).astype(np.float64)
 
-    def make():
-        known = WordHashes()
-        sets: dict = {}
 
-        def of(key: bytes, text: str):
-            if key not in sets:
-                if len(sets) >= 32:
-                    sets.clear()
-                sets[key] = weighted(word_hashes(text or "", known), idf.value)
-            return sets[key]
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose weighted sets reach the threshold. sets: key, own of each text with a partner."""
+    rows = pairs.join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
+    rows = rows.join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").select("a", "b", "own_a", "own_b")
 
+    def make():
         def work(batch: pa.RecordBatch):
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            near = [similarity(of(i, x), of(j, y)) for i, j, x, y in zip(a, b, ta, tb, strict=True)]
+            near = [similarity(unpacked(x.as_py()), unpacked(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             keep = [i for i, s in enumerate(near) if s >= threshold]
-            yield {"a": [a[i] for i in keep], "b": [b[i] for i in keep], "similarity": [near[i] for i in keep]}
+            yield {"a": batch.column(0).take(keep), "b": batch.column(1).take(keep), "similarity": [near[i] for i in keep]}
 
         return work
 
@@ -434,11 +463,23 @@ def joined_classes(label: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(label.unionByName(alone).join(new, "class", "left").select("key", F.coalesce("new", "class").alias("class")), "labels")
 
 
-def whole_texts(docs: DataFrame, signed: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, text), once for each key of members."""
+def weighted_sets(docs: DataFrame, signed: DataFrame, members: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
+    """(key, own): the weighted set of each key of members, from one of its rows."""
     first = signed.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     rows = docs.select(row_key(id_col, text_col).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.join(first, "row").dropDuplicates(["row"]).select("key", "text")
+    rows = rows.join(first, "row").select("key", "text")
+
+    def make():
+        known = WordHashes()
+
+        def work(batch: pa.RecordBatch):
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                yield {"key": [key.as_py()], "own": [packed(weighted(word_hashes(text.as_py(), known), idf.value))]}
+
+        return work
+
+    # Rows that agree in id and text have one key and equal sets.
+    return map_batches(rows, make, "key binary, own binary").dropDuplicates(["key"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -451,16 +492,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     drawn = signed.groupBy("key").agg(F.min(F.struct("drawn", "fine", "bands")).alias("s")).select("key", "s.drawn", "s.fine", "s.bands")
     chunks = F.ceil(F.col("n") / CHUNK)
     chunk = F.pmod(F.xxhash64("key", "band"), chunks).alias("chunk")
-    members = materialise(bands.join(shared, "band").select("band", "key", chunk, chunks.alias("chunks"), "n").join(drawn, "key"), "members")
-    whole = materialise(whole_texts(docs, signed, members, id_col, text_col), "texts")
+    members = materialise(bands.join(shared, "band").select("band", "key", chunk, "n").join(drawn, "key"), "members")
+    sets = materialise(weighted_sets(docs, signed, members, idf, id_col, text_col), "sets")
     tested = materialise(first_pairs(members), "pairs")
-    links = materialise(verified(tested, whole, idf, threshold), "links")
+    links = materialise(verified(tested, sets, threshold), "links")
     label = components(links)
-    for most, over, each in ((3, False, False), (None, True, True), (None, True, False)):
+    for step in ("likeliest", "each", "all"):
         known = members.join(label, "key", "left").withColumn("class", F.coalesce("class", "key"))
-        found = by_chunk(divided(known), True, most, threshold, over, each)
+        found = by_chunk(divided(known) if step == "likeliest" else paired_chunks(known), step, threshold)
         fresh = materialise(ordered(found, "key", "partner").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(verified(fresh, whole, idf, threshold), "links")
+        more = materialise(verified(fresh, sets, threshold), "links")
         tested = tested.union(fresh)
         if not more.isEmpty():
             label = joined_classes(label, more)
@@ -469,8 +510,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, class_id (lowest id of its class), class_size, is_first."""
-    named = classes(docs, id_col, text_col, threshold)
-    size = named.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    named = materialise(classes(docs, id_col, text_col, threshold), "named")
+    # Written before the join, so that both sides of it are plain exchanges and a large class can be split.
+    size = materialise(named.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "sizes")
     out = named.join(size, "class")
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("is_first"))
 
@@ -478,6 +520,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the lowest id, with the columns of docs."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    kept = classes(docs, id_col, text_col, threshold).groupBy("class").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row"))
-    found = docs.withColumn("_row", row_key(id_col, text_col)).join(kept, "_row", "left_semi")
-    return found.dropDuplicates(["_row"]).select(*docs.columns)
+    row = spare(docs, "row")
+    kept = classes(docs, id_col, text_col, threshold).groupBy("class").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
+    found = docs.withColumn(row, row_key(id_col, text_col)).join(kept, row, "left_semi")
+    return found.dropDuplicates([row]).select(*docs.columns)

@@ -122,15 +122,6 @@ def test_empty_and_null(spark):
     assert op.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_sketches_agree_as_often_as_sets_are_alike():
-    r = np.random.default_rng(4)
-    h = op.mixed(r.integers(0, 2**63, 900).astype(np.uint64))
-    rows = [np.sort(h[:700]), np.sort(h[100:]), np.sort(h[:20]), h[:0]]
-    fine = np.array([np.frombuffer(op.sketch(x), dtype=np.uint8) for x in rows])
-    near = op.agreement(fine, np.array([0, 0, 2, 3]), np.array([1, 0, 2, 3]))
-    assert abs(near[0] - 600 / 900) < 0.1 and near[1] == near[2] == 1 and near[3] == 0
-
-
 def test_repeated_lines_are_not_refused(spark):
     """Alike by weight but not by distinct shingles, with the likeliest partner elsewhere."""
     line, own = [f"l{i}" for i in range(10)], [f"u{i}" for i in range(40)]
@@ -139,8 +130,9 @@ def test_repeated_lines_are_not_refused(spark):
     known = op.WordHashes()
     a, b = (op.weighted(op.word_hashes(" ".join(line * 30 + x), known), idf) for x in (own, edit))
     assert op.similarity(a, b) > 0.8 and len(np.intersect1d(a[0], b[0])) / len(np.union1d(a[0], b[0])) < 0.6
-    drawn = np.zeros((2, 36), dtype="<u2")
-    assert len(op.across([b"a", b"b"], drawn, [op.outline(*a), op.outline(*b)], [b"x", b"y"], None, 0.8)) == 1
+    drawn, bands = np.zeros((2, 36), dtype="<u2"), np.zeros((2, 12), dtype=np.int64)
+    for each in (True, False):
+        assert len(op.still_possible([b"a", b"b"], drawn, [op.outline(*a), op.outline(*b)], [b"x", b"y"], [0, 0], bands, 0, 0.8, each)) == 1
 
 
 def test_no_pair_at_the_threshold_is_refused():
@@ -151,14 +143,33 @@ def test_no_pair_at_the_threshold_is_refused():
         keep = r.random(3000) < r.choice([0.05, 0.9, 0.99])
         sets.append((h[keep], np.exp(r.normal(0, 2, keep.sum())) if r.random() < 0.1 else np.where(np.arange(3000) % 50 == 0, 70_000.0, 1.0)[keep]))
     fine = [op.outline(*x) for x in sets]
-    total = np.array([np.frombuffer(x, dtype="<f8", count=1)[0] for x in fine])
-    bins = np.array([np.frombuffer(x, dtype="<f2", offset=8) for x in fine], dtype=np.float32)
+    total, bins = op.read_outlines(fine)
     a, b = np.triu_indices(60, 1)
     may = op.possible(total, bins, a, b, 0.8)
     near = np.array([op.similarity(sets[i], sets[j]) for i, j in zip(a, b, strict=True)])
     assert may[near >= 0.8].all() and (near >= 0.8).any() and not may.all()
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y")], "doc_id long, text string, row int, _ROW string")
+    kept = op.firsts(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 5, "x")]
+
+
+def test_batches_are_cut_by_bytes(spark):
+    from marginalia.llm import common
+
+    def make():
+        def work(batch):
+            yield {"n": [batch.nbytes]}
+
+        return work
+
+    rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 4 << 20).alias("text"))
+    sizes = [r.n for r in common.map_batches(rows, make, "n long").collect()]
+    assert len(sizes) > 5 and max(sizes) < 2 * common.BATCH_BYTES
+
+
 def test_star_of_chunks_equals_all_pairs(spark, monkeypatch):
     """Near copies of a text at about the threshold from each other, a few to a chunk: no link is lost."""
     r = random.Random(12)
