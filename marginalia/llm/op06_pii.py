@@ -3,22 +3,27 @@
 Base spans come from four fixed patterns (email, ip, card, phone), each read from left
 to right without overlap; a match that fails its check is dropped. They stay as they are.
 
-The bootstrap adds spans of kind "id". Tokens with a digit or an at sign are instances;
-the two words before one (one at the start of a text; "0" for a word that is itself such a
-token) are its lexical pattern; numbers alone are none. Tokens on a base span are seeds with
-confidence 1. Patterns come from seeds and from instances that reached the threshold. Rounds of scoring run over the graph of patterns and instances: a pattern's
-confidence is the mean confidence of its distinct instances, damped for few of them; an
-instance's is the chance that not all of its patterns mislead. Unseen instances of
-patterns above the threshold, long enough to identify someone, become spans.
+The bootstrap adds spans of kind "id". Tokens with a digit, an at sign or 16 capitals are
+instances. Each has several lexical patterns: the two words before it (one at the start of
+a text; "0" for a word that is itself such a token), the one word before, the one after,
+the name before "=" or ":" inside of the token, and the shape of a token that mixes letters
+and digits (its characters' class and its length). Seed entities have confidence 1: tokens
+on a base span, tokens of a published key format (FORMATS), and values assigned to a name
+of a secret (NAMES). Rounds of scoring run over the graph of patterns and instances: a
+pattern's confidence is the mean confidence of its distinct instances, damped for few of
+them; an instance's is the chance that not all of its patterns mislead, where a pattern of
+one word tells half as much as the others. So confidence flows from seeds to patterns, to unseen instances and on to their other
+patterns. Unseen instances on a pattern above the threshold that are above it themselves,
+long enough to identify someone and no mere number, become spans, as do seeds that no base
+span covers.
 
 Offsets are code points: a match's place is the length of all the pieces and matches
-before it. To keep Java's matcher from recursing over long repeats, a separator inside a
+before it, summed up within parts of PART matches and then over the parts. To keep Java's matcher from recursing over long repeats, a separator inside a
 repeat is first replaced by one control character of the same length, so that every
 repeat is one character class.
 
 Null text is empty; documents without digits or marks pass with no spans; repeated rows
-get equal spans; clashing column names are untouched (own columns start with an
-underscore); very long texts and hot patterns are aggregated before any shuffle.
+get equal spans; columns of any name pass untouched; very long texts and hot patterns are aggregated before any shuffle.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spare
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds over the graph; distinct instances that damp a pattern; confidence to accept.
@@ -34,46 +39,86 @@ ROUNDS, DAMP, ACCEPT = 3, 2.0, 0.7
 #: Shortest discovered token, and the words before a token that are its pattern.
 SHORTEST, CONTEXT = 6, 2
 
+#: Published formats of access keys, and names whose assigned values are secrets: further seeds.
+FORMATS = (
+    "(?:AKIA|ASIA)[0-9A-Z]{16}",
+    "gh[pousr]_[0-9A-Za-z]{36,}",
+    "xox[abprs]-[0-9A-Za-z-]{10,}",
+    "AIza[0-9A-Za-z_-]{35}",
+    "sk-[0-9A-Za-z_-]{20,}",
+)
+NAMES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "secret_key", "auth_token")
+#: Matches whose offsets are summed up together.
+PART = 128
+
 _JOIN = "\x01"
 _LABEL = "A-Za-z0-9-"
 _LOCAL = f"A-Za-z0-9._%+{_JOIN}-"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def summed(sizes: Column) -> Column:
+    """Running sums; each array that grows by copies has PART entries, or one for each part."""
+
+    def run(a: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        return F.aggregate(a, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"] + x).alias("out")), lambda acc: acc["out"])
+
+    def joined_up(parts: Column) -> Column:
+        ends = run(F.transform(parts, lambda r: F.element_at(r, -1)))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda r, k: F.transform(r, lambda x: x + F.when(k > 0, F.get(e, k - 1)).otherwise(0)))))
+
+    def cut(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / PART).cast("int")), lambda k: run(F.slice(a, k * PART + 1, PART)))
+
+    return F.when(F.size(sizes) == 0, F.array().cast("array<bigint>")).otherwise(let(cut(sizes), joined_up))
+
+
+def located(text: Column, pattern: str, also) -> Column:
+    """array<struct<start, end, hit, ...>>: matches with code point offsets, and the fields
+    that also(pieces, index) gives, where pieces are the texts between the matches."""
+
+    def placed(f: Column) -> Column:
+        steps = F.zip_with(F.slice(f["pieces"], 1, F.size(f["hits"])), f["hits"], lambda p, h: (F.char_length(p) + F.char_length(h)).cast("bigint"))
+        one = lambda h, i, ends: F.struct((ends[i] - F.char_length(h)).cast("int").alias("start"), ends[i].cast("int").alias("end"), h.alias("hit"), *also(f["pieces"], i))
+        return let(summed(steps), lambda ends: F.transform(f["hits"], lambda h, i: one(h, i, ends)))
+
+    found = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return let(found, placed)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>>: matches with code point offsets."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.char_length(p).alias("gap"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    return located(text, pattern, lambda pieces, i: ())
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["hit"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.array_append(acc["found"], found).alias("found"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda acc: acc["found"])
+def plain_words(piece: Column) -> Column:
+    """The words of a text, lower-cased, without marks other than : and =."""
+    word = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}:=_]+", "")
+    return F.filter(F.transform(F.split(piece, r"\s+"), word), lambda w: w != "")
 
 
-def last(words: Column) -> Column:
-    return F.slice(words, F.greatest(F.size(words) - (CONTEXT - 1), F.lit(1)), CONTEXT)
+#: Characters of a piece beside a token in which its neighbouring words are looked for.
+_NEAR = 400
 
 
 def in_context(text: Column, pattern: str) -> Column:
-    """matches, with `before`: the words before each one, earlier matches among them as "0"."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    words = lambda p: last(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
-    steps = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.char_length(p).alias("gap"), words(p).alias("words"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")
+    """matches, with the words before and after each one, other matches among them as "0"."""
+    zero, none = F.array(F.lit("0")), F.array().cast("array<string>")
+    ends = lambda p: plain_words(F.right(p, F.lit(_NEAR)))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["hit"])
-        before = F.concat(acc["tail"], x["words"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.array_join(last(before), " ").alias("before"))
-        return F.struct(end.alias("at"), last(F.array_append(before, F.lit("0"))).alias("tail"), F.array_append(acc["found"], found).alias("found"))
+    def also(pieces: Column, i: Column) -> list[Column]:
+        earlier = F.when(i > 0, F.concat(F.when(i > 1, zero).otherwise(none), ends(F.get(pieces, i - 1)), zero)).otherwise(none)
+        before = let(F.concat(earlier, ends(F.get(pieces, i))), lambda w: F.slice(w, F.greatest(F.size(w) - (CONTEXT - 1), F.lit(1)), CONTEXT))
+        following = F.get(pieces, i + 1)
+        after = F.coalesce(F.get(plain_words(F.left(following, F.lit(_NEAR))), F.lit(0)), F.when(i + 2 < F.size(pieces), F.lit("0")).otherwise(""))
+        return [before.alias("before"), after.alias("after")]
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("tail"), none.alias("found"))
-    return F.aggregate(steps, start, add, lambda acc: acc["found"])
+    return located(text, pattern, also)
 
 
 def joined(text: Column, sides: str, marks: str) -> Column:
@@ -114,22 +159,51 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(named, KINDS, (email, ip, card, phone)))
 
 
+def shape(token: Column) -> Column:
+    """The characters' class and the length of a token of letters and digits; else null."""
+    kind = F.when(token.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[0-9a-z]+$"), "small").when(token.rlike("^[0-9A-Z]+$"), "large").otherwise("mixed")
+    return F.when(token.rlike("^[0-9A-Za-z_-]{12,200}$") & token.rlike("[0-9]") & token.rlike("[A-Za-z]"), F.concat_ws(" ", F.lit("shape"), kind, F.char_length(token)))
+
+
 def instances(text: Column, spans: Column) -> Column:
-    """array<struct<start, end, token, pattern, seed>> of the tokens that have a pattern."""
-    found = F.when(text.rlike("[0-9@]"), in_context(text, r"(?<!\S)\S*[0-9@]\S*")).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>"))
-    edge = r"^[^\p{L}\p{N}+@]+"
+    """array<struct<start, end, token, patterns, seed, bare>> of the tokens that have a pattern."""
+    kind = "array<struct<start:int,end:int,hit:string,before:array<string>,after:string>>"
+    found = F.when(text.rlike("[0-9@]|[A-Z]{16}"), in_context(text, r"(?<!\S)(?:\S*[0-9@]\S*|\S*[A-Z]{16}\S*)")).otherwise(F.array().cast(kind))
+    edge, tail = r"^[^\p{L}\p{N}+@]+", r"[^\p{L}\p{N}]+$"
+    # A name and "=" or ":" before the token's value, as in password=b7db.
+    assigned = r"^([\p{L}_-]{2,40}[=:])[^\p{L}\p{N}]*(?=[\p{L}\p{N}].)"
 
     def one(x: Column) -> Column:
-        body = F.regexp_replace(x["hit"], edge, "")
-        lead = F.char_length(x["hit"]) - F.char_length(body)
-        core = F.regexp_replace(body, r"[^\p{L}\p{N}]+$", "")
-        start = x["start"] + lead
-        end = start + F.char_length(core)
-        pattern = F.regexp_replace(F.regexp_replace(F.lower(x["before"]), r"[^\p{L}\p{N}\s:=]+", ""), r"\s+", " ")
-        seed = F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
-        return F.struct(start.alias("start"), end.alias("end"), F.lower(core).alias("token"), pattern.alias("pattern"), seed.alias("seed"))
-
-    return F.filter(F.transform(found, one), lambda x: (F.length(x["pattern"]) > 2) & ~x["pattern"].rlike("^[0 ]*$") & (F.length(x["token"]) > 0))
+        return let(F.regexp_replace(x["hit"], edge, ""), lambda body: valued(x, body, F.lower(F.regexp_extract(body, assigned, 1))))
+
+    def valued(x: Column, body: Column, name: Column) -> Column:
+        value = F.when(name != "", F.regexp_replace(body, assigned, "")).otherwise(body)
+        return let(F.struct(value.alias("v"), name.alias("name")), lambda y: measured(x, y["v"], y["name"]))
+
+    def measured(x: Column, value: Column, name: Column) -> Column:
+        core = F.regexp_replace(value, tail, "")
+        start = x["end"] - F.char_length(value)
+        return let(F.struct(core.alias("core"), start.alias("start"), (start + F.char_length(core)).alias("end")), lambda y: told(x, y["core"], y["start"], y["end"], name))
+
+    def told(x: Column, core: Column, start: Column, end: Column, name: Column) -> Column:
+        two, last = F.array_join(x["before"], " "), F.coalesce(F.element_at(F.when(F.size(x["before"]) > 0, x["before"]), -1), F.lit(""))
+        worded = lambda p: p.rlike(r"\p{L}")
+        patterns = F.array(
+            F.when(worded(two), F.concat(F.lit("before "), two)),
+            F.when(worded(last) & (F.size(x["before"]) > 1), F.concat(F.lit("word "), last)),
+            F.when(worded(x["after"]), F.concat(F.lit("after "), x["after"])),
+            F.when(name != "", F.concat(F.lit("name "), name)),
+            shape(core),
+        )
+        key = F.when(name != "", name).when(last.isin("=", ":"), F.get(x["before"], F.lit(0))).otherwise(F.when(last.rlike("[:=]$"), last).otherwise(""))
+        known = F.regexp_replace(key, "[:=]+$", "").isin(list(NAMES)) & (F.char_length(core) >= SHORTEST)
+        covered = F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
+        return F.struct(
+            start.alias("start"), end.alias("end"), F.lower(core).alias("token"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"),
+            (covered | known | core.rlike("^(?:" + "|".join(FORMATS) + ")$")).alias("seed"), (~covered).alias("bare"),
+        )
+
+    return F.filter(F.transform(found, one), lambda x: ((F.size(x["patterns"]) > 0) | x["seed"]) & (F.length(x["token"]) > 0))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -146,20 +220,24 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def discovered(rows: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
-    """(_row, _more): the spans that patterns of high confidence add to a row."""
+    """(_row, _more): the spans that seeds and patterns of high confidence add to a row."""
     each = rows.select("_row", F.explode("_found").alias("x")).select("_row", "x.*").distinct()
-    edges = materialise(each.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges")
+    pairs = each.select("token", "seed", F.explode("patterns").alias("pattern"))
+    edges = materialise(pairs.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges")
     known = edges.groupBy("token").agg(F.max("seed").cast("double").alias("belief"))
     for _ in range(rounds):
-        scored = edges.join(known, "token").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + F.lit(DAMP))).alias("trust"), F.max(F.col("seed") | (F.col("belief") >= accept)).alias("backed"))
-        trust = materialise(scored.where("trust > 0.05 and backed").select("pattern", "trust"), "trust")
-        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))
+        scored = edges.join(known, "token").groupBy("pattern").agg(F.round(F.sum("belief") / (F.count("*") + F.lit(DAMP)), 9).alias("trust"))
+        trust = materialise(scored.where("trust > 0.05"), "trust")
+        tells = F.col("trust") * F.when(F.col("pattern").rlike("^(word|after) "), 0.5).otherwise(1.0)
+        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - tells))))
         known = edges.join(trust, "pattern", "left").groupBy("token").agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
-        known = materialise(known.select("token", F.when(F.col("seed"), 1.0).otherwise(1 - F.coalesce("doubt", F.lit(1.0))).alias("belief")), "belief")
+        known = materialise(known.select("token", F.when(F.col("seed"), 1.0).otherwise(F.round(1 - F.coalesce("doubt", F.lit(1.0)), 9)).alias("belief")), "belief")
     good = trust.where(F.col("trust") >= accept).select("pattern")
     sure = known.where(F.col("belief") >= accept).select("token")
-    fresh = each.where(~F.col("seed") & (F.length("token") >= SHORTEST) & F.col("token").rlike("[0-9]"))
-    found = fresh.join(good, "pattern", "left_semi").join(sure, "token", "left_semi")
+    long = each.where(F.col("bare") & (F.length("token") >= SHORTEST))
+    fresh = long.where(~F.col("seed") & F.col("token").rlike("[0-9]") & F.col("token").rlike(r"[\p{L}@_]")).select("_row", "token", "start", "end", F.explode("patterns").alias("pattern"))
+    found = fresh.join(good, "pattern", "left_semi").join(sure, "token", "left_semi").select("_row", "start", "end")
+    found = found.unionByName(long.where("seed").select("_row", "start", "end"))
     span = F.struct(F.lit("id").alias("kind"), "start", "end")
     return found.groupBy("_row").agg(F.sort_array(F.collect_set(span)).alias("_more"))  # of one document
 
@@ -173,7 +251,7 @@ def text_of(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: counts of base spans, their digest, all spans."""
+    """One row per document: counts of base spans, their digest, all spans, how many were added and are there."""
     rows = scanned(docs, id_col, text_col)
     out = rows.select("_row", "_id", "_base").join(discovered(rows), "_row", "left")
     more = F.coalesce("_more", _none())
@@ -184,6 +262,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.sha2(text_of(F.col("_base")), 256).alias("base_sha256"),
         text_of(F.concat("_base", more)).alias("spans"),
         F.size(more).cast("long").alias("n_discovered"),
+        F.size(F.concat("_base", more)).cast("long").alias("n_spans"),
     )
 
 
@@ -202,10 +281,11 @@ def masked(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """docs with personal data masked in their texts; their columns stay."""
     rows = scanned(docs, id_col, text_col)
-    spans = rows.select("_row", "_base").distinct().join(discovered(rows), "_row", "left").select("_row", F.concat("_base", F.coalesce("_more", _none())).alias("_spans")).where(F.size("_spans") > 0)
-    out = docs.withColumn("_row", row_key(id_col, text_col)).join(spans, "_row", "left")
-    hit = F.col("_spans").isNotNull()
-    out = out.withColumn(text_col, F.when(hit, masked(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col)))
+    row, own = spare(docs, "row_of_spans"), spare(docs, "spans_of_row")
+    spans = rows.select("_row", "_base").distinct().join(discovered(rows), "_row", "left").select(F.col("_row").alias(row), F.concat("_base", F.coalesce("_more", _none())).alias(own)).where(F.size(own) > 0)
+    out = docs.withColumn(row, row_key(id_col, text_col)).join(spans, row, "left")
+    hit = F.col(own).isNotNull()
+    out = out.withColumn(text_col, F.when(hit, masked(F.col(text_col), F.col(own))).otherwise(F.col(text_col)))
     if count_col in docs.columns:
         out = out.withColumn(count_col, F.when(hit, F.char_length(text_col)).otherwise(F.col(count_col)).cast(docs.schema[count_col].dataType))
     return out.select(*docs.columns)
