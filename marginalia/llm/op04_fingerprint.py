@@ -10,7 +10,7 @@ Null text is empty. A text of under five bytes has its bytes padded by zeros to
 window, so equal texts always have equal digests and the empty text has one too.
 
 The neighbour of a document is the next one by descending doc_id (null ids last,
-repeated ids by text); after the last comes the first. Neighbours meet by one range
+repeated ids by the first 64 characters and the digest of their text); after the last comes the first. Neighbours meet by one range
 shuffle of the texts: rows stream through each sorted partition with one row of
 look-ahead. The first and the last row of every partition are kept aside with their
 texts, and the few last rows meet their neighbours by a join on the partition numbers.
@@ -169,7 +169,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     by = F.col("id").desc_nulls_last()
-    found = materialise(rows.repartitionByRange(by).sortWithinPartitions(by, "text").mapInArrow(stream, marked), "fingerprints")
+    # Rows of one id are dealt on by their text and repeated rows by their place, so one id can fill many tasks.
+    rows = rows.select("*", F.left("text", F.lit(64)).alias("head"), F.md5(F.col("text").cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("place"))
+    order = (by, "head", "digest", "place")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    found = materialise(dealt.mapInArrow(stream, marked), "fingerprints")
     # Two rows for each partition; only the partition numbers come to the driver.
     order = sorted(r.part for r in found.where("edge = 'last'").select("part").collect())
     steps = docs.sparkSession.createDataFrame(list(zip(order, order[1:] + order[:1], strict=True)), "part int, following int")

@@ -27,6 +27,8 @@ from .common import materialise
 #: Fixed values of the query: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 ORDER = 3
+#: Rows of the table of ratios that are broadcast, under 50 MB.
+GRAMS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -97,9 +99,10 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
     texts = materialise(texts.na.fill(0, ["good", "bad"]), "urls")
     grams = texts.select("text", "good", "bad", F.explode(contexts(F.col("text"))).alias("gram"))
     counts = materialise(grams.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "grams")
-    # At most 41^4 rows by the alphabet (under 100 MB), usually some thousands.
-    table = F.broadcast(materialise(ratios(counts.where("good > 0 or bad > 0"), counts), "ratios"))
-    scored = grams.select("text", "gram").join(table, "gram").groupBy("text").agg((F.sum("ratio") / F.count("*")).alias("score"))
+    table = materialise(ratios(counts.where("good > 0 or bad > 0"), counts), "ratios")
+    # The alphabet allows 41^4 rows; there are some thousands. Beyond GRAMS rows the join shuffles.
+    table = F.broadcast(table) if table.count() <= GRAMS else table
+    scored = grams.select("text", "gram").join(table, "gram").groupBy("text").agg(F.round(F.sum("ratio") / F.count("*"), 9).alias("score"))
     scored = materialise(texts.join(scored, "text", "left").select("text", "good", "bad", F.coalesce("score", F.lit(0.0)).alias("score")), "scores")
     weight = lambda w: [F.sum(F.col(w)), F.sum(F.col(w) * F.col("score")), F.sum(F.col(w) * F.col("score") ** 2)]
     n, s, q, m, t, u = scored.agg(*weight("good"), *weight("bad")).first()
@@ -112,5 +115,6 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
     else:
         cut = 0.0
         rows = rows.withColumn("score", F.lit(0.0))
-    own = F.when(F.col("score") >= cut, "allow").otherwise("block")
+    # Sums of floats depend on their order: scores and cut are compared at nine digits.
+    own = F.when(F.col("score") >= round(cut, 9), "allow").otherwise("block")
     return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "score")

@@ -11,9 +11,9 @@ A shard holds only stretches that can contain a window: runs of words whose ever
 neighbouring pair also stands in the benchmark (and single words that are windows).
 An occurrence of a window lies wholly inside such a run, so nothing is lost.
 
-The benchmark is taken in blocks of a bounded number of windows; each block is sent to
-the executors and scans all documents, so its size sets the number of scans and never
-the memory of a task. No row is shuffled.
+The benchmark is taken in blocks of a bounded number of windows, one after another on the
+driver; each block is sent to the executors and scans all documents, so its size sets the
+number of scans and never the memory of a task. No row is shuffled.
 
 Null or wordless documents have no words and are clean; null or wordless items have no
 windows; repeated items are reported under each of their ids; a very long text spreads
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, spare
 
 WINDOW = 10
 #: Words of a document cut at a time; symbols and documents of a shard; windows of a block.
@@ -64,7 +64,7 @@ def word_ids(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
 class Windows:
     """The windows of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[str, str | None]]):
         self.ids: dict[bytes, int] = {}
         found: dict[tuple, set] = {}
         pairs = set()
@@ -80,7 +80,7 @@ class Windows:
             self.symbols[i, : len(w)] = w
         names = sorted({x for s in found.values() for x in s})
         place = {x: i for i, x in enumerate(names)}
-        self.items = np.array(names, dtype=np.int64)
+        self.items = names
         self.owner_start = np.cumsum([0, *(len(s) for s in found.values())])
         self.owner = np.array([place[x] for s in found.values() for x in sorted(s)], dtype=np.int64)
         self.base = len(self.ids) + 1
@@ -193,7 +193,7 @@ class FMIndex:
         return out
 
 
-def search_shard(docs: list[np.ndarray], block: Windows) -> list[tuple[list[tuple[int, int]], list[int]]]:
+def search_shard(docs: list[np.ndarray], block: Windows) -> list[tuple[list[tuple[int, int]], list[str]]]:
     """Of each document (as word ids): its merged spans of hit words, its items."""
     out: list[tuple[list, list]] = [([], []) for _ in docs]
     seqs, place, owner = [], [], []
@@ -230,7 +230,7 @@ def search_shard(docs: list[np.ndarray], block: Windows) -> list[tuple[list[tupl
     many = block.owner_start[w + 1] - block.owner_start[w]
     slot = np.repeat(block.owner_start[w] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
     for x in np.unique(np.repeat(d, many) * len(block.items) + block.owner[slot]).tolist():
-        out[x // len(block.items)][1].append(int(block.items[x % len(block.items)]))
+        out[x // len(block.items)][1].append(block.items[x % len(block.items)])
     return out
 
 
@@ -247,7 +247,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def blocks(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[Windows]:
     """Blocks of at most limit windows (or one item); one block is on the driver at a time."""
     held, size = [], 0
-    for item, text in items.select(id_col, text_col).where(F.col(id_col).isNotNull()).toLocalIterator():
+    for item, text in items.select(F.col(id_col).cast("string"), text_col).where(F.col(id_col).isNotNull()).toLocalIterator():
         n = len(words(text))
         if held and size + n > limit:
             yield Windows(held)
@@ -259,27 +259,34 @@ def blocks(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator
         yield Windows(held)
 
 
-_OURS = ("_n_words", "_starts", "_ends", "_items")
+#: What a scan finds: words of the text, starts and ends of its merged spans of hit words, its items.
+FOUND = {"n_words": "long", "starts": "array<long>", "ends": "array<long>", "items": "array<string>"}
 
 
-def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BLOCK) -> DataFrame:
-    """docs with _n_words, merged spans of hit words (_starts, _ends) and _items."""
+def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BLOCK) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns of FOUND, and the names that these have beside docs' own."""
     spark = docs.sparkSession
     ship(spark)
-    for c, kind in zip(_OURS, ("long", "array<long>", "array<long>", "array<long>"), strict=True):
-        docs = docs.withColumn(c, F.lit(0).cast(kind) if kind == "long" else F.array().cast(kind))
-    for block in list(blocks(items, item_id, item_text, limit)) or [Windows([])]:
+    names = {c: spare(docs, f"{c}_found") for c in FOUND}
+    for c, kind in FOUND.items():
+        docs = docs.withColumn(names[c], F.lit(0).cast(kind) if kind == "long" else F.array().cast(kind))
+
+    def scanned(docs: DataFrame, block: Windows) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from shards(batch, text_col, sent.value)
+                yield from shards(batch, text_col, sent.value, names)
+
+        return docs.mapInArrow(scan, docs.schema)
 
-        docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+    none = True
+    for block in blocks(items, item_id, item_text, limit):  # a block that was sent is let go
+        docs, none = scanned(docs, block), False
+    return (scanned(docs, Windows([])) if none else docs), names
 
 
-def replaced(batch: pa.RecordBatch, **columns: list) -> pa.RecordBatch:
+def replaced(batch: pa.RecordBatch, columns: dict[str, list]) -> pa.RecordBatch:
     """The batch with some columns exchanged; all others stay as they are."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else c for f, c in zip(batch.schema, batch.columns, strict=True)], schema=batch.schema)
 
@@ -288,7 +295,7 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def shards(batch: pa.RecordBatch, text_col: str, block: Windows) -> Iterator[pa.RecordBatch]:
+def shards(batch: pa.RecordBatch, text_col: str, block: Windows, names: dict[str, str]) -> Iterator[pa.RecordBatch]:
     """Search a batch in shards of a bounded number of words (or one document)."""
     held, size, begin = [], 0, 0
     for i, text in enumerate(column(batch, text_col)):
@@ -297,30 +304,32 @@ def shards(batch: pa.RecordBatch, text_col: str, block: Windows) -> Iterator[pa.
         if size >= SHARD or len(held) >= SHARD_DOCS or i == batch.num_rows - 1:
             part = batch.slice(begin, i + 1 - begin)
             found = search_shard(held, block)
-            spans = [merged([*zip(a, b, strict=True), *new]) for a, b, (new, _) in zip(column(part, "_starts"), column(part, "_ends"), found, strict=True)]
-            yield replaced(
-                part,
-                _n_words=[len(x) for x in held],
-                _starts=[[a for a, _ in s] for s in spans],
-                _ends=[[b for _, b in s] for s in spans],
-                _items=[sorted({*old, *new}) for old, (_, new) in zip(column(part, "_items"), found, strict=True)],
-            )
+            old = {c: column(part, names[c]) for c in ("starts", "ends", "items")}
+            spans = [merged([*zip(a, b, strict=True), *new]) for a, b, (new, _) in zip(old["starts"], old["ends"], found, strict=True)]
+            new = {
+                "n_words": [len(x) for x in held],
+                "starts": [[a for a, _ in s] for s in spans],
+                "ends": [[b for _, b in s] for s in spans],
+                "items": [sorted({*known, *more}) for known, (_, more) in zip(old["items"], found, strict=True)],
+            }
+            yield replaced(part, {names[c]: x for c, x in new.items()})
             held, size, begin = [], 0, i + 1
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK) -> DataFrame:
-    """One row per document: counts, the digest of its items, the removal spans."""
-    found = find(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), items, "_text", limit=limit)
-    names = F.array_sort(F.transform("_items", lambda x: x.cast("string")))
-    hit = F.aggregate(F.zip_with("_starts", "_ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    """One row per document: counts, the digest of its items, the removal spans. Items are
+    told apart by their ids as strings."""
+    found, names = find(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items, "text", limit=limit)
+    starts, ends, own = F.col(names["starts"]), F.col(names["ends"]), F.col(names["items"])
+    hit = F.aggregate(F.zip_with(starts, ends, lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return found.select(
-        F.col("_id").alias(id_col),
-        F.col("_n_words").alias("n_words"),
+        F.col("id").alias(id_col),
+        F.col(names["n_words"]).alias("n_words"),
         hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
-        (F.size("_starts") > 0).alias("contaminated"),
-        F.arrays_zip(F.col("_starts").alias("start"), F.col("_ends").alias("end")).alias("spans"),
+        F.size(own).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(own), ","), 256).alias("items_sha256"),
+        (F.size(starts) > 0).alias("contaminated"),
+        F.arrays_zip(starts.alias("start"), ends.alias("end")).alias("spans"),
     )
 
 
@@ -341,14 +350,14 @@ def cut_out(text: str, starts: list[int], ends: list[int]) -> str:
 
 def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", count_col: str | None = "n_chars", limit: int = BLOCK) -> DataFrame:
     """docs with the removal spans cut out of their texts; their columns stay."""
-    found = find(docs, items, text_col, limit=limit)
+    found, names = find(docs, items, text_col, limit=limit)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(column(batch, text_col), column(batch, "_starts"), column(batch, "_ends"), strict=True)
-            yield replaced(batch, **{text_col: [cut_out(t, a, b) if a else t for t, a, b in rows]})
+            rows = zip(column(batch, text_col), column(batch, names["starts"]), column(batch, names["ends"]), strict=True)
+            yield replaced(batch, {text_col: [cut_out(t, a, b) if a else t for t, a, b in rows]})
 
     out = found.mapInArrow(apply, found.schema)
     if count_col in docs.columns:
-        out = out.withColumn(count_col, F.when(F.size("_starts") > 0, F.char_length(text_col)).otherwise(F.col(count_col)))
-    return out.drop(*_OURS)
+        out = out.withColumn(count_col, F.when(F.size(names["starts"]) > 0, F.char_length(text_col)).otherwise(F.col(count_col)).cast(docs.schema[count_col].dataType))
+    return out.select(*docs.columns)

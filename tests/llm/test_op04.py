@@ -60,3 +60,13 @@ def test_single_and_empty(spark):
     one = spark.createDataFrame([(1, "alone")], "doc_id long, text string")
     assert op.fingerprints(one).collect()[0].near_next == 1
     assert op.fingerprints(one.limit(0)).count() == 0
+
+
+def test_one_id_for_many_rows(spark):
+    """A hot id and repeated rows spread over partitions; every row has its neighbour."""
+    rows = [(7, f"text {i % 50} of one id", i) for i in range(400)] + [(9, "before", 0), (1, "after", 0)]
+    got = op.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, digest int").repartition(4)).collect()
+    assert len(got) == len(rows)
+    texts = ["before", *sorted((t for i, t, _ in rows if i == 7), key=lambda t: (t[:64], t)), "after"]
+    want = sorted(hashlib.sha256(op.edited(t, n).encode()).hexdigest() for t, n in zip(texts, texts[1:] + texts[:1], strict=True))
+    assert sorted(r.edited_sha256 for r in got) == want

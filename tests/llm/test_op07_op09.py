@@ -72,10 +72,33 @@ def test_rotation(spark):
     assert op09_chat.perspectives(chats.limit(0)).count() == 0
 
 
-def test_crowded_turn(spark):
-    """One turn number with many texts is dealt into bounded parts; nothing is lost."""
-    rows = [("a", 3, "u" if i % 2 else "v", f"text {i}") for i in range(400)] + [("a", 4, "u", "last"), ("a", 2, "v", "first")]
-    got = op09_chat.perspectives(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
-    assert sum(r.n_turns for r in got if r.participant == "u") == 402
-    assert max(r.n_turns for r in got) < 4 * op09_chat.BLOCK
-    assert sum(len(r.mask) for r in got) == 402
+def plain_rendering(rows, who):
+    out = ""
+    for _, role, text in sorted(set(rows)):
+        head = "assistant" if role == who else "system" if role == "system" else f"user name={role}"
+        out += f"<|im_start|>{head}\n{text}<|im_end|>\n"
+    return out
+
+
+def test_crowded_turns_keep_the_reading_order(spark, tmp_path):
+    """Turns with many texts are cut into bounded parts; the pieces in order are the dialogue."""
+    crowd = lambda t, n: [(t, "uvw"[i % 3], f"x{i:03}") for i in range(n)]
+    a = [(t, "uv"[t % 2], f"t{t}") for t in (1, 2, 4, 5, 8, 63, 64, 70)] + crowd(3, 100) + crowd(6, 400) + crowd(7, 65) + crowd(63, 64) + crowd(66, 200) + [(0, "system", "be kind")]
+    b = crowd(-3, 90) + [(-1, "u", "é"), (-4, "u", "first")]
+    rows = [("a", *r) for r in a] + [(None, *r) for r in b] + [("a", *a[20])]
+    chats = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(5)
+    got = op09_chat.perspectives(chats).collect()
+    assert max(r.n_turns for r in got) <= op09_chat.BLOCK**2
+    for conv, own in (("a", a), (None, b)):
+        for who in {role for _, role, _ in own} - {"system"}:
+            pieces = sorted((r for r in got if r.conv_id == conv and r.participant == who), key=lambda r: (r.block, r.segment, r.part))
+            assert len({(r.block, r.segment, r.part) for r in pieces}) == len(pieces)
+            assert "".join(r.rendered for r in pieces) == plain_rendering(own, who)
+            assert [p.rendered[m.start : m.end] for p in pieces for m in p.mask] == [f"{t}<|im_end|>" for _, role, t in sorted(set(own)) if role == who]
+    path = f"{tmp_path}/conversations.parquet"
+    chats.write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{path}/*.parquet'")
+    want = con.sql(op09_chat.ORACLE)
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert order(op09_chat.report(spark.read.parquet(path)).select(*want.columns).collect()) == order(want.fetchall())

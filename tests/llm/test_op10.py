@@ -18,7 +18,7 @@ def plain(docs, items):
     for i, t in items:
         ws = cut(t)
         for k in range(max(1, len(ws) - 9) if ws else 0):
-            windows.setdefault(tuple(ws[k : k + 10]), set()).add(i)
+            windows.setdefault(tuple(ws[k : k + 10]), set()).add(str(i))
     for t in docs:
         ws = cut(t)
         hit, found = set(), set()
@@ -45,7 +45,7 @@ def cases(seed):
 @pytest.mark.parametrize("seed", range(8))
 def test_search_equals_plain_scan(seed):
     docs, items = cases(seed)
-    block = op.Windows([(i, t) for i, t in items if op.words(t)])
+    block = op.Windows([(str(i), t) for i, t in items if op.words(t)])
     got = op.search_shard([op.word_ids(t, block.ids) for t in docs], block)
     for (n, hit, found), t, (spans, own) in zip(plain(docs, items), docs, got, strict=True):
         assert n == len(op.words(t))
@@ -63,7 +63,7 @@ def test_report_and_removal(spark, limit):
     for i, (n, hit, found) in enumerate(plain(docs, items)):
         r = got[i or None]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(found), hit > 0)
-        assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
     clean = op.remove(left, right, limit=limit)
     assert clean.columns == left.columns
     for r in clean.collect():
@@ -78,3 +78,17 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert op.report(docs, none).collect()[0].n_words == 3
     assert op.report(docs.limit(0), none).count() == 0
+
+
+def test_names_of_items_and_clashing_columns(spark):
+    long = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, f"so {long} it is", "a", 5, [7], "z"), (2, None, "b", 6, None, None), (1, f"so {long} it is", "a", 5, [7], "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _items string, n_words int, starts_found array<int>, ITEMS_found string")
+    items = spark.createDataFrame([("q1", long), ("q10", long), ("q2", "so"), (None, long)], "item_id string, text string")
+    for limit in (1, 1000):
+        got = op.report(docs, items, limit=limit).collect()
+        assert {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got} == {(1, 14, 12, 3), (2, 0, 0, 0)} and len(got) == 3
+        assert {r.items_sha256 for r in got if r.doc_id == 1} == {hashlib.sha256(b"q1,q10,q2").hexdigest()}
+        clean = op.remove(docs, items, limit=limit)
+        assert clean.columns == docs.columns
+        assert sorted(map(str, clean.collect())) == sorted(map(str, spark.createDataFrame([(i, t and " it is", *r) for i, t, *r in rows], docs.schema).collect()))
