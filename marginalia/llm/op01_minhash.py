@@ -430,8 +430,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch):
             near = [similarity(unpacked(x.as_py()), unpacked(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            keep = [i for i, s in enumerate(near) if s >= threshold]
-            yield {"a": batch.column(0).take(keep), "b": batch.column(1).take(keep), "similarity": [near[i] for i in keep]}
+            keep = pa.array([i for i, s in enumerate(near) if s >= threshold], type=pa.int64())
+            yield {"a": batch.column(0).take(keep), "b": batch.column(1).take(keep), "similarity": [near[i] for i in keep.to_pylist()]}
 
         return work
 
