@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
@@ -33,6 +33,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD_FROM, FOLD_TO = "’" + _UPPER + MARKED, "'" + _LOWER + PLAIN
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once for each row. A filter or another column that
+    uses one of them doesn't repeat its expression, as nothing moves through a generator."""
+    made = F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return rows.select(*[c for c in rows.columns if c not in columns], made)
+
+
 def normalise(text: Column) -> Column:
     """Straight apostrophes, no accents, lower case; the length stays."""
     return F.translate(text, FOLD_FROM, FOLD_TO)

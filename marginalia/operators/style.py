@@ -21,13 +21,12 @@ NEEDS_WORDS = {"ttr": 50}
 def windows(docs: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
     """docs with window_id and the window's sentences; a tail under half a window is left
     out, and a text without a window is one itself from 20 words on."""
-    s = S.sentences(F.col(text_col))
-    d = docs.select("*", s.alias("_s")).where(F.size("_s") > 0)
+    rest = [c for c in docs.columns if c != text_col]
+    d = S.once(docs, _s=S.sentences(F.col(text_col)), _n=F.size(S.words(F.col(text_col))))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / size).cast("int")), lambda k: F.slice("_s", k * size + 1, size))
-    kept = F.filter(cut, lambda x: F.size(x) >= size // 2)
-    whole = F.when(F.size(S.words(F.col(text_col))) >= 20, F.array("_s")).otherwise(F.array().cast("array<array<string>>"))
-    d = d.select("*", F.when(F.size(kept) > 0, kept).otherwise(whole).alias("_w"))
-    return d.select(*[c for c in docs.columns if c != text_col], F.posexplode("_w").alias("window_id", "s"))
+    kept = F.when(F.size("_s") > 0, F.filter(cut, lambda x: F.size(x) >= size // 2))
+    d = S.once(d.select(*rest, "_s", "_n", kept.alias("_k")), _w=F.when(F.size("_k") > 0, F.col("_k")).when((F.size("_s") > 0) & (F.col("_n") >= 20), F.array("_s")))
+    return d.select(*rest, F.posexplode_outer("_w").alias("window_id", "s")).where("s is not null")
 
 
 def mattr(keys: Column, width: int = 50) -> Column:
@@ -41,17 +40,17 @@ def mattr(keys: Column, width: int = 50) -> Column:
 
 def counted(rows: DataFrame, sentences: str = "s", common: Sequence[str] = L.STOPWORDS) -> DataFrame:
     """Integer counts behind the metrics, for an array of sentences; over 4 words only."""
+    rest = [c for c in rows.columns if c != sentences]
     text = F.array_join(sentences, " ")
-    rows = rows.withColumn("_t", text)
-    rows = rows.withColumn("k", S.keys(F.col("_t"))).where(F.size("k") >= 5)
-    rows = rows.withColumn("v", F.filter(F.transform(sentences, lambda x: F.size(S.words(x))), lambda n: n > 0))
+    said = F.filter(F.transform(sentences, lambda x: F.size(S.words(x))), lambda n: n > 0)
+    rows = S.once(rows, _t=text, k=S.keys(text), v=said).where(F.size("k") >= 5)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
     square = F.aggregate("v", F.lit(0).cast("long"), lambda x, y: x + y * y)
     count = lambda rx: F.regexp_count("_t", F.lit(rx)).cast("long")
     many = lambda a, f: F.size(F.filter(a, f)).cast("long")
     quoted = F.transform(F.regexp_extract_all("_t", F.lit("[\"“]([^\"“”]{2,600}?)[\"”]"), F.lit(1)), lambda q: F.size(S.words(q)))
     return rows.select(
-        *[c for c in rows.columns if c not in (sentences, "_t", "k", "v")],
+        *rest,
         F.size("k").cast("long").alias("words"), F.size("v").cast("long").alias("sentences"), F.size(sentences).cast("long").alias("spans"),
         total("v").alias("in_sentences"), square.alias("squares"),
         count(",").alias("commas"), count(";").alias("semis"), (count("[—–]") + count(" - ")).alias("dash_marks"),
@@ -96,7 +95,7 @@ def score(docs: DataFrame, baseline: DataFrame, group: str | None = None, id_col
 
     A baseline has twelve rows per group, far fewer than documents; Spark picks the join."""
     grp = F.col(group).cast("string") if group else F.lit("all")
-    whole = docs.select(F.col(id_col).alias("id"), grp.alias("grp"), S.sentences(F.col(text_col)).alias("s"))
+    whole = S.once(docs.select(F.col(id_col).alias("id"), grp.alias("grp"), F.col(text_col).alias("text")), s=S.sentences(F.col("text"))).drop("text")
     rows = long_form(measured(counted(whole, common=common)), ["id", "grp", "words", "sentences"]).join(baseline, ["grp", "metric"])
     need = lambda table, c: F.coalesce(*[F.when(F.col("metric") == m, F.col(c) >= n) for m, n in table.items()], F.lit(True))
     rows = rows.where(need(NEEDS_SENTENCES, "sentences") & need(NEEDS_WORDS, "words"))
