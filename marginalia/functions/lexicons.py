@@ -130,3 +130,13 @@ recorder trombone horn horns flute ukulele boost heavy riff riffs groove pedal p
 kick note notes""".split()
 INSTRUMENT_BEFORE = "808 sub slap synth upright electric double fretless acid deep booming".split()
 VOICE_NOUNS = "voice voiced vocal vocals singer register range timbre lead line-up".split()
+
+#: HTML tag names that count as markup.
+HTML_TAGS = (
+    "a abbr address article aside audio b bdi bdo blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em "
+    "figcaption figure font footer form h[1-6] head header hr html i iframe img input ins kbd label li link main mark meta nav ol option p picture pre "
+    "q s samp script section select small source span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr u ul var video wbr"
+).split()
+
+#: Words that join the words of a title-case term.
+CONNECTIVES = ("of", "the", "and", "for", "a", "an", "to", "in", "on")

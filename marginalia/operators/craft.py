@@ -193,29 +193,67 @@ def modals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return d.select("*", ((F.col("shall") >= 3) & (F.col("must") >= 3)).alias("mixed_duty"), ((F.col("may") >= 3) & (F.col("can") >= 3)).alias("mixed_leave"))
 
 
+#: An acronym is a whole run of letters and digits of this form.
+ACRONYM = "(?<![\\p{L}\\p{N}_])[A-Z][A-Z0-9]{1,7}(?![\\p{L}\\p{N}_])"
+#: Runs of title-case words, hyphenated words, words with inner capitals.
+TERM_FORMS = (
+    "\\b(?:[A-Z][a-z0-9]+(?:[-/][A-Za-z0-9]+)*)(?:\\s+(?:[A-Z][a-z0-9]+|of|the|and|for)(?:[-/][A-Za-z0-9]+)*){0,3}\\b",
+    "\\b[A-Za-z]{3,}(?:-[A-Za-z]{2,})+\\b",
+    "\\b[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+\\b",
+)
+
+
 def acronyms(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Acronyms of each document with their uses; expanded if their initials stand in brackets."""
+    """Acronyms of each document with their uses; `checks.acronyms` says how they are expanded."""
     d = _doc(docs, id_col, text_col)
-    found = F.filter(F.transform(S.words(F.col("text")), lambda w: F.regexp_replace(w, "(['’]s|s)$", "")), lambda w: w.rlike("^[A-Z]{2,8}$") & ~w.isin(L.ACRONYM_SKIP))
+    found = F.filter(F.regexp_extract_all("text", F.lit(ACRONYM), F.lit(0)), lambda w: ~w.isin(L.ACRONYM_SKIP))
     rows = d.select("doc_id", F.explode(found).alias("acronym")).groupBy("doc_id", "acronym").agg(F.count("*").alias("n"))
     return rows.where(F.col("n") >= least)
 
 
-def terms(docs: DataFrame, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Hyphenated terms whose key has several spellings over all documents."""
+def term_uses(docs: DataFrame, common: Sequence[str] = L.STOPWORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, form, n): candidate terms of each document, common words and connectives cut off their ends."""
     d = _doc(docs, id_col, text_col)
-    found = F.filter(S.words(F.col("text")), lambda w: w.contains("-") | w.rlike("^[A-Z][a-z]+[A-Z]") | w.rlike("^[A-Z]"))
-    rows = d.select(F.explode(found).alias("form")).select(S.term_key(F.col("form")).alias("key"), S.normalise(F.col("form")).alias("form")).where(F.length("key") >= 4)
-    forms = rows.groupBy("key", "form").agg(F.count("*").alias("n"))
-    out = forms.groupBy("key").agg(F.count("*").alias("forms"), F.sum("n").alias("uses"), F.array_join(F.sort_array(F.collect_set("form")), "|").alias("spellings"))
-    return out.where((F.col("forms") >= 2) & (F.col("uses") >= least))
+    runs = F.concat(*[F.regexp_extract_all("text", F.lit(rx), F.lit(0)) for rx in TERM_FORMS])
+    plain = lambda w: S.bare(S.normalise(w)).isin([*common, *L.CONNECTIVES])
+    joining = lambda w: F.lower(w).isin(list(L.CONNECTIVES))
+    rest = lambda ws, drop: F.slice(ws, F.greatest(F.array_position(F.transform(ws, lambda w: ~drop(w)), F.lit(True)), F.lit(1)).cast("int"), F.size(ws))
+    ends = lambda ws: F.when(F.forall(ws, plain), F.array().cast("array<string>")).otherwise(F.reverse(rest(F.reverse(rest(ws, plain)), joining)))
+    found = F.transform(runs, lambda r: F.array_join(ends(F.split(F.trim(r), "\\s+")), " "))
+    rows = d.select("doc_id", F.explode(found).alias("form")).where((F.length("form") >= 4) & ~plain(F.col("form")))
+    rows = rows.select("doc_id", S.term_key(F.col("form")).alias("key"), F.lower("form").alias("form")).where(F.length("key") >= 4)
+    return rows.groupBy("doc_id", "key", "form").agg(F.count("*").alias("n"))
+
+
+def spellings(uses: DataFrame, by: Sequence[str] = (), least: int = 3, seeded: Sequence[str] = ()) -> DataFrame:
+    """Terms with several spellings: all that differ in punctuation only, others from `least`
+    uses on or where the project names them. uses: term_uses(), summed up by the columns `by`."""
+    forms = uses.groupBy(*by, "key", "form").agg(F.sum("n").alias("n"))
+    g = forms.groupBy(*by, "key").agg(F.count("*").alias("forms"), F.sum("n").alias("uses"), F.array_join(F.sort_array(F.collect_set("form")), "|").alias("spellings"), F.countDistinct(F.regexp_replace("form", "[^a-z0-9]", "")).alias("letters"))
+    known = F.col("key").isin(list(seeded)) if seeded else F.lit(False)
+    return g.where((F.col("forms") >= 2) & ((F.col("uses") >= least) | (F.col("letters") == 1) | known)).drop("letters")
+
+
+def terms(docs: DataFrame, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Terms whose key has several spellings over all documents."""
+    return spellings(term_uses(docs, id_col=id_col, text_col=text_col), (), least)
+
+
+#: What is said, in double quotes; in single ones where a text has none of those.
+DOUBLE_QUOTED = "[\"“]([^\"“”]{2,600}?)[\"”]"
+SINGLE_QUOTED = "(?<![\\p{L}])['‘]([^'‘\n]{4,600}?)['’](?![\\p{L}])"
+
+
+def quoted(text: Column) -> Column:
+    """array of what a text has in quotes."""
+    double, single = (F.regexp_extract_all(text, F.lit(rx), F.lit(1)) for rx in (DOUBLE_QUOTED, SINGLE_QUOTED))
+    return F.when(F.size(double) > 0, double).otherwise(single)
 
 
 def dialogue(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Words inside double quotes, of documents of at least `least` words."""
+    """Words inside quotes, of documents of at least `least` words."""
     d = _doc(docs, id_col, text_col)
-    quoted = F.regexp_extract_all("text", F.lit("[\"“]([^\"“”]{2,600}?)[\"”]"), F.lit(1))
-    n = F.aggregate(F.transform(quoted, lambda q: F.size(S.words(q))), F.lit(0), lambda a, b: a + b)
+    n = F.aggregate(F.transform(quoted(F.col("text")), lambda q: F.size(S.words(q))), F.lit(0), lambda a, b: a + b)
     return d.select("doc_id", F.size(S.words(F.col("text"))).cast("long").alias("words"), n.cast("long").alias("quoted")).where(F.col("words") >= least)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
-WORD = "[A-Za-z][A-Za-z'\\-]*"
+#: Fixed value: a word has two characters at least.
+WORD = "[A-Za-z][A-Za-z'\\-]+"
 
 
 def terms(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -19,7 +20,8 @@ def terms(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def search(passages: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
     """The k best passages of each query: query_id, id, score, rank.
 
-    Only terms that some query has are kept, right after the scan."""
+    Only terms that some query has are kept, right after the scan. Spark cuts each task's
+    scores to a query's k best before they meet in that query's window."""
     q = terms(queries, query_id, query_text).select(F.col("id").alias("query_id"), "term").distinct()
     size = passages.select(F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     t = terms(passages, id_col, text_col).join(q.select("term").distinct(), "term", "left_semi")
@@ -28,7 +30,16 @@ def search(passages: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     scored = t.withColumn("weight", weight).join(q, "term").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def relevance(hits: DataFrame, passages: DataFrame, limit: int = 24, id_col: str = "id") -> DataFrame:
+    """(query_id, section_id, relevance): a section's best passage over the query's best one.
+
+    hits: search() of passages that have a section_id; the best `limit` sections are listed."""
+    best = hits.join(passages.select(F.col(id_col).alias("id"), "section_id"), "id").groupBy("query_id", "section_id").agg(F.max("score").alias("score"))
+    top = best.groupBy("query_id").agg(F.max("score").alias("top"))
+    d = best.join(top, "query_id").select("query_id", "section_id", (F.col("score") / F.col("top")).alias("relevance"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "section_id"))
+    return d.withColumn("rank", rank).where(F.col("rank") <= limit)

@@ -1,5 +1,5 @@
 """Orderings: runs, gaps, reversals, streaks, presence. A key's rows are ordered inside one
-partition by that key; where a key may be hot, `bucket` splits its range first."""
+partition by that key, so a key's rows are sorted by one task, which spills to disk."""
 
 from __future__ import annotations
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from . import units
+from . import influence, units
 
 #: What each verb makes of a claim, and from which states.
 VERBS = {"accept": ("accepted", ("proposed", "rejected", "accepted")), "reject": ("rejected", ("proposed", "accepted", "rejected")), "supersede": ("superseded", ("accepted", "proposed")), "revise": ("proposed", ("proposed",))}
@@ -100,9 +100,4 @@ def located_claims(claims: DataFrame, sections: DataFrame) -> DataFrame:
 
 def record(influences: Sequence[str], passages: DataFrame) -> DataFrame:
     """passages with recorded texts blanked out at the same length, so that borrowed prose isn't measured as the author's."""
-    text = F.col("text")
-    for said in influences:
-        rx = "\\s+".join("".join("\\" + c if c in "\\.^$|()[]{}*+?-" else c for c in w) for w in said.split())
-        hit = F.regexp_extract("text", rx, 0)
-        text = F.when(hit != "", F.replace(text, hit, F.regexp_replace(hit, "[^\\n]", " "))).otherwise(text)
-    return passages.withColumn("text", text)
+    return passages.withColumn("text", influence.blanked(F.col("text"), list(influences)))

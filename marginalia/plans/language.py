@@ -100,7 +100,7 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def syllable_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir, True).select("doc_id", F.transform(S.words(F.col("text")), S.syllables).alias("y"))
+    d = _docs(spark, sf_dir).select("doc_id", F.transform(S.words(F.col("text")), S.syllables).alias("y"))
     total = F.aggregate("y", F.lit(0).cast("long"), lambda a, b: a + b)
     return d.select("doc_id", total.alias("syllables"), F.size(F.filter("y", lambda n: n >= 3)).cast("long").alias("long_words"))
 
@@ -152,9 +152,9 @@ ORACLES = {
         SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, CAST(e - length(t) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", t AS token
         FROM (SELECT doc_id, i, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM tok)""",
     "syllable_totals": f"""
-        WITH {token_sql(EN)}, y AS (SELECT doc_id, regexp_replace(norm, '[^a-z]', '', 'g') AS y FROM w), n AS (SELECT doc_id, {SYLLABLES} AS n FROM y)
+        WITH {token_sql()}, y AS (SELECT doc_id, regexp_replace(norm, '[^a-z]', '', 'g') AS y FROM w), n AS (SELECT doc_id, {SYLLABLES} AS n FROM y)
         SELECT documents.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS syllables, count(*) FILTER (n >= 3) AS long_words
-        FROM documents LEFT JOIN n USING (doc_id) WHERE {EN} GROUP BY 1""",
+        FROM documents LEFT JOIN n USING (doc_id) GROUP BY 1""",
     "sentence_counts": f"""
         WITH {token_sql()}
         SELECT documents.doc_id, count(sid) AS sentences, CAST(coalesce(sum(length(body)), 0) AS BIGINT) AS chars FROM documents LEFT JOIN sent USING (doc_id) GROUP BY 1""",
@@ -212,17 +212,22 @@ ORACLES = {
         WITH {token_sql(EN)}, c AS (SELECT doc_id, {", ".join(f"count(*) FILTER (key = '{m}') AS {m}" for m in L.MODALS)} FROM documents LEFT JOIN w USING (doc_id) WHERE {EN} GROUP BY 1)
         SELECT *, shall >= 3 AND must >= 3 AS mixed_duty, may >= 3 AND can >= 3 AS mixed_leave FROM c""",
     "acronym_counts": f"""
-        WITH {token_sql()}, a AS (SELECT doc_id, regexp_replace(word, '([''’]s|s)$', '') AS acronym FROM w)
-        SELECT doc_id, acronym, count(*) AS n FROM a WHERE regexp_matches(acronym, '^[A-Z]{{2,8}}$') AND acronym NOT IN ({quoted(L.ACRONYM_SKIP)}) GROUP BY 1, 2 HAVING count(*) >= 2""",
+        WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS acronym FROM documents)
+        SELECT doc_id, acronym, count(*) AS n FROM a WHERE regexp_full_match(acronym, '[A-Z][A-Z0-9]{{1,7}}') AND acronym NOT IN ({quoted(L.ACRONYM_SKIP)}) GROUP BY 1, 2 HAVING count(*) >= 2""",
     "term_spellings": f"""
-        WITH {token_sql(EN)},
-        k AS (SELECT norm AS form, regexp_replace(norm, '[^a-z0-9]', '', 'g') AS k FROM w WHERE word LIKE '%-%' OR regexp_matches(word, '^[A-Z]')),
+        WITH r AS (SELECT unnest(list_concat({", ".join(f"regexp_extract_all(text, {text_sql(rx)})" for rx in craft.TERM_FORMS)})) AS run FROM documents WHERE {EN}),
+        p AS (SELECT regexp_split_to_array(trim(run), '\\s+') AS ws FROM r),
+        m AS (SELECT ws, [regexp_replace(translate(w, {text_sql(S.FOLD_FROM)}, {text_sql(S.FOLD_TO)}), '^[''-]+|[''-]+$', '', 'g') IN ({quoted([*L.STOPWORDS, *L.CONNECTIVES])}) FOR w IN ws] AS plain, [lower(w) IN ({quoted(L.CONNECTIVES)}) FOR w IN ws] AS joins FROM p),
+        c AS (SELECT array_to_string(ws[list_position(plain, false) : len(ws) + 1 - list_position(list_reverse(joins), false)], ' ') AS form FROM m WHERE NOT list_bool_and(plain)),
+        k AS (SELECT lower(form) AS form, regexp_replace({norm('form')}, '[^a-z0-9]', '', 'g') AS k FROM c WHERE length(form) >= 4 AND {bare(norm('form'))} NOT IN ({quoted([*L.STOPWORDS, *L.CONNECTIVES])})),
         t AS (SELECT form, CASE WHEN length(k) > 4 AND k LIKE '%ies' THEN left(k, length(k) - 3) || 'y' WHEN length(k) > 4 AND k LIKE '%ses' THEN left(k, length(k) - 2)
                                 WHEN length(k) > 4 AND k LIKE '%es' THEN left(k, length(k) - 2) WHEN length(k) > 4 AND k LIKE '%s' THEN left(k, length(k) - 1) ELSE k END AS key FROM k),
         f AS (SELECT key, form, count(*) AS n FROM t WHERE length(key) >= 4 GROUP BY 1, 2)
-        SELECT key, count(*) AS forms, CAST(sum(n) AS BIGINT) AS uses, string_agg(form, '|' ORDER BY form) AS spellings FROM f GROUP BY 1 HAVING count(*) >= 2 AND sum(n) >= 3""",
+        SELECT key, count(*) AS forms, CAST(sum(n) AS BIGINT) AS uses, string_agg(form, '|' ORDER BY form) AS spellings FROM f GROUP BY 1
+        HAVING count(*) >= 2 AND (sum(n) >= 3 OR count(DISTINCT regexp_replace(form, '[^a-z0-9]', '', 'g')) = 1)""",
     "dialogue_share": f"""
-        WITH q AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '["“]([^"“”]{{2,600}}?)["”]', 1)) AS said FROM documents),
+        WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '["“]([^"“”]{{2,600}}?)["”]', 1) AS said FROM documents),
+        q AS (SELECT doc_id, unnest(CASE WHEN len(said) > 0 THEN said ELSE regexp_extract_all(regexp_replace(text, '([\\p{{L}}])[''‘’]+([\\p{{L}}])', '\\1\\2', 'g'), '[''‘]([^''‘\n]{{4,600}}?)[''’]', 1) END) AS said FROM s),
         n AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(said, {text_sql(S.WORD)}))) AS BIGINT) AS quoted FROM q GROUP BY 1),
         d AS (SELECT doc_id, CAST(len(regexp_extract_all(text, {text_sql(S.WORD)})) AS BIGINT) AS words FROM documents)
         SELECT doc_id, words, coalesce(quoted, 0) AS quoted FROM d LEFT JOIN n USING (doc_id) WHERE words >= 100""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import findings, retrieval, sequences, units
+from ..operators import findings, influence, retrieval, sequences, units
 
 #: (name, value, unit, value, unit): quantities compared pairwise.
 PAIRS = [
@@ -124,14 +124,9 @@ def bm25(spark, sf_dir):
 
 def passages(spark, sf_dir):
     """Benchmark items that stand in a document word for word, white space aside."""
-    flat = lambda c: F.trim(F.regexp_replace(c, "\\s+", " "))
-    d = _read(spark, sf_dir, "documents").select("doc_id", flat(F.col("text")).alias("t"))
-    # Only documents with an item's first five words as a shingle meet that item.
-    ws = F.split("t", " ")
-    five = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - 4)), lambda i: F.array_join(F.slice(ws, i, 5), " ")))
-    items = _read(spark, sf_dir, "benchmark").select("item_id", flat(F.col("text")).alias("item")).select("item_id", "item", F.array_join(F.slice(F.split("item", " "), 2, 5), " ").alias("g"))
-    hits = d.select("doc_id", F.explode(five).alias("g")).join(items, "g").select("doc_id", "item_id", "item")
-    return hits.join(d, "doc_id").where(F.contains(F.col("t"), F.col("item"))).select("doc_id", "item_id", F.instr(F.col("t"), F.col("item")).cast("long").alias("at"), F.char_length("item").cast("long").alias("n")).distinct()
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), "text")
+    out = influence.found(_read(spark, sf_dir, "documents"), items)
+    return out.select("doc_id", F.col("passage_id").alias("item_id"), "at", "n")
 
 
 def band_order(spark, sf_dir):
@@ -203,10 +198,10 @@ ORACLES = {
         SELECT doc_id AS rel, CASE doc_id % 10 WHEN 1 THEN 'added' WHEN 2 THEN 'removed' ELSE 'changed' END AS change FROM documents
         WHERE doc_id % 10 IN (1, 2) OR (doc_id % 10 = 3 AND md5(text) <> reverse(md5(text)))""",
     "bm25_topk": r"""
-        WITH d AS (SELECT doc_id, [lower(x) for x in regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*')] AS w FROM documents), z AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+        WITH d AS (SELECT doc_id, [lower(x) for x in regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]+')] AS w FROM documents), z AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
         t AS (SELECT doc_id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, unnest(w) AS term, len(w) AS l FROM d) GROUP BY 1, 2),
         f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
-        q AS (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*'))) AS term FROM benchmark),
+        q AS (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]+'))) AS term FROM benchmark),
         s AS (SELECT item_id AS query_id, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))) AS score
               FROM q JOIN t USING (term) JOIN f USING (term), z GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)

@@ -97,7 +97,12 @@ def test_scan_and_prose():
         assert shown.index(kept) == MANUAL.index(kept)
     assert [b[0] for b in st.scan("~~~\n\ntext\n```\nopen")] == ["rule", "para", "rule", "para"]
     t = "a <!-- b --> [lab](url) <b>x</b> <http://q> **bold** snake_case 2 < 3"
-    assert st.prose(t, st.scan(t)).split() == ["a", "lab", "x", "bold", "snake_case", "2", "<", "3"]
+    assert st.prose(t, st.scan(t)).split() == ["a", "lab", "x", "bold", "snake", "case", "2", "<", "3"]
+    # A thought in angle brackets, a key's name and doubled back-quotes are prose.
+    for t in ("She heard <Where are you?> and <I love you> twice.", "Press <Enter> now.", "He said ``hello'' and then `code` went.", "<A ship comes> said it."):
+        shown = st.prose(t, st.scan(t))
+        assert len(shown) == len(t) and shown == t.replace("`code`", "      ")
+    assert st.prose("x <a href='y' id=z>k</a> <br/> <img src=\"q\"> end", [("para", 0, 51, "", 0, 0)]).split() == ["x", "k", "end"]
 
 
 def test_sections(spark, folder):
