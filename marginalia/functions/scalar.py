@@ -4,6 +4,7 @@ that stay in the JVM and work inside one row, so no text is shuffled for them.""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,14 +99,23 @@ def sentence_lengths(text: Column) -> Column:
     return F.filter(F.transform(sentences(text), lambda s: F.size(words(s))), lambda n: n > 0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def syllables(word: Column) -> Column:
     """Vowel groups, with rules for silent endings; at least 1, 0 of no letters."""
-    w = F.regexp_replace(normalise(word), "[^a-z]", "")
-    n = F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), F.lit(0)))
-    n = n - F.when(w.rlike("e$") & ~w.rlike("(ee|ye)$"), 1).otherwise(0)
-    n = n + F.when(w.rlike("[^aeiouy]le$"), 1).otherwise(0)
-    n = n - F.when(w.rlike("[^td]ed$"), 1).otherwise(0)
-    return F.when(F.length(w) == 0, 0).when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), n))
+
+    def counted(w: Column) -> Column:
+        n = F.regexp_count(w, F.lit("[aeiouy]+"))
+        silent = w.endswith("e") & ~w.endswith("ee") & ~w.endswith("ye")
+        n = n - F.when(silent, 1).otherwise(0)
+        n = n + F.when(w.endswith("le") & w.rlike("[^aeiouy]le$"), 1).otherwise(0)
+        n = n - F.when(w.endswith("ed") & w.rlike("[^td]ed$"), 1).otherwise(0)
+        return F.when(F.length(w) == 0, 0).when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), n))
+
+    return let(F.regexp_replace(normalise(word), "[^a-z]", ""), counted)
 
 
 def term_key(term: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -34,7 +34,7 @@ def running(values: Column, start: Column) -> Column:
 
 def token_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every token with its code point offsets; the tokens cover the text without gaps."""
-    d = _doc(docs, id_col, text_col).select("doc_id", S.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    d = S.once(_doc(docs, id_col, text_col), t=S.tokens(F.col("text"))).where(F.size("t") > 0)
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + F.char_length(b))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / PART).cast("int")), lambda k: F.slice("t", k * PART + 1, PART))
     d = d.select("doc_id", "t", parts.alias("parts")).select("doc_id", "t", "parts", running(F.transform("parts", total), F.lit(0)).alias("base"))
@@ -45,8 +45,7 @@ def token_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens, words and covered characters per document; no token is exploded."""
-    toks = S.tokens(F.col("text"))
-    d = _doc(docs, id_col, text_col).select("doc_id", "text", toks.alias("t"))
+    d = S.once(_doc(docs, id_col, text_col), t=S.tokens(F.col("text")))
     long = F.aggregate(F.transform("t", F.char_length), F.lit(0), lambda a, b: a + b)
     return d.select(
         "doc_id",
@@ -75,7 +74,7 @@ def quantile(values: Column, q: float) -> Column:
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sentence lengths of each document: count, total, squares, range, deciles, and whether the rhythm is flat."""
-    d = _doc(docs, id_col, text_col).select("doc_id", S.sentence_lengths(F.col("text")).alias("v")).where(F.size("v") > 0)
+    d = S.once(_doc(docs, id_col, text_col), v=S.sentence_lengths(F.col("text"))).where(F.size("v") > 0)
     d = d.select("doc_id", "v", *described(F.col("v")))
     mean = F.col("total") / F.col("n")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mean * mean))
@@ -90,32 +89,32 @@ def stem(key: Column) -> Column:
     return F.when((F.length(key) > 5) & key.endswith("s"), F.substring(key, F.lit(1), F.length(key) - 1)).otherwise(key)
 
 
-def word_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, word_idx, key of every word."""
-    d = _doc(docs, id_col, text_col)
-    return d.select("doc_id", F.posexplode(S.keys(F.col("text"))).alias("word_idx", "key"))
-
-
 def echoes(docs: DataFrame, window: int = 120, floor: int = 5, common: Sequence[str] = L.STOPWORDS, names: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A distinctive word within `window` words of its previous use in the document.
 
-    Words that the whole document uses more than `floor` times are its vocabulary. A
-    document's words meet in one task anyway, so both the counts and the previous use come
-    from windows over one partitioning by document and stem."""
-    w = word_table(docs, id_col, text_col).where((F.length("key") >= 5) & ~F.col("key").isin(list(common)))
-    if names:
-        w = w.where(~F.col("key").isin([n.lower() for n in names]))
-    by = Window.partitionBy("doc_id", "stem")
-    w = w.withColumn("stem", stem(F.col("key")))
-    w = w.select("doc_id", "stem", "word_idx", F.lag("word_idx").over(by.orderBy("word_idx")).alias("prev"), F.count("*").over(by).alias("uses"))
-    near = (F.col("uses") <= floor) & (F.col("word_idx") - F.col("prev") <= window)
-    return w.where(near).select("doc_id", "stem", F.col("prev").cast("long").alias("first_idx"), F.col("word_idx").cast("long").alias("word_idx"), (F.col("word_idx") - F.col("prev")).cast("long").alias("distance"))
+    Words that the whole document uses more than `floor` times are its vocabulary. All
+    happens in the document's row: its words are sorted by stem and place, and each is
+    compared with those up to `floor` places before and after it."""
+    left_out = [*common, *[n.lower() for n in names]]
+    placed = F.transform(S.keys(F.col("text")), lambda k, i: F.struct(stem(k).alias("stem"), i.alias("at"), ((F.length(k) >= 5) & ~k.isin(left_out)).alias("kept")))
+    d = S.once(_doc(docs, id_col, text_col), w=F.array_sort(F.filter(placed, lambda x: x["kept"])))
+    same = lambda i, j: F.get("w", j)["stem"] == F.get("w", i)["stem"]
+
+    def near(i: Column) -> Column:
+        # Its stem is vocabulary if some floor + 1 neighbours in the sorted order share it.
+        many = F.exists(F.sequence(i - floor, i), lambda k: (k >= 0) & F.coalesce(same(k, k + floor), F.lit(False)))
+        return F.coalesce(same(i, i - 1), F.lit(False)) & (F.get("w", i)["at"] - F.get("w", i - 1)["at"] <= window) & ~many
+
+    hits = F.when(F.size("w") > 1, F.filter(F.sequence(F.lit(1), F.size("w") - 1), near))
+    pair = lambda i: F.struct(F.get("w", i)["stem"].alias("stem"), F.get("w", i - 1)["at"].cast("long").alias("first_idx"), F.get("w", i)["at"].cast("long").alias("word_idx"))
+    d = S.once(d.select("doc_id", "w"), h=F.transform(hits, pair)).select("doc_id", F.explode("h").alias("h"))
+    return d.select("doc_id", "h.*", (F.col("h.word_idx") - F.col("h.first_idx")).alias("distance"))
 
 
 def readability(docs: DataFrame, least: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words, sentences, syllables and long words of documents, with ease, grade and fog."""
-    d = _doc(docs, id_col, text_col).select("doc_id", S.words(F.col("text")).alias("w"), F.size(S.sentences(F.col("text"))).alias("sentences"))
-    d = d.where((F.size("w") >= least) & (F.col("sentences") > 0)).withColumn("y", F.transform("w", S.syllables))
+    d = S.once(_doc(docs, id_col, text_col), w=S.words(F.col("text")), sentences=F.size(S.sentences(F.col("text"))))
+    d = S.once(d.where((F.size("w") >= least) & (F.col("sentences") > 0)), y=F.transform("w", S.syllables))
     d = d.select(
         "doc_id", F.size("w").cast("long").alias("words"), F.col("sentences").cast("long").alias("sentences"),
         F.aggregate("y", F.lit(0).cast("long"), lambda a, b: a + b).alias("syllables"),
@@ -132,7 +131,7 @@ def readability(docs: DataFrame, least: int = 40, id_col: str = "doc_id", text_c
 
 def filter_words(docs: DataFrame, least: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Filter words and -ly adverbs of documents; heavy: beyond 6 per 1000 and 2.5 times all documents' rate."""
-    d = _doc(docs, id_col, text_col).select("doc_id", S.keys(F.col("text")).alias("k")).where(F.size("k") >= least)
+    d = S.once(_doc(docs, id_col, text_col), k=S.keys(F.col("text"))).where(F.size("k") >= least)
     d = d.select(
         "doc_id", F.size("k").cast("long").alias("words"),
         F.size(F.filter("k", lambda w: w.isin(L.FILTER_WORDS))).cast("long").alias("filters"), F.size(F.filter("k", S.is_adverb)).cast("long").alias("adverbs"),
@@ -144,9 +143,9 @@ def filter_words(docs: DataFrame, least: int = 60, id_col: str = "doc_id", text_
 
 
 def passives(docs: DataFrame, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    d = _doc(docs, id_col, text_col).select("doc_id", S.sentences(F.col("text")).alias("s")).where(F.size("s") >= least)
-    hit = F.filter("s", lambda x: S.is_passive(S.words(S.normalise(x))))
-    return d.select("doc_id", F.size("s").cast("long").alias("sentences"), F.size(hit).cast("long").alias("passives"))
+    # The words of a sentence are an array before they are looked at one by one.
+    d = S.once(_doc(docs, id_col, text_col), s=F.transform(S.sentences(F.col("text")), lambda x: S.words(S.normalise(x)))).where(F.size("s") >= least)
+    return d.select("doc_id", F.size("s").cast("long").alias("sentences"), F.size(F.filter("s", S.is_passive)).cast("long").alias("passives"))
 
 
 def first_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +177,7 @@ def opener_top(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: s
 
 def phrases(docs: DataFrame, least: int = 4, common: Sequence[str] = L.STOPWORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Four-word phrases that documents repeat, counted over all of them."""
-    d = _doc(docs, id_col, text_col).select("doc_id", S.words(S.normalise(F.col("text"))).alias("w")).where(F.size("w") >= 4)
+    d = S.once(_doc(docs, id_col, text_col), w=S.words(S.normalise(F.col("text")))).where(F.size("w") >= 4)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.slice("w", i, 4))
     kept = F.filter(grams, lambda g: F.exists(g, lambda w: ~S.bare(w).isin(list(common))))
     own = d.select("doc_id", F.explode(kept).alias("g")).groupBy("doc_id", F.array_join("g", " ").alias("phrase")).agg(F.count("*").alias("n"))
@@ -187,7 +186,7 @@ def phrases(docs: DataFrame, least: int = 4, common: Sequence[str] = L.STOPWORDS
 
 def modals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the modal verbs, and whether both requirement words are in use."""
-    d = _doc(docs, id_col, text_col).select("doc_id", S.keys(F.col("text")).alias("k"))
+    d = S.once(_doc(docs, id_col, text_col), k=S.keys(F.col("text")))
     count = lambda w: F.size(F.filter("k", lambda x: x == w)).cast("long").alias(w)
     d = d.select("doc_id", *map(count, L.MODALS))
     return d.select("*", ((F.col("shall") >= 3) & (F.col("must") >= 3)).alias("mixed_duty"), ((F.col("may") >= 3) & (F.col("can") >= 3)).alias("mixed_leave"))
@@ -259,7 +258,7 @@ def dialogue(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col
 
 def summaries(docs: DataFrame, head: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first sentences, and the last one of more than three."""
-    d = _doc(docs, id_col, text_col).select("doc_id", S.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    d = S.once(_doc(docs, id_col, text_col), s=S.sentences(F.col("text"))).where(F.size("s") > 0)
     flat = F.transform("s", lambda x: F.regexp_replace(x, "\\s+", " "))
     first = F.array_join(F.slice(flat, 1, head), " ")
     return d.select("doc_id", F.when(F.size("s") > 3, F.concat(first, F.lit(" … "), F.element_at(flat, -1))).otherwise(first).alias("summary"))
