@@ -1,6 +1,7 @@
 """Facts and continuity: claims with their places, contradictions, names, time markers.
 
-All work on passages (rel, section_id, ord, start, text): prose in reading order. Claims
+All work on passages (rel, section_id, ord, start, text): prose in reading order. Passages
+of many manuscripts have a column ms; each manuscript is compared with itself only. Claims
 are read sentence by sentence inside a row; what is compared meets on its key after equal
 values were counted together."""
 
@@ -25,15 +26,22 @@ def _predicate(word: Column) -> Column:
     return out
 
 
+PLACE = ("ms", "rel", "section_id", "ord", "start")
+
+
+def placed(passages: DataFrame) -> DataFrame:
+    return passages if "ms" in passages.columns else passages.withColumn("ms", F.lit(""))
+
+
 def sentence_rows(passages: DataFrame) -> DataFrame:
-    return passages.select("rel", "section_id", "ord", "start", F.posexplode(S.sentences(F.col("text"))).alias("sent_idx", "quote"))
+    return placed(passages).select(*PLACE, F.posexplode(S.sentences(F.col("text"))).alias("sent_idx", "quote"))
 
 
 def _claims(rows: DataFrame, hits: Column, subject, predicate, value, kind: str, unit=None) -> DataFrame:
-    d = rows.select("rel", "section_id", "ord", "start", "sent_idx", "quote", F.posexplode(hits).alias("hit_no", "h"))
+    d = rows.select(*PLACE, "sent_idx", "quote", F.posexplode(hits).alias("hit_no", "h"))
     unit_ = unit or (lambda h: F.lit(""))
     return d.select(
-        "rel", "section_id", "ord", "start", "sent_idx", "hit_no", "quote", F.lit(kind).alias("kind"), F.lit("proposed").alias("state"), F.lit("measured").alias("origin"),
+        *PLACE, "sent_idx", "hit_no", "quote", F.lit(kind).alias("kind"), F.lit("proposed").alias("state"), F.lit("measured").alias("origin"),
         subject(F.col("h")).alias("subject"), predicate(F.col("h")).alias("predicate"), value(F.col("h")).alias("value"), unit_(F.col("h")).alias("unit"),
     )
 
@@ -50,7 +58,7 @@ def numeric_claims(passages: DataFrame) -> DataFrame:
     what = lambda h: F.when(h["quantity"] != "", h["quantity"]).when(F.col("_o") != "", F.when(verb != "", verb).otherwise(h["dimension"])).otherwise("")
     d = rows.select("*", F.posexplode(found).alias("hit_no", "h")).withColumn("_q", what(F.col("h"))).where("_q <> ''")
     return d.select(
-        "rel", "section_id", "ord", "start", "sent_idx", "hit_no", "quote", F.lit("numeric").alias("kind"), F.lit("proposed").alias("state"), F.lit("measured").alias("origin"),
+        *PLACE, "sent_idx", "hit_no", "quote", F.lit("numeric").alias("kind"), F.lit("proposed").alias("state"), F.lit("measured").alias("origin"),
         F.when(F.col("_o") != "", F.col("_o")).otherwise(F.col("_q")).alias("subject"), F.when(F.col("_o") != "", F.col("_q")).otherwise("value").alias("predicate"), F.col("h.value").alias("value"), F.col("h.unit").alias("unit"),
     )
 
@@ -118,12 +126,12 @@ def contradictions(claims_: DataFrame) -> DataFrame:
     A value stands for all its mentions: its first place and their number. Numbers compare
     by stated precision, times within their kind, other values by text. `certain` is false
     where the two may speak of different things (a bare quantity in two sections)."""
-    live = claims_.where("state not in ('rejected', 'superseded')").withColumn("key", F.concat_ws("|", F.lower(F.trim("subject")), F.lower(F.trim("predicate"))))
+    live = placed(claims_).where("state not in ('rejected', 'superseded')").withColumn("key", F.concat_ws("|", F.lower(F.trim("subject")), F.lower(F.trim("predicate"))))
     live = live.withColumn("shown", F.lower(F.trim("value"))).withColumn("u", F.coalesce("unit", F.lit("")))
     place = F.struct("ord", "start", "sent_idx", "hit_no")
-    d = live.groupBy("key", "kind", "predicate", "shown", "u").agg(F.min(place).alias("at"), F.count("*").alias("mentions"), F.min_by("quote", place).alias("quote"), F.min_by("section_id", place).alias("section_id"), F.min_by("value", place).alias("value"))
-    side = lambda p: d.select("key", "kind", "predicate", *[F.col(c).alias(f"{p}_{c}") for c in ("value", "u", "at", "mentions", "quote", "section_id", "shown")])
-    pairs = side("a").join(side("b"), ["key", "kind", "predicate"]).where(F.struct("a_at", "a_shown") < F.struct(F.col("b_at"), F.col("b_shown")))
+    d = live.groupBy("ms", "key", "kind", "predicate", "shown", "u").agg(F.min(place).alias("at"), F.count("*").alias("mentions"), F.min_by("quote", place).alias("quote"), F.min_by("section_id", place).alias("section_id"), F.min_by("value", place).alias("value"))
+    side = lambda p: d.select("ms", "key", "kind", "predicate", *[F.col(c).alias(f"{p}_{c}") for c in ("value", "u", "at", "mentions", "quote", "section_id", "shown")])
+    pairs = side("a").join(side("b"), ["ms", "key", "kind", "predicate"]).where(F.struct("a_at", "a_shown") < F.struct(F.col("b_at"), F.col("b_shown")))
     iso, sec = "^\\d{4}-\\d{2}-\\d{2}$", _seconds
     kind_of = lambda c: F.when(F.col(c).isin(L.WEEKDAYS), "weekday").when(F.col(c).rlike(iso), "date").when(sec(F.col(c)).isNotNull(), "duration").otherwise("other")
     timed = (kind_of("a_shown") == kind_of("b_shown")) & F.when(kind_of("a_shown") == "duration", sec(F.col("a_shown")) != sec(F.col("b_shown"))).otherwise(F.col("a_shown") != F.col("b_shown"))
@@ -139,7 +147,7 @@ def contradictions(claims_: DataFrame) -> DataFrame:
 def cast(passages: DataFrame, least: int = 4, limit: int = 40) -> DataFrame:
     """Names by use: capitalised, at least once inside a sentence, mostly no calendar use."""
     rx = "\\b[A-Z][a-z]{2,}(?:['’-][A-Z]?[a-z]+)?\\b"
-    s = sentence_rows(passages).select("quote")
+    s = sentence_rows(passages).select("ms", "quote")
     pieces, hits = F.split("quote", rx, -1), F.regexp_extract_all("quote", F.lit(rx), F.lit(0))
     each = F.transform(
         hits,
@@ -150,19 +158,71 @@ def cast(passages: DataFrame, least: int = 4, limit: int = 40) -> DataFrame:
             F.get(pieces, i + 1).rlike("(?i)^\\s*(?:\\d|the\\s+\\d|morning|afternoon|evening|night|week|next|last)").alias("dated_after"),
         ),
     )
-    n = s.select(F.explode(each).alias("x")).select("x.*").where(~F.lower("name").isin(L.STOPWORDS))
+    n = s.select("ms", F.explode(each).alias("x")).select("ms", "x.*").where(~F.lower("name").isin(L.STOPWORDS))
     calendar = F.lower("name").isin(L.CALENDAR) & (F.col("dated") | F.coalesce("dated_after", F.lit(False)))
-    out = n.groupBy("name").agg(F.count("*").alias("uses"), F.count_if("inside").alias("inside"), F.count_if(calendar).alias("dates"))
-    return out.where((F.col("uses") >= least) & (F.col("inside") >= 1) & (F.col("dates") * 2 < F.col("uses"))).orderBy(F.desc("uses"), "name").limit(limit).select("name", "uses")
+    out = n.groupBy("ms", "name").agg(F.count("*").alias("uses"), F.count_if("inside").alias("inside"), F.count_if(calendar).alias("dates"))
+    out = out.where((F.col("uses") >= least) & (F.col("inside") >= 1) & (F.col("dates") * 2 < F.col("uses")))
+    rank = F.row_number().over(Window.partitionBy("ms").orderBy(F.desc("uses"), "name"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= limit).select("ms", "name", "uses")
+
+
+def threads(passages: DataFrame, named: Sequence[str] = (), least: int = 3, limit: int = 60) -> DataFrame:
+    """(ms, name): what to follow through a manuscript: the project's cast and terms, else
+    names of one or two words with three uses and mostly no calendar use, 60 at most."""
+    p = placed(passages)
+    if named:
+        return p.select("ms").distinct().join(F.broadcast(p.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(named)], "name string")))  # a project's list
+    rx = "\\b[A-Z][a-z]{3,}(?:[- ][A-Z][a-z]{2,})?\\b"
+    hit = F.regexp_extract_all("text", F.lit(rx), F.lit(0))
+    pieces = F.split("text", rx, -1)
+    each = F.transform(hit, lambda h, i: F.struct(h.alias("h"), F.lower(F.regexp_extract(F.get(pieces, i), "([A-Za-z]+)[^A-Za-z]*$", 1)).isin(L.DATE_BEFORE).alias("dated")))
+    d = p.select("ms", F.explode(each).alias("x")).select("ms", "x.*")
+    head, tail = F.regexp_extract("h", "^([A-Za-z]+) (.*)$", 1), F.regexp_extract("h", "^([A-Za-z]+) (.*)$", 2)
+    # The first of two words may only be capitalised because it opens a sentence, or be a day.
+    name = F.when((head != "") & (F.lower(head).isin(L.STOPWORDS) | F.lower(head).isin(L.CALENDAR)), tail).otherwise(F.col("h"))
+    d = d.select("ms", name.alias("name"), "dated").where((F.length("name") >= 4) & ~F.lower("name").isin(L.STOPWORDS))
+    calendar = F.lower("name").isin(L.CALENDAR) & F.col("dated")
+    g = d.groupBy("ms", S.term_key(F.col("name")).alias("key")).agg(F.count("*").alias("n"), F.count_if(calendar).alias("dates"), F.min("name").alias("name"))
+    g = g.where((F.col("n") >= least) & (F.col("dates") * 2 < F.col("n")))
+    rank = F.row_number().over(Window.partitionBy("ms").orderBy(F.desc("n"), "name"))
+    return g.withColumn("rank", rank).where(F.col("rank") <= limit).select("ms", "name")
+
+
+def tracked(passages: DataFrame, sections: DataFrame, names: DataFrame, tail: float = 0.18) -> DataFrame:
+    """Where each followed name appears: mentions, first and last section, sections, emphasis, resolved.
+
+    Emphasis says how loudly a name came in: 2 for standing in its first section's title, 1
+    for its first mention within 400 characters of that section's start, and up to 2 for
+    further mentions in the paragraph of the first one. A name is resolved if its last
+    section lies in the last 18 % of all. names: ms, name; few for each manuscript."""
+    p = placed(passages)
+    s = sections.select("ms", F.col("id").alias("section_id"), F.col("start").alias("section_start"), "title")
+    total = sections.groupBy("ms").agg(F.count("*").alias("total"))
+    rx = F.concat(F.lit("(?i)(?<![\\p{L}\\p{N}_])"), F.lit("\\Q"), F.col("name"), F.lit("\\E"), F.lit("(?![\\p{L}\\p{N}_])"))
+    hits = p.join(names.withColumn("rx", rx), "ms").withColumn("n", F.expr("regexp_count(text, rx)")).where("n > 0")
+    at = F.expr("char_length(element_at(split(text, rx, 2), 1))")
+    hits = hits.withColumn("at", F.col("start") + at).join(s, ["ms", "section_id"])
+    first = F.struct("ord", "at", "n", "section_start", F.expr("regexp_count(title, rx)").alias("titled"), "section_id")
+    g = hits.groupBy("ms", "name").agg(F.sum("n").alias("mentions"), F.min(first).alias("f"), F.max("ord").alias("last"), F.countDistinct("section_id").alias("sections"), F.max_by("section_id", F.struct("ord", "at")).alias("last_section"))
+    g = g.join(total, "ms")
+    emphasis = 2.0 * (F.col("f.titled") > 0).cast("int") + (F.col("f.at") - F.col("f.section_start") < 400).cast("int") + F.least(F.lit(2), F.col("f.n") - 1)
+    return g.select("ms", "name", "mentions", F.col("f.ord").alias("first"), "last", "sections", emphasis.alias("emphasis"), (F.col("last") >= F.col("total") * (1 - tail)).alias("resolved"), "total", "last_section")
+
+
+def dropped_threads(tracked_: DataFrame, least_sections: int = 2, least_emphasis: float = 1.0) -> DataFrame:
+    """Names that came in with emphasis, went over several sections and then vanished."""
+    gap = F.col("total") - 1 - F.col("last")
+    d = tracked_.where(~F.col("resolved") & (F.col("sections") >= least_sections) & (F.col("emphasis") >= least_emphasis))
+    return d.where(gap >= F.greatest(F.lit(3), F.floor(F.col("total") / 4))).withColumn("gap", gap)
 
 
 def name_variants(names: DataFrame) -> DataFrame:
     """Pairs of a cast's names that may be one person, with the reason. names: name, uses; a
     cast is bounded by its limit, so its pairs are few."""
     nick = names.sparkSession.createDataFrame([(a, b) for a, bs in L.NICKNAMES.items() for b in bs.split()], "x string, y string")
-    k = names.select("name", "uses", S.normalise(F.col("name")).alias("k"))
-    a, b = k.select(*[F.col(c).alias(f"a_{c}") for c in k.columns]), k.select(*[F.col(c).alias(f"b_{c}") for c in k.columns])
-    pairs = a.join(F.broadcast(b), F.struct(-F.col("a_uses"), F.col("a_name")) < F.struct(-F.col("b_uses"), F.col("b_name"))).where("a_k <> b_k")
+    k = placed(names).select("ms", "name", "uses", S.normalise(F.col("name")).alias("k"))
+    a, b = k.select("ms", *[F.col(c).alias(f"a_{c}") for c in k.columns if c != "ms"]), k.select("ms", *[F.col(c).alias(f"b_{c}") for c in k.columns if c != "ms"])
+    pairs = a.join(b, "ms").where(F.struct(-F.col("a_uses"), F.col("a_name")) < F.struct(-F.col("b_uses"), F.col("b_name"))).where("a_k <> b_k")
     known = nick.union(nick.select("y", "x")).distinct().withColumn("nick", F.lit(True))
     pairs = pairs.join(F.broadcast(known), (F.col("a_k") == F.col("x")) & (F.col("b_k") == F.col("y")), "left")
     short, long = F.least(F.length("a_k"), F.length("b_k")), F.greatest(F.length("a_k"), F.length("b_k"))
@@ -172,10 +232,11 @@ def name_variants(names: DataFrame) -> DataFrame:
         F.when(F.col("nick"), "a known diminutive").when(starts, "one is a shortening of the other").when(near, "one or two characters apart")
         .when(F.replace(F.col("a_k"), F.lit("k"), F.lit("c")) == F.replace(F.col("b_k"), F.lit("k"), F.lit("c")), "a spelling variant")
     )
-    return pairs.select(F.col("a_name").alias("name"), F.col("b_name").alias("form"), why.alias("reason")).where("reason is not null")
+    return pairs.select("ms", F.col("a_name").alias("name"), F.col("b_name").alias("form"), F.col("a_uses").alias("uses"), F.col("b_uses").alias("form_uses"), why.alias("reason")).where("reason is not null")
 
 
-_MARKS = (
+#: The kinds of time markers in the order in which they are tried.
+MARKS = (
     ("weekday", "\\b(?:" + "|".join(L.WEEKDAYS) + ")\\b"),
     ("date", "\\b\\d{4}-\\d{2}-\\d{2}\\b"),
     ("date", "\\b\\d{1,2}\\s+(?:" + "|".join(L.MONTHS) + ")\\b[^.,;]{0,8}"),
@@ -187,32 +248,67 @@ _MARKS = (
 
 
 def moments(passages: DataFrame) -> DataFrame:
-    """Time markers with their places, one for each start: the first kind that fits."""
-    found = []
-    for rank, (kind, rx) in enumerate(_MARKS):
+    """Time markers with their places, one for each start: the first kind that fits.
+
+    All kinds are cut out of a text in its own row; a marker's place is the length of what
+    stands before it, summed up over the pieces and markers of its kind."""
+
+    def marked(rank: int, kind: str, rx: str) -> Column:
         rx = "(?i)" + rx
         pieces, hits = F.split("text", rx, -1), F.regexp_extract_all("text", F.lit(rx), F.lit(0))
-        none = F.array().cast("array<struct<rank:int,kind:string,at:int,said:string>>")
+        ends = running(F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.char_length(p) + F.char_length(h)))
+        return S.let(ends, lambda e: F.zip_with(hits, e, lambda h, at: F.struct((at - F.char_length(h)).alias("at"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), h.alias("said"))))
 
-        def add(acc: Column, x: Column, rank=F.lit(rank), kind=F.lit(kind)) -> Column:
-            at = acc["end"] + F.char_length(x["p"])
-            return F.struct((at + F.char_length(x["h"])).alias("end"), F.array_append(acc["out"], F.struct(rank.alias("rank"), kind.alias("kind"), at.alias("at"), x["h"].alias("said"))).alias("out"))
+    found = F.concat(*[marked(i, kind, rx) for i, (kind, rx) in enumerate(MARKS)])
+    d = S.once(placed(passages).select(*PLACE, "text"), m=F.array_sort(found)).select(*PLACE, "m")
+    first = F.filter("m", lambda x, i: (i == 0) | (F.get("m", i - 1)["at"] != x["at"]))
+    d = S.once(d, x=first).select(*PLACE, F.explode("x").alias("x"))
+    return d.select("ms", "rel", "section_id", "ord", (F.col("start") + F.col("x.at")).alias("start"), F.col("x.kind").alias("kind"), F.trim("x.said").alias("text"))
 
-        steps = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-        found.append(_fold(steps, none, add))
-    d = passages.select("rel", "section_id", "ord", "start", F.explode(F.concat(*found)).alias("m"))
-    d = d.groupBy("rel", "section_id", "ord", "start", F.col("m.at").alias("at")).agg(F.min("m").alias("m"))
-    return d.select("rel", "section_id", "ord", (F.col("start") + F.col("at")).alias("start"), F.col("m.kind").alias("kind"), F.trim("m.said").alias("text"))
 
+#: Marks of a text whose places are summed up together; a sum over parts keeps long texts linear.
+PART = 128
 
-def _fold(steps: Column, none: Column, add) -> Column:
-    return F.aggregate(steps, F.struct(F.lit(0).alias("end"), none.alias("out")), lambda acc, x: add(acc, x), lambda acc: acc["out"])
 
+def running(sizes: Column) -> Column:
+    """Running sums of an array of lengths."""
 
-def dates_backwards(moments_: DataFrame) -> DataFrame:
-    """ISO dates that are before the previous one in reading order, file by file and across files.
+    def run(a: Column, start: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(a, F.struct(start.alias("at"), none.alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out")), lambda acc: acc["out"])
 
-    A manuscript's dates are few; only they are ordered together."""
-    d = moments_.where(F.col("text").rlike("^\\d{4}-\\d{2}-\\d{2}$"))
-    before = F.lag("text").over(Window.orderBy("ord", "start"))
+    def joined(parts: Column) -> Column:
+        totals = run(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, b: a + b)), F.lit(0))
+        return S.let(totals, lambda t: F.flatten(F.transform(parts, lambda p, k: run(p, F.when(k > 0, F.get(t, k - 1)).otherwise(0)))))
+
+    parts = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / PART).cast("int")), lambda k: F.slice(a, k * PART + 1, PART))
+    return S.let(sizes, lambda a: F.when(F.size(a) > 0, S.let(parts(a), joined)).otherwise(F.array().cast("array<int>")))
+
+
+def dates_backwards(moments_: DataFrame) -> DataFrame:
+    """ISO dates that are before the previous one in reading order, over a manuscript's files."""
+    d = placed(moments_).where(F.col("text").rlike("^\\d{4}-\\d{2}-\\d{2}$"))
+    before = F.lag("text").over(Window.partitionBy("ms").orderBy("ord", "start"))
     return d.withColumn("before", before).where("text < before")
+
+
+def chronology(moments_: DataFrame) -> DataFrame:
+    """(ms, what, name, n, rank): markers by kind, the eight sections with most of them, and
+    the weekdays and the first forty dates in reading order with equal neighbours as one."""
+    m = placed(moments_)
+    kinds = m.groupBy("ms", F.col("kind").alias("name")).agg(F.count("*").alias("n")).withColumn("what", F.lit("kind")).withColumn("rank", F.lit(0))
+    busy = m.groupBy("ms", F.col("section_id").alias("name")).agg(F.count("*").alias("n")).withColumn("what", F.lit("section"))
+    busy = busy.withColumn("rank", F.row_number().over(Window.partitionBy("ms").orderBy(F.desc("n"), "name"))).where("rank <= 8")
+    value = S.normalise(F.col("text"))
+    runs = m.where("kind in ('weekday', 'date')").withColumn("name", value)
+    by = Window.partitionBy("ms", "kind").orderBy("ord", "start")
+    runs = runs.withColumn("was", F.lag("name").over(by)).where("was is null or was <> name")
+    runs = runs.select("ms", F.concat("kind", F.lit(" sequence")).alias("what"), "name", F.lit(1).cast("long").alias("n"), F.row_number().over(by).alias("rank"))
+    runs = runs.where("what <> 'date sequence' or rank <= 40")
+    cols = ["ms", "what", "name", "n", "rank"]
+    return kinds.select(cols).unionByName(busy.select(cols)).unionByName(runs.select(cols))
+
+
+def durations(moments_: DataFrame) -> DataFrame:
+    """The durations of each section in order."""
+    return placed(moments_).where("kind = 'duration'").groupBy("ms", "section_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]).alias("durations"))
