@@ -1,6 +1,7 @@
-"""Checks over a manuscript's located blocks: rules, terms, acronyms, steps, chapters, scenes.
+"""Checks over manuscripts' located blocks: rules, terms, acronyms, steps, chapters, scenes.
 
-Input tables are those of `structure`: located blocks, sections, paragraphs, scenes."""
+Input tables are those of `structure`: located blocks, sections, paragraphs, scenes. Their
+column ms tells manuscripts apart; what a check counts, it counts within one manuscript."""
 
 from __future__ import annotations
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import scalar as S
-from .structure import PROSE, roots
+from . import craft, units
+from .structure import PROSE, roots, scene_blocks, section_texts
 
 
 def _prose(located: DataFrame) -> DataFrame:
@@ -24,14 +26,14 @@ def rules(located: DataFrame, rules_: DataFrame, limit: int = 40) -> DataFrame:
     Rules are a short table that a project writes; each block meets the rules of its scope.
     Lists at most `limit` hits per rule, and the count of all in `total`."""
     scope = F.when(F.col("kind") == "heading", F.array(F.lit("headings"), F.lit("raw"))).when(F.col("number") > 0, F.array(F.lit("steps"), F.lit("prose"), F.lit("raw"))).when(F.col("kind").isin(*PROSE), F.array(F.lit("prose"), F.lit("raw"))).otherwise(F.array(F.lit("raw")))
-    b = located.select("rel", "start", "section_id", F.when(F.col("kind").isin(*PROSE), F.col("prose")).otherwise(F.col("text")).alias("body"), F.explode(scope).alias("scope"))
+    b = located.select("ms", "rel", "file_order", "start", "section_id", F.when(F.col("kind").isin(*PROSE), F.col("prose")).otherwise(F.col("text")).alias("body"), F.explode(scope).alias("scope"))
     r = rules_.select("id", "scope", F.when(F.col("cased"), F.col("pattern")).otherwise(F.concat(F.lit("(?i)"), F.col("pattern"))).alias("rx"), F.coalesce("files", F.lit("*")).alias("files"))
     like = F.replace(F.replace(F.col("files"), F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))
     hits = b.join(F.broadcast(r.withColumn("like", like)), "scope").where(F.expr("rel LIKE like"))
-    hits = hits.select("id", "rel", "start", "section_id", F.posexplode(F.expr("regexp_extract_all(body, rx, 0)")).alias("hit", "said"))
-    by = Window.partitionBy("id").orderBy("rel", "start", "hit")
-    total = hits.groupBy("id").agg(F.count("*").alias("total"))
-    return hits.withColumn("n", F.row_number().over(by)).where(F.col("n") <= limit).join(total, "id")
+    hits = hits.select("ms", "id", "rel", "file_order", "start", "section_id", F.posexplode(F.expr("regexp_extract_all(body, rx, 0)")).alias("hit", "said"))
+    by = Window.partitionBy("ms", "id").orderBy("file_order", "rel", "start", "hit")
+    total = hits.groupBy("ms", "id").agg(F.count("*").alias("total"))
+    return hits.withColumn("n", F.row_number().over(by)).where(F.col("n") <= limit).join(total, ["ms", "id"])
 
 
 def phrase(text: str, whole_word: bool = True) -> str:
@@ -44,31 +46,32 @@ def definitions(located: DataFrame) -> DataFrame:
     """(key, term, rel, start): bold or quoted terms at the start of a list item, and "X is defined as"."""
     item = "^\\s*(?:[-*+]|\\d+[.)])?\\s*(?:\\*\\*|__|\")([A-Za-z][\\w \\-/]{1,40}?)(?:\\*\\*|__|\")?\\s*(?:\\*\\*|__)?\\s*(?:[:—–]|-\\s)"
     inline = "\\b([A-Z][\\w\\- ]{2,40}?)\\s+(?:is|are)\\s+(?:defined as|known as|called|termed)\\b"
-    b = _prose(located).select("rel", "start", F.array(F.regexp_extract("text", item, 1), F.regexp_extract("text", inline, 1)).alias("t"))
-    d = b.select("rel", "start", F.explode(F.filter("t", lambda x: x != "")).alias("term"))
-    return d.select(S.term_key(F.regexp_replace("term", "^(?i:the|a|an)\\s+", "")).alias("key"), F.trim("term").alias("term"), "rel", "start")
+    b = _prose(located).select("ms", "rel", "start", F.array(F.regexp_extract("text", item, 1), F.regexp_extract("text", inline, 1)).alias("t"))
+    d = b.select("ms", "rel", "start", F.explode(F.filter("t", lambda x: x != "")).alias("term"))
+    return d.select(S.term_key(F.regexp_replace("term", "^(?i:the|a|an)\\s+", "")).alias("key"), F.trim("term").alias("term"), "ms", "rel", "start")
 
 
 def undefined_terms(located: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Project terms that are used and never defined, or used before their definition."""
     t = located.sparkSession.createDataFrame([(x, phrase(x)) for x in terms], "term string, rx string").withColumn("key", S.term_key(F.col("term")))
     use = _prose(located).join(F.broadcast(t)).where(F.expr("prose RLIKE concat('(?i)', rx)"))  # a project's term list
-    first = use.groupBy("term", "key").agg(F.min(F.struct("file_order", "start")).alias("used"), F.count("*").alias("blocks"))
-    d = definitions(located).join(located.select("rel", "file_order").distinct(), "rel").groupBy("key").agg(F.min(F.struct("file_order", "start")).alias("defined"))
+    at = F.struct("file_order", "start")
+    first = use.groupBy("ms", "term", "key").agg(F.min(at).alias("used"), F.min_by("section_id", at).alias("section_id"), F.count("*").alias("blocks"))
+    d = definitions(located).join(located.select("ms", "rel", "file_order").distinct(), ["ms", "rel"]).groupBy("ms", "key").agg(F.min(at).alias("defined"))
     state = F.when(F.col("defined").isNull(), "never defined").when(F.col("used") < F.col("defined"), "used before it is defined")
-    return first.join(d, "key", "left").select("term", "blocks", state.alias("state")).where("state is not null")
+    return first.join(d, ["ms", "key"], "left").select("ms", "term", "blocks", "section_id", F.col("used.file_order").alias("file_order"), F.col("used.start").alias("start"), state.alias("state")).where("state is not null")
 
 
 def acronyms(located: DataFrame, least: int = 2) -> DataFrame:
     """Acronyms without an expansion, expanded after their first use, or expanded in several ways.
 
     An expansion stands before the brackets or inside them: "Anti Lock (AL)", "AL (anti lock)"."""
-    rx = "(?<![\\p{L}\\p{N}])[A-Z][A-Z0-9]{1,7}(?![\\p{L}\\p{N}])"
-    b = _prose(located).select("file_order", "start", "prose")
+    rx = craft.ACRONYM
+    b = _prose(located).select("ms", "section_id", "file_order", "start", "prose")
     # The ends of the text before a match and the start of the text after it hold its expansion.
     pieces, hits = F.split("prose", rx, -1), F.regexp_extract_all("prose", F.lit(rx), F.lit(0))
     near = F.transform(hits, lambda h, i: F.struct(h.alias("acronym"), F.right(F.get(pieces, i), F.lit(90)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(90)).alias("after"), i.alias("i")))
-    u = b.select("file_order", "start", F.explode(near).alias("x")).select("file_order", "start", "x.*").where(~F.col("acronym").isin(L.ACRONYM_SKIP))
+    u = b.select("ms", "section_id", "file_order", "start", F.explode(near).alias("x")).select("ms", "section_id", "file_order", "start", "x.*").where(~F.col("acronym").isin(L.ACRONYM_SKIP))
     n = F.length("acronym")
     inside = F.regexp_extract("after", "^\\s*\\(([^)]{2,80})\\)", 1)
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
@@ -77,46 +80,77 @@ def acronyms(located: DataFrame, least: int = 2) -> DataFrame:
     said = F.when(initials(words(inside)) == F.lower("acronym"), F.array_join(words(inside), " ")).when((F.size(ahead) > 0) & (initials(ahead) == F.lower("acronym")), F.array_join(ahead, " "))
     u = u.withColumn("said", said)
     place = F.struct("file_order", "start", "i")
-    g = u.groupBy("acronym").agg(F.count("*").alias("uses"), F.min(place).alias("used"), F.min(F.when(F.col("said").isNotNull(), place)).alias("told"), F.sort_array(F.collect_set("said")).alias("expansions"))
+    told = F.min(F.when(F.col("said").isNotNull(), place)).alias("told")
+    g = u.groupBy("ms", "acronym").agg(F.count("*").alias("uses"), F.min(place).alias("used"), F.min_by("section_id", place).alias("section_id"), told, F.sort_array(F.collect_set("said")).alias("expansions"))
     state = F.when(F.col("told").isNull(), "never expanded").when(F.col("used") < F.col("told"), "expanded late").when(F.size("expansions") > 1, "several expansions")
-    return g.where(F.col("uses") >= least).select("acronym", "uses", "expansions", state.alias("state")).where("state is not null")
+    g = g.where(F.col("uses") >= least).select("ms", "acronym", "uses", "expansions", "section_id", F.col("used.file_order").alias("file_order"), F.col("used.start").alias("start"), state.alias("state"))
+    return g.where("state is not null")
 
 
 def long_steps(located: DataFrame, warn: int = 30, defect: int = 40) -> DataFrame:
     """Sentences inside numbered steps that are too long to follow."""
-    s = located.where("number > 0").select("rel", "start", "number", F.explode(S.sentences(F.col("prose"))).alias("sentence"))
+    s = located.where("number > 0").select("ms", "rel", "file_order", "section_id", "start", "number", F.explode(S.sentences(F.col("prose"))).alias("sentence"))
     s = s.withColumn("words", F.size(S.words(F.col("sentence")))).where(F.col("words") >= warn)
     return s.withColumn("severity", F.when(F.col("words") >= defect, "defect").otherwise("warn"))
 
 
 def pacing(sections: DataFrame, least: int = 4) -> DataFrame:
     """Chapters over 2.2 times or under 0.35 times the median of all; none for fewer than four."""
-    words = sections.join(roots(sections), "id").groupBy("root").agg(F.sum("words").alias("words"))
-    mid = words.agg(F.percentile("words", 0.5).alias("median"), F.count("*").alias("chapters"))
-    out = words.join(F.broadcast(mid)).where(F.col("chapters") >= least)  # one row of figures
+    words = sections.join(roots(sections), "id").groupBy("ms", "root").agg(F.sum("words").alias("words"), F.min("file_order").alias("file_order"), F.min("start").alias("start"))
+    mid = words.groupBy("ms").agg(F.percentile("words", 0.5).alias("median"), F.count("*").alias("chapters"))
+    out = words.join(mid, "ms").where(F.col("chapters") >= least)
     kind = F.when(F.col("words") > 2.2 * F.col("median"), "long").when((F.col("words") < 0.35 * F.col("median")) & (F.col("words") > 0), "short")
-    return out.select("root", "words", "median", kind.alias("kind")).where("kind is not null")
+    return out.select("ms", "root", "words", "median", "file_order", "start", kind.alias("kind")).where("kind is not null")
 
 
-def dialogue_tags(located: DataFrame, least: int = 20) -> DataFrame:
-    """Verbs after a closing quote, with their uses and whether they are plain "said" words; none under 20 tags."""
-    rx = "[,.!?][\"”]\\s+(?:[A-Z][a-z]+|he|she|they|I)\\s+([a-z]+)|[,.!?][\"”]\\s+([a-z]+)\\s+(?:[A-Z][a-z]+|he|she|they|I)\\b"
-    hits = F.regexp_extract_all("text", F.lit(rx), F.lit(0))
-    verb = F.coalesce(F.nullif(F.regexp_extract("h", rx, 1), F.lit("")), F.regexp_extract("h", rx, 2))
-    v = _prose(located).select(F.explode(hits).alias("h")).select(verb.alias("verb")).where(F.col("verb").isin(L.SAID) | ~F.col("verb").isin(L.STOPWORDS))
-    n = v.groupBy("verb").agg(F.count("*").alias("uses"))
-    total = n.agg(F.sum("uses").alias("total"))
-    return n.join(F.broadcast(total)).where(F.col("total") >= least).select("verb", "uses", F.col("verb").isin(L.SAID).alias("plain"), ((~F.col("verb").isin(L.SAID)) & (F.col("uses") >= F.greatest(F.lit(4), F.floor(F.col("total") / 25)))).alias("frequent"))
+def dialogue_shares(located: DataFrame, sections: DataFrame, least: int = 100, apart: float = 0.30) -> DataFrame:
+    """Chapters of 100 words and more with the share of their words in quotes, their manuscript's share, and whether they are far from it."""
+    top = sections.where("parent_id is null").select(F.col("id").alias("section_id"))
+    d = section_texts(located).join(top, "section_id", "left_semi")
+    q = F.aggregate(F.transform(craft.quoted(F.col("text")), lambda x: F.size(S.words(x))), F.lit(0), lambda a, b: a + b)
+    d = S.once(d, words=F.size(S.words(F.col("text"))), quoted=q).where(F.col("words") >= least)
+    every = d.groupBy("ms").agg((F.sum("quoted") / F.sum("words")).alias("overall"))
+    share = F.round(F.col("quoted") / F.col("words"), 3)
+    return d.join(every, "ms").select("ms", "section_id", "file_order", "start", "words", "quoted", share.alias("share"), "overall", (F.abs(share - F.col("overall")) > apart).alias("apart"))
+
+
+#: Fixed value: the word after a closing quote, and an adverb after that.
+TAG_VERB = "[\"”'’]\\s*,?\\s*(?:[A-Z][a-z]+\\s+)?([a-z]{3,15})(ed|s)?\\b(\\s+[\\p{L}\\p{N}_]+ly)?"
+
+
+def tag_verbs(located: DataFrame, common: Sequence[str] = L.STOPWORDS) -> DataFrame:
+    """(ms, verb, adverb, file_order, start): verbs after a closing quote. Common words count if they are "said" words or have the form of a verb."""
+    hits = F.regexp_extract_all("prose", F.lit(TAG_VERB), F.lit(0))
+    v = _prose(located).select("ms", "section_id", "file_order", "start", F.explode(hits).alias("h"))
+    v = v.select("ms", "section_id", "file_order", "start", S.normalise(F.concat(F.regexp_extract("h", TAG_VERB, 1), F.regexp_extract("h", TAG_VERB, 2))).alias("verb"), F.trim(F.regexp_extract("h", TAG_VERB, 3)).alias("adverb"))
+    said = F.col("verb").isin(L.SAID)
+    return v.where(said | F.col("verb").rlike("(ed|s)$") | ~F.col("verb").isin([*L.STOPWORDS, *common]))
+
+
+def dialogue_tags(located: DataFrame, least: int = 20, common: Sequence[str] = L.STOPWORDS) -> DataFrame:
+    """Verbs after a closing quote, with their uses, whether they are plain "said" words, and whether another one is frequent; none under 20 tags."""
+    n = tag_verbs(located, common).groupBy("ms", "verb").agg(F.count("*").alias("uses"), F.min(F.struct("file_order", "start")).alias("at"))
+    total = n.groupBy("ms").agg(F.sum("uses").alias("total"), F.sum(F.when(F.col("verb").isin(L.SAID), F.col("uses")).otherwise(0)).alias("said"))
+    plain = F.col("verb").isin(L.SAID)
+    d = n.join(total, "ms").where(F.col("total") >= least)
+    return d.select("ms", "verb", "uses", plain.alias("plain"), (~plain & (F.col("uses") >= F.greatest(F.lit(4), F.floor(F.col("total") / 25)))).alias("frequent"), (F.col("said") / F.col("total")).alias("said_share"), F.col("at.file_order").alias("file_order"), F.col("at.start").alias("start"))
+
+
+def adverbial_tags(located: DataFrame, least: int = 4) -> DataFrame:
+    """(ms, tags): manuscripts with four and more tag verbs that carry an adverb."""
+    d = tag_verbs(located).where("adverb <> ''").groupBy("ms").agg(F.count("*").alias("tags"), F.min(F.struct("file_order", "start")).alias("at"))
+    return d.where(F.col("tags") >= least).select("ms", "tags", "at.*")
 
 
 def points_of_view(located: DataFrame, names: Sequence[str], least: int = 150) -> DataFrame:
-    """Sections of 150 words and more in which two heads are looked into: holders of interior verbs, twice each."""
+    """Scenes of 150 words and more in which two heads are looked into: holders of interior verbs, twice each."""
     who = "|".join([*map(phrase_body, names), "he", "she", "they", "i"])
     rx = f"(?i)\\b({who})\\s+({'|'.join(L.INTERIOR)})\\b"
-    p = _prose(located)
-    size = p.groupBy("section_id").agg(F.sum(F.size(S.words(F.col("prose")))).alias("words")).where(F.col("words") >= least)
-    h = p.select("section_id", F.explode(F.regexp_extract_all("prose", F.lit(rx), F.lit(1))).alias("who")).groupBy("section_id", F.lower("who").alias("who")).agg(F.count("*").alias("n")).where("n >= 2")
-    return h.join(size, "section_id").groupBy("section_id").agg(F.sort_array(F.collect_set("who")).alias("holders")).where(F.size("holders") >= 2)
+    p = scene_blocks(located)
+    by = ["ms", "section_id", "scene"]
+    size = p.groupBy(*by).agg(F.sum(F.size(S.words(F.col("prose")))).alias("words"), F.min("file_order").alias("file_order"), F.min("start").alias("start")).where(F.col("words") >= least)
+    h = p.select(*by, F.explode(F.regexp_extract_all("prose", F.lit(rx), F.lit(1))).alias("who")).groupBy(*by, F.lower("who").alias("who")).agg(F.count("*").alias("n")).where("n >= 2")
+    return h.join(size, by).groupBy(*by, "file_order", "start").agg(F.sort_array(F.collect_set("who")).alias("holders")).where(F.size("holders") >= 2)
 
 
 def phrase_body(name: str) -> str:
@@ -124,23 +158,43 @@ def phrase_body(name: str) -> str:
 
 
 def mentions(located: DataFrame, sections: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(name, root, chapter, n): whole-word mentions per chapter, for presence and threads."""
-    order = sections.where("parent_id is null").select(F.col("id").alias("root"), (F.row_number().over(Window.orderBy("ord")) - 1).alias("chapter"))
+    """(ms, name, chapter, n): whole-word mentions per chapter, for presence and threads."""
+    order = sections.where("parent_id is null").select(F.col("id").alias("root"), (F.row_number().over(Window.partitionBy("ms").orderBy("ord")) - 1).alias("chapter"))
     at = roots(sections).join(order, "root").select(F.col("id").alias("section_id"), "chapter")
     t = located.sparkSession.createDataFrame([(x, phrase(x)) for x in names], "name string, rx string")
     rows = _prose(located).join(at, "section_id").join(F.broadcast(t))  # a cast is a short list
-    return rows.select("name", "chapter", F.expr("regexp_count(prose, rx)").alias("n")).where("n > 0").groupBy("name", "chapter").agg(F.sum("n").alias("n"))
+    return rows.select("ms", "name", "chapter", F.expr("regexp_count(prose, rx)").alias("n")).where("n > 0").groupBy("ms", "name", "chapter").agg(F.sum("n").alias("n"))
+
+
+def presence(located: DataFrame, sections: DataFrame, names: Sequence[str], least: int = 6, gap: int | None = None) -> DataFrame:
+    """Cast members with six mentions and more that are away for long: between two chapters, or from the last one on."""
+    chapters = sections.where("parent_id is null").groupBy("ms").agg(F.count("*").alias("chapters")).where("chapters >= 3")
+    m = mentions(located, sections, names)
+    by = Window.partitionBy("ms", "name").orderBy("chapter")
+    d = m.withColumn("away", F.lead("chapter").over(by) - F.col("chapter") - 1)
+    d = d.groupBy("ms", "name").agg(F.sum("n").alias("uses"), F.max("chapter").alias("last"), F.coalesce(F.max("away"), F.lit(0)).alias("inside")).join(chapters, "ms")
+    limit = F.lit(gap) if gap else F.greatest(F.lit(4), F.floor(F.col("chapters") / 3))
+    d = d.withColumn("after", F.col("chapters") - 1 - F.col("last")).where(F.col("uses") >= least)
+    state = F.when((F.col("after") >= limit) & (F.col("uses") >= 10), "gone").when(F.col("inside") >= limit, "absent")
+    return d.withColumn("state", state).where("state is not null")
 
 
 def unit_spellings(located: DataFrame, least: int = 4) -> DataFrame:
     """Units of one meaning that are written in several ways."""
-    from . import units
-
-    q = _prose(located).select(F.explode(units.quantities(F.col("prose"))).alias("q")).select("q.unit", "q.dimension", units.factor(F.col("q.unit")).alias("factor"))
-    g = q.where("dimension is not null").groupBy("dimension", "factor", "unit").agg(F.count("*").alias("n")).groupBy("dimension", "factor").agg(F.sort_array(F.collect_set("unit")).alias("units"), F.sum("n").alias("uses"))
+    q = _prose(located).select("ms", F.explode(units.quantities(F.col("prose"))).alias("q")).select("ms", "q.unit", "q.dimension", units.factor(F.col("q.unit")).alias("factor"))
+    g = q.where("dimension is not null").groupBy("ms", "dimension", "factor", "unit").agg(F.count("*").alias("n")).groupBy("ms", "dimension", "factor").agg(F.sort_array(F.collect_set("unit")).alias("units"), F.sum("n").alias("uses"))
     return g.where((F.size("units") >= 2) & (F.col("uses") >= least) & (F.col("dimension") != "temperature"))
 
 
+def mixed_thousands(located: DataFrame) -> DataFrame:
+    """(ms, grouped, plain): manuscripts that write numbers over 999 with and without a separator."""
+    values = F.transform(units.quantities(F.col("prose")), lambda q: q["value"])
+    grouped = F.size(F.filter(values, lambda v: v.contains(",")))
+    plain = F.size(F.filter(values, lambda v: v.rlike("^[-−]?\\d{4,}") & ~v.contains(",")))
+    d = _prose(located).select("ms", grouped.alias("grouped"), plain.alias("plain")).groupBy("ms").agg(F.sum("grouped").alias("grouped"), F.sum("plain").alias("plain"))
+    return d.where("grouped > 0 and plain > 0")
+
+
 def read_aloud(paragraphs: DataFrame, limit: int = 900) -> DataFrame:
     """Passages of whole sentences, at most `limit` characters unless one sentence is longer."""
     none = F.array().cast("array<string>")
