@@ -233,6 +233,13 @@ def spellings(uses: DataFrame, by: Sequence[str] = (), least: int = 3, seeded: S
     return g.where((F.col("forms") >= 2) & ((F.col("uses") >= least) | (F.col("letters") == 1) | known)).drop("letters")
 
 
+def common_words(docs: DataFrame, limit: int = 760, text_col: str = "text") -> list[str]:
+    """The words that most texts have, ties by the word: a list of common words for `common`,
+    made by a rule from a corpus where none is at hand."""
+    ks = docs.select(F.explode(F.array_distinct(S.keys(F.coalesce(text_col, F.lit("")))))).toDF("k").where("k <> ''")
+    return [r.k for r in ks.groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(limit).collect()]
+
+
 def terms(docs: DataFrame, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Terms whose key has several spellings over all documents."""
     return spellings(term_uses(docs, id_col=id_col, text_col=text_col), (), least)

@@ -15,6 +15,8 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.maxPlanStringLength", "100000")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
