@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import findings, influence, retrieval, sequences, units
+from ..operators import findings, influence, narrative, retrieval, sequences, structure, units
+from . import runner
 
 #: (name, value, unit, value, unit): quantities compared pairwise.
 PAIRS = [
@@ -129,6 +130,32 @@ def passages(spark, sf_dir):
     return out.select("doc_id", F.col("passage_id").alias("item_id"), "at", "n")
 
 
+def _manuscripts(spark, sf_dir):
+    """Every document as a manuscript of one file: located blocks and sections, settled before the checks read them."""
+    files = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("ms"), F.lit("text.md").alias("rel"), F.lit(0).alias("file_order"), "text")
+    blocks = settled(structure.blocks(files))
+    sections = settled(structure.sections(blocks))
+    return settled(structure.located(blocks, sections)), sections
+
+
+def settled(df):
+    """df from the folder in spark.checkpoint.dir, or kept in the session where there is none."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def check_pass(spark, sf_dir):
+    """The technical checks over every document, capped per document and check."""
+    located, sections = _manuscripts(spark, sf_dir)
+    out = runner.run(runner.Context(located, sections), materialise=settled).findings
+    return out.select("ms", "check", "severity", "title", "section_id", "key")
+
+
+def time_markers(spark, sf_dir):
+    """Time markers of every document in reading order."""
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("ms"), F.lit("").alias("rel"), F.lit("").alias("section_id"), F.lit(0).alias("ord"), F.lit(0).alias("start"), F.coalesce("text", F.lit("")).alias("text"))
+    return narrative.moments(d).select(F.col("ms").cast("long").alias("doc_id"), F.col("start").cast("long").alias("start"), "kind", "text")
+
+
 def band_order(spark, sf_dir):
     """Candidates of a token budget in the order they are tried: bands 1 and 4 by value, others by value per token."""
     d = _read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("band"), ((F.col("doc_id") * 37) % 101).alias("value"), F.col("n_chars").alias("tokens"))
@@ -142,13 +169,21 @@ def band_order(spark, sf_dir):
 QUERIES = {
     "activity_streaks": activity_streaks, "event_type_runs": event_runs, "timeline_order_reversals": reversals, "order_gaps": order_gaps, "presence_gaps": presence, "thread_ends": thread_ends,
     "finding_keys": finding_keys, "finding_caps": finding_caps, "triage_delta": triage, "unit_conflict_truth_table": unit_truths, "spec_register": spec_register, "claim_state_counts": claim_states,
-    "version_file_delta": version_delta, "bm25_topk": bm25, "benchmark_passages": passages, "band_order": band_order,
+    "version_file_delta": version_delta, "check_pass": check_pass, "time_markers": time_markers, "bm25_topk": bm25, "benchmark_passages": passages, "band_order": band_order,
 }
 
 _KEY = """substr(sha1(event_type || '|' || user_id || '||' || regexp_replace(trim(regexp_replace(lower('Event  ' || event_id || ' of ' || event_type), '\\s+', ' ', 'g')), '[0-9]', '#', 'g')
     || '|' || regexp_replace(trim(regexp_replace(lower(coalesce(props, '')), '\\s+', ' ', 'g')), '[0-9]', '#', 'g')), 1, 12)"""
 
+_MARKS = " UNION ALL ".join(f"SELECT doc_id, text, {i} AS rank, '{kind}' AS kind, regexp_split_to_array(t, '(?i){rx}') AS p, regexp_extract_all(t, '(?i){rx}') AS h FROM x" for i, (kind, rx) in enumerate(narrative.MARKS))
+
 ORACLES = {
+    "time_markers": f"""
+        WITH x AS (SELECT doc_id, text, regexp_replace(text, '[À-ɏ]', 'x', 'g') AS t FROM documents), m AS ({_MARKS}),
+        u AS (SELECT doc_id, text, rank, kind, unnest(h) AS hit, unnest(p[1 : len(h)]) AS piece, generate_subscripts(h, 1) AS k FROM m WHERE len(h) > 0),
+        s AS (SELECT *, CAST(sum(length(piece) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY k) - length(hit) AS BIGINT) AS start FROM u),
+        f AS (SELECT doc_id, start, arg_min(kind, rank) AS kind, arg_min(substr(text, start + 1, length(hit)), rank) AS said FROM s GROUP BY 1, 2)
+        SELECT doc_id, start, kind, trim(said) AS text FROM f""",
     "activity_streaks": """
         WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
         g AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS g FROM d),
