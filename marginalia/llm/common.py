@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 #: Spark's setting for the bytes of an Arrow batch, and its value for the jobs of this package.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -88,9 +88,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for cols in work(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in batches:
+                for cols in work(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
+        finally:  # the worker lives on for other tasks
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, struct)
 

@@ -60,7 +60,7 @@ LIKELY = 0.58
 #: Bins of a text's outline.
 BINS = 256
 #: Shingles hashed at a time; bytes of a text cut into words at a time; characters of texts held as sets at a time.
-PART, SLICE, HELD = 1 << 16, 1 << 22, 1 << 22
+PART, SLICE, HELD = 1 << 15, 1 << 20, 1 << 20
 
 #: Bytes of a text with A-Z lower-cased and all other ASCII but letters and digits as blanks.
 _KEEP = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -69,7 +69,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         self[word] = h

@@ -33,7 +33,7 @@ from .common import map_batches, ship, texts
 
 SAMPLE, PAIRS, BINS, STEPS = 20_000, 60_000, 10, 250
 ACCEPT = 0.7
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Fixed value: the ASCII marks that get a measure each.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 

@@ -36,7 +36,7 @@ BUCKETS = 128
 #: The triplets of a window, each led by its newest byte, with a salt.
 TRIPLETS = ((0, 1, 2, 2), (0, 1, 3, 3), (0, 2, 3, 5), (0, 2, 4, 7), (0, 1, 4, 11), (0, 3, 4, 13))
 #: Bytes hashed at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Length codes differ by this at most; weights of a distance of 0 to 3 quartiles.
 LENGTH_BOUND, WEIGHT = 24, np.array([0, 1, 2, 6])
 BOUND = BUCKETS * int(WEIGHT[3]) + LENGTH_BOUND
