@@ -69,23 +69,98 @@ def load_version(spark, path: str, version: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("version_id") == version).drop("version_id")
 
 
-def candidates(sections: DataFrame, scores: DataFrame | None = None, section_id: str = "") -> DataFrame:
-    """Texts for a budget: band 1 is the section and its neighbours, band 4 those before it, valued by closeness or relevance."""
+def versions(spark, path: str) -> list[str]:
+    return sorted(r[0] for r in spark.read.parquet(path).select("version_id").distinct().collect())
+
+
+def restore_version(spark, path: str, version: str, now: DataFrame, confirm: bool = False) -> DataFrame:
+    """The files of a draft, after the present ones were saved as the version "before <it>".
+    Without confirmation nothing is written and nothing returned."""
+    if not confirm:
+        raise ValueError("restoring replaces the present files: confirm=True")
+    if version not in versions(spark, path):
+        raise ValueError(f"no version {version}")
+    save_version(now, path, f"before {version}")
+    return load_version(spark, path, version)
+
+
+def rename_version(spark, path: str, version: str, name: str) -> None:
+    """A draft under another name; an existing name is refused."""
+    if name in versions(spark, path):
+        raise ValueError(f"{name} is taken")
+    save_version(load_version(spark, path, version), path, name)
+    delete_version(spark, path, version)
+
+
+def delete_version(spark, path: str, version: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path, "version_id=" + jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(version))
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True):
+        raise ValueError(f"no version {version}")
+
+
+INLINE = "rel string, hunk int, parts array<struct<op:string,text:string>>"
+
+
+def inline(hunks_: DataFrame) -> DataFrame:
+    """Of each replaced hunk the words that stayed, went and came: (rel, hunk, parts)."""
+    part = pa.struct([("op", pa.string()), ("text", pa.string())])
+    schema = pa.schema([("rel", pa.string()), ("hunk", pa.int32()), ("parts", pa.list_(part))])
+
+    def words(a: str, b: str) -> list[dict]:
+        x, y = re.findall(r"\s+|\w+|[^\w\s]", a), re.findall(r"\s+|\w+|[^\w\s]", b)
+        out = []
+        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            if op == "equal":
+                out.append({"op": "same", "text": "".join(x[i1:i2])})
+            else:
+                out += [{"op": k, "text": t} for k, t in (("gone", "".join(x[i1:i2])), ("new", "".join(y[j1:j2]))) if t]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r, h, words("".join(a), "".join(b))) for r, h, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_pydict({n: [x[k] for x in rows] for k, n in enumerate(schema.names)}, schema=schema)
+
+    return hunks_.where("op = 'replace'").select("rel", "hunk", "old", "new").mapInArrow(run, INLINE)
+
+
+def summary(hunks_: DataFrame) -> DataFrame:
+    """(rel, added, removed, changed): sentences by what happened to them."""
+    n = lambda op, c: F.sum(F.when(F.col("op") == op, F.size(c)).otherwise(0))
+    return hunks_.groupBy("rel").agg(n("insert", "new").alias("added"), n("delete", "old").alias("removed"), n("replace", "new").alias("changed"))
+
+
+def candidates(sections: DataFrame, scores: DataFrame | None = None, section_id: str = "", always: Sequence[tuple[str, str]] = (), claims: DataFrame | None = None, outline: str = "") -> DataFrame:
+    """Texts for a budget: band 0 is what always goes in, 1 the section and its neighbours, 2
+    claims, 3 the outline, 4 all other sections, valued by closeness or relevance."""
+    spark = sections.sparkSession
     here = sections.where(F.col("id") == section_id).select(F.col("ord").alias("at"))
     d = sections.join(F.broadcast(here))  # one row
     away = F.abs(F.col("ord") - F.col("at"))
-    d = d.withColumn("band", F.when(away <= 1, 1).when(F.col("ord") < F.col("at"), 4)).where("band is not null")
-    value = 1.0 / F.greatest(away, F.lit(1))
+    d = d.withColumn("band", F.when(away <= 1, 1).otherwise(4))
+    near = 1.0 / F.greatest(away, F.lit(1))
     if scores is not None:
         d = d.join(scores.select("id", "score"), "id", "left")
-        value = F.greatest(value, F.coalesce("score", F.lit(0.0)))
-    return d.select("id", "band", "text", value.alias("value"), S.token_estimate(F.col("text")).alias("tokens"))
+        near = F.greatest(near, F.coalesce("score", F.lit(0.0)))
+    value = F.when(away == 0, 10.0).when(away == 1, 4.0).otherwise(near)
+    tokens = S.token_estimate(F.col("text")).alias("tokens")
+    ss = S.sentences(F.col("text"))
+    short = S.let(ss, lambda x: F.when(F.size(x) > 3, F.concat(F.array_join(F.slice(x, 1, 2), " "), F.lit(" … "), F.element_at(x, -1))).otherwise(F.array_join(F.slice(x, 1, 2), " ")))
+    out = d.select("id", "band", "text", value.alias("value"), tokens, short.alias("summary"))
+    more = [("always:" + k, 0, t, 1.0) for k, t in always if t.strip()] + [("outline", 3, outline, 6.0)] * bool(outline.strip())
+    if more:
+        out = out.unionByName(spark.createDataFrame(more, "id string, band int, text string, value double").select("id", "band", "text", "value", tokens, F.lit("").alias("summary")))
+    if claims is not None:
+        said = F.concat(F.lit("- "), "subject", F.lit(": "), "predicate", F.lit(" = "), "value")
+        c = claims.select(F.concat(F.lit("claim:"), F.col("id").cast("string")).alias("id"), F.lit(2).alias("band"), said.alias("text"), F.lit(8.0).alias("value"))
+        out = out.unionByName(c.select("id", "band", "text", "value", tokens, F.lit("").alias("summary")))
+    return out
 
 
 def assemble(rows: Sequence, budget: int) -> list[str]:
-    """Ids of candidates (a request's few) in the order taken: band by band, what doesn't fit is skipped.
-
-    Band 0 must fit as a whole."""
+    """Ids of candidates (a request's few) in the order taken: band by band, what doesn't fit
+    goes in as its summary ("id (summary)") or is skipped. Band 0 must fit as a whole."""
     must = [r for r in rows if r["band"] == 0]
     left = budget - sum(r["tokens"] for r in must)
     if left < 0:
@@ -93,7 +168,12 @@ def assemble(rows: Sequence, budget: int) -> list[str]:
     gain = lambda r: r["value"] if r["band"] in (1, 4) else r["value"] / max(1, r["tokens"])
     out = [r["id"] for r in must]
     for r in sorted((r for r in rows if r["band"]), key=lambda r: (r["band"], -gain(r), str(r["id"]))):
+        short = (r["summary"] if "summary" in (r.asDict() if hasattr(r, "asDict") else r) else "") or ""
+        size = int(max(len(short) / 3.6, len(re.findall(S.WORD, short)) / 0.75)) + 1 if short.strip() else None
         if r["tokens"] <= left:
             out.append(r["id"])
             left -= r["tokens"]
+        elif size is not None and size <= left:
+            out.append(f"{r['id']} (summary)")
+            left -= size
     return out

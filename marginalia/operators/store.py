@@ -58,6 +58,64 @@ def governing(now: DataFrame, section_id: str, text: str, limit: int = 24) -> Da
     return now.where("state = 'accepted'").withColumn("score", F.coalesce(score, F.lit(0))).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
 
 
+def corrected(now: DataFrame, claim_id: int, new: dict, new_id: int, after: int) -> tuple[DataFrame, DataFrame]:
+    """(claims, journal rows) of a correction: the old claim is rejected and names the new one,
+    which takes over its place, quote and origin, and its state where that was accepted."""
+    old = now.where(F.col("id") == claim_id)
+    base = [c for c in now.columns if c not in ("state", "replaced_by")]
+    claim = old.select(*[(F.lit(new_id) if c == "id" else F.lit(new[c]) if c in new else F.col(c)).cast(now.schema[c].dataType).alias(c) for c in base])
+    gone = old.select("id", F.lit(after + 1).alias("seq"), F.lit("rejected").alias("action"), F.lit(str(new_id)).alias("detail"))
+    kept = old.select(F.lit(new_id).alias("id"), F.lit(after + 2).alias("seq"), F.when(F.col("state") == "accepted", "accepted").otherwise("proposed").alias("action"), F.lit("").alias("detail"))
+    return claim, gone.unionByName(kept).withColumnRenamed("id", "claim_id")
+
+
+def authored(spark, claim: dict, columns: str, claim_id: int, after: int) -> tuple[DataFrame, DataFrame]:
+    """(claims, journal rows) of a fact that the author states: accepted from the start."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    row = {"origin": "author", **claim, "id": claim_id}
+    journal = spark.createDataFrame([(claim_id, after + 1, "accepted", "")], "claim_id long, seq int, action string, detail string")
+    return spark.createDataFrame([tuple(row.get(n) for n in names)], columns), journal
+
+
+def bearing(now: DataFrame, sections: DataFrame, hits: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """(section_id, id, rank): the claims each section has to agree with: accepted before
+    proposed, the author's and measured ones before others, those whose subject the section
+    names before those that a search found for it. sections: section_id, text; hits:
+    section_id, id, rank. Sections and claims meet on the subject's words, and each pair is then
+    tested on the whole subject."""
+    live = now.where(~F.col("state").isin("rejected", "superseded") & (F.length(F.trim("subject")) >= 2))
+    subject = F.lower(F.trim("subject"))
+    first = F.element_at(F.split(subject, "[^\\p{L}\\p{N}]+"), 1)
+    c = live.select("id", "state", "origin", subject.alias("s"), first.alias("w")).where("w <> ''")
+    ws = F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"))
+    near = sections.select("section_id", F.explode(ws).alias("w")).join(c, "w").join(sections.select("section_id", F.lower("text").alias("t")), "section_id")
+    whole = F.concat(F.lit("(?<![\\p{L}\\p{N}_])\\Q"), F.col("s"), F.lit("\\E(?![\\p{L}\\p{N}_])"))
+    found = near.withColumn("rx", whole).where(F.expr("t rlike rx")).select("section_id", "id", "state", "origin", F.lit(0).alias("how"), F.col("id").cast("long").alias("place"))
+    if hits is not None:
+        more = hits.join(live.select("id", "state", "origin"), "id").select("section_id", "id", "state", "origin", F.lit(1).alias("how"), F.col("rank").cast("long").alias("place"))
+        found = found.unionByName(more.join(found.select("section_id", "id"), ["section_id", "id"], "left_anti"))
+    order = [F.col("state") != "accepted", ~F.col("origin").isin("author", "measured"), F.col("how"), F.col("place")]
+    rank = F.row_number().over(Window.partitionBy("section_id").orderBy(*order))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("section_id", "id", "rank")
+
+
+def register(now: DataFrame) -> DataFrame:
+    """The sheet of measured values: component, quantity, values with their uses, earlier
+    values, and whether two of them can't both hold. What nothing names comes last."""
+    d = now.where("kind = 'numeric' and state <> 'rejected'")
+    bare = F.col("predicate") == "value"
+    d = d.withColumn("component", F.when(bare, "").otherwise(F.lower(F.trim("subject")))).withColumn("quantity", F.lower(F.trim(F.when(bare, F.col("subject")).otherwise(F.col("predicate")))))
+    said = F.concat_ws(" ", "value", "unit")
+    live = d.where("state <> 'superseded'")
+    bad = units.conflicts(live, ["component", "quantity"]).groupBy("component", "quantity").agg(F.count("*").alias("conflicts"))
+    g = d.groupBy("component", "quantity").agg(
+        F.count_if(F.col("state") != "superseded").alias("uses"), F.sort_array(F.collect_set(F.when(F.col("state") != "superseded", said))).alias("values"), F.sort_array(F.collect_set(F.when(F.col("state") == "superseded", said))).alias("history")
+    )
+    g = g.join(bad, ["component", "quantity"], "left")
+    name = F.when(F.col("component") == "", "(not named)").otherwise(F.col("component"))
+    return g.select(name.alias("component"), "quantity", "uses", "values", "history", F.coalesce("conflicts", F.lit(0)).alias("conflicts"), (F.col("component") == "").alias("last"))
+
+
 def dependents(paragraphs: DataFrame, subject: str, value: str, unit: str = "", limit: int = 50) -> DataFrame:
     """Paragraphs to reconsider when a value changes: 3 if one carries it, 2 if its section does, 1 if it names the subject.
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import scalar as S
+from . import influence
 
 WINDOW = 6
 METRICS = ("sentence_words", "sentence_spread", "comma_density", "semicolons", "dashes", "subordination", "rarity", "ttr", "adverbs", "article_openings", "similes", "dialogue")
@@ -120,3 +121,46 @@ def nearest_group(baseline: DataFrame) -> DataFrame:
     z = (F.col("m") - F.col("n")) / F.greatest("s", F.abs("m") * 0.02, F.lit(1e-6))
     far = a.join(b, "metric").where("grp <> other").groupBy("grp", "other").agg(F.sqrt(F.avg(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), z)) ** 2)).alias("distance"))
     return far.groupBy("grp").agg(F.min(F.struct("distance", "other")).alias("x")).select("grp", F.col("x.other").alias("nearest"), F.col("x.distance").alias("distance"), (F.col("x.distance") < 1.0).alias("alike"))
+
+
+#: What a metric above and below its baseline is called.
+WORDS = {
+    "sentence_words": ("longer sentences", "shorter sentences"), "sentence_spread": ("more varied sentence lengths", "more even sentence lengths"), "comma_density": ("more commas", "fewer commas"),
+    "semicolons": ("more semicolons", "fewer semicolons"), "dashes": ("more dashes", "fewer dashes"), "subordination": ("more subordinate clauses", "fewer subordinate clauses"),
+    "rarity": ("rarer words", "plainer words"), "ttr": ("a wider vocabulary", "a narrower vocabulary"), "adverbs": ("more adverbs", "fewer adverbs"),
+    "article_openings": ("more sentences that open with an article", "fewer sentences that open with an article"), "similes": ("more similes", "fewer similes"), "dialogue": ("more dialogue", "less dialogue"),
+}
+
+
+def described(scores: DataFrame, id_col: str = "doc_id", notable: float = 1.5) -> DataFrame:
+    """(id, said): the three metrics farthest from the baseline in words, of texts with any notable one."""
+    up, down = (F.create_map(*[F.lit(x) for m, w in WORDS.items() for x in (m, w[k])]) for k in (0, 1))
+    d = scores.where(F.abs("z") >= notable).withColumn("word", F.when(F.col("z") > 0, up[F.col("metric")]).otherwise(down[F.col("metric")]))
+    g = d.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct((-F.abs("z")).alias("far"), "metric", "word"))).alias("x"))  # twelve at most
+    return g.select(id_col, F.array_join(F.transform(F.slice("x", 1, 3), lambda x: x["word"]), ", ").alias("said"))
+
+
+def unborrowed(docs: DataFrame, said: Sequence[str], text_col: str = "text") -> DataFrame:
+    """docs without recorded passages, so that a fingerprint is the author's own."""
+    return docs.withColumn(text_col, influence.blanked(F.col(text_col), list(said)))
+
+
+def spoken(lines: DataFrame, speaker: str, text_col: str = "text", least: int = 200) -> DataFrame:
+    """lines of the speakers with at least 200 words, as fewer give no fingerprint."""
+    enough = lines.groupBy(speaker).agg(F.sum(F.size(S.words(F.col(text_col)))).alias("_n")).where(F.col("_n") >= least).select(speaker)
+    return lines.join(enough, speaker, "left_semi")
+
+
+def since(chapters: DataFrame, earlier: DataFrame, least: int = 120, common: Sequence[str] = L.STOPWORDS) -> DataFrame:
+    """Drift of each chapter (ms, id, ord, text) of 120 words and more from an earlier draft's
+    chapters: (ms, id, ord, drift, rank, overall, first_half, second_half). The halves are
+    means over the chapters in order, from four chapters on; rank 1 is the farthest."""
+    kept = chapters.where(F.size(F.filter(F.split("text", "\\s+"), lambda w: w != "")) >= least)
+    base = fit(earlier, "ms", common=common)
+    far = drift(score(kept.select(F.col("id").alias("doc_id"), "ms", "text"), base, "ms", common=common)).select(F.col("doc_id").alias("id"), F.round("drift", 2).alias("drift"))
+    d = kept.select("ms", "id", "ord").join(far, "id")
+    by = Window.partitionBy("ms")
+    place, n = F.row_number().over(by.orderBy("ord")), F.count("*").over(by)
+    d = d.withColumn("n", n).withColumn("place", place).withColumn("half", F.when(F.col("place") <= F.floor(F.col("n") / 2), 1).otherwise(2))
+    half = lambda k: F.when(F.col("n") >= 4, F.round(F.avg(F.when(F.col("half") == k, F.col("drift"))).over(by), 2)).otherwise(0.0)
+    return d.select("ms", "id", "ord", "drift", F.row_number().over(by.orderBy(F.desc("drift"), "ord")).alias("rank"), F.round(F.avg("drift").over(by), 2).alias("overall"), half(1).alias("first_half"), half(2).alias("second_half"))
