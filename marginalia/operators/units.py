@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.scalar import let
 
 
 def unit_table(spark: SparkSession) -> DataFrame:
@@ -101,19 +102,40 @@ def _alternation() -> str:
 
 
 NUMBER = "[-−]?\\d[\\d,]*(?:\\.\\d+)?"
-QUANTITY = f"(?<![\\p{{L}}\\p{{N}}_.])(?<!\\d\\s)({NUMBER}(?:\\s*(?:–|—|-|to)\\s*{NUMBER})?)\\s*({_alternation()})(?![A-Za-z0-9])"
+_TO = "(?:–|—|-|to)"
+#: A number or a range with a unit; the end of a chain ("1 to 6 to 25 Nm") is a number alone.
+QUANTITY = f"(?<![\\p{{L}}\\p{{N}}_.])(?<!\\d\\s)((?<!\\d\\s{{0,2}}{_TO}\\s{{0,2}}){NUMBER}\\s*{_TO}\\s*{NUMBER}|{NUMBER})\\s*({_alternation()})(?![A-Za-z0-9])"
+#: Words that qualify the quantity word before them.
+QUALIFIERS = ("range", "limit", "setting", "rating", "tolerance", "margin")
 
 
 def quantities(text: Column) -> Column:
-    """array<struct<value, unit, dimension, quantity>> of a text's numbers with units; the
-    quantity is the nearest quantity word in the sentence before the number."""
-    found = F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(0))
-    before = F.split(text, QUANTITY, -1)
-    words = "|".join(L.QUANTITY_WORDS)
+    """array<struct<value, unit, dimension, quantity>> of a text's numbers with units.
 
-    def one(hit: Column, piece: Column) -> Column:
+    The quantity is the nearest quantity word among the six words before the number in its
+    sentence, with a qualifier that follows it ("torque range"), else the first among the
+    five words after it, up to a comma, colon, semicolon or "then"."""
+    words = "|".join(sorted(L.QUANTITY_WORDS, key=len, reverse=True))
+    named = f"\\b(?:((?:{words})\\s+(?:{'|'.join(QUALIFIERS)}))|({words})s?)\\b"
+
+    def word(part: Column, last: bool) -> Column:
+        found = F.regexp_extract_all(F.lower(part), F.lit(named), F.lit(0))
+        picked = F.element_at(F.concat(F.array(F.lit("")), found), -1) if last else F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+        return F.concat(F.regexp_replace(F.regexp_extract(picked, named, 1), "\\s+", " "), F.regexp_extract(picked, named, 2))
+
+    def one(hit: Column, before: Column, after: Column) -> Column:
         value, unit = F.regexp_extract(hit, QUANTITY, 1), F.regexp_extract(hit, QUANTITY, 2)
-        near = F.regexp_extract_all(F.lower(F.regexp_extract(piece, "((?:[\\p{L}'-]+[^\\p{L}.!?]*){0,6})$", 1)), F.lit(f"\\b({words})s?\\b"), F.lit(1))
-        return F.struct(value.alias("value"), unit.alias("unit"), dimension(unit).alias("dimension"), F.element_at(F.concat(F.array(F.lit("")), near), -1).alias("quantity"))
+        near = word(F.regexp_extract(before, "((?:[\\p{L}'-]+[^\\p{L}.!?]*){0,6})$", 1), True)
+        rest = F.regexp_replace(F.coalesce(after, F.lit("")), "(?i)[,;:.!?].*|\\bthen\\b.*", "")
+        later = word(F.regexp_extract(rest, "^((?:[^\\p{L}]*[\\p{L}'-]+){0,5})", 1), False)
+        return F.struct(value.alias("value"), unit.alias("unit"), dimension(unit).alias("dimension"), F.when(near != "", near).otherwise(later).alias("quantity"))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(0)).alias("hits"), F.split(text, QUANTITY, -1).alias("pieces"))
+    return let(found, lambda f: F.transform(f["hits"], lambda h, i: one(h, F.get(f["pieces"], i), F.get(f["pieces"], i + 1))))
+
 
-    return F.zip_with(found, F.slice(before, 1, F.size(found)), one)
+def split_value(text: Column) -> Column:
+    """struct<value, unit>: the first number with a unit, else the first number, else empty."""
+    bare = F.regexp_extract(text, f"(?<![\\p{{L}}\\p{{N}}_.])({NUMBER})", 1)
+    value, unit = F.regexp_extract(text, QUANTITY, 1), F.regexp_extract(text, QUANTITY, 2)
+    return F.struct(F.when(unit != "", value).otherwise(bare).alias("value"), unit.alias("unit"))

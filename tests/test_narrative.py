@@ -64,3 +64,14 @@ def test_unit_table(spark):
 def test_states(spark):
     j = spark.createDataFrame([(1, 1, "proposed"), (1, 3, "rejected"), (1, 2, "accepted"), (2, 4, "proposed")], "claim_id long, seq long, action string")
     assert {r.claim_id: r.state for r in n.states(j).collect()} == {1: "rejected", 2: "proposed"}
+
+
+def test_quantities(spark):
+    rows = {
+        "The torque range is 10 to 20 Nm.": [("10 to 20", "Nm", "torque range")], "Bolts 1 to 6 to 25 Nm torque.": [("25", "Nm", "torque")], "At 3 V supply, the load is off.": [("3", "V", "supply")],
+        "Use 5 kg then check the speed.": [("5", "kg", "")], "The pressure and the gap of 2 mm.": [("2", "mm", "gap")], "It weighs 4 apples.": [],
+    }
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = df.select("t", units.quantities(df.t).alias("q"), units.split_value(df.t).alias("v")).collect()
+    assert {r.t: [(x.value, x.unit, x.quantity) for x in r.q] for r in got} == rows
+    assert {r.t: tuple(r.v) for r in got}["It weighs 4 apples."] == ("4", "") and got[0].v.value == "10 to 20"
