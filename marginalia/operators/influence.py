@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import once
+
 #: The fewest words of a passage on record, and the characters kept of it.
 LEAST, KEPT = 12, 4000
 #: Words of a key by which documents and passages meet; rows that are broadcast.
@@ -41,14 +43,14 @@ def found(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col
     keyed = p.where("inner > 0").withColumn("size", F.least("inner", F.lit(KEY)))
     keyed = keyed.withColumn("key", F.array_join(F.slice(F.split("said", " "), F.lit(2), F.col("size")), " "))
     sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())  # five at most
-    ws = F.split("t", " ")
+    worded = once(d.select("id", "t"), ws=F.split("t", " ")).select("id", "ws")
 
     def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - (n - 1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - (n - 1))), lambda i: F.array_join(F.slice("ws", i, n), " "))
 
     grams = [runs(n) for n in sizes]
     # Only keys travel, not texts; candidates are the few documents that have a passage's key.
-    keys = d.select("id", F.explode(F.array_distinct(F.concat(*grams)))).toDF("id", "key") if grams else d.select("id", F.lit("").alias("key")).limit(0)
+    keys = worded.select("id", F.explode(F.array_distinct(F.concat(*grams)))).toDF("id", "key") if grams else d.select("id", F.lit("").alias("key")).limit(0)
     near = keys.join(_within(keyed.select("key", "passage_id")), "key").select("id", "passage_id").distinct()
     near = near.unionByName(d.select("id").join(_within(p.where("inner = 0").select("passage_id")))) if not p.where("inner = 0").isEmpty() else near
     hits = d.join(_within(near), "id").join(_within(p.select("passage_id", "said")), "passage_id")
