@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, texts
-from .op08_tokens import SPLIT, byte_symbols, merger
+from .op08_tokens import SPLIT, byte_symbols, merger, unsupported
 
 LIMIT, END_ID = 2048, 1
 #: Tokens of remainders in a group.
@@ -57,25 +57,26 @@ class Ids:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.by = merger(path)
+        self.library, self.fast = Tokenizer.from_file(path), None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if unsupported(spec):
+            return
+        self.by = merger(path)
         back = {s: b for b, s in byte_symbols().items()}
         own = {k: v for k, v in spec["model"]["vocab"].items() if k not in self.by.specials}
-        plain = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and spec["normalizer"] is None
-        plain = plain and bool((np.diff(self.by.made) > 0).all()) and int(self.by.made[0]) == len(back)
-        ranks = {bytes(map(back.__getitem__, k)): v for k, v in own.items()} if plain else {}
-        self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if plain else None
+        if (np.diff(self.by.made) > 0).all() and int(self.by.made[0]) == len(back):
+            ranks = {bytes(map(back.__getitem__, k)): v for k, v in own.items()}
+            self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def slow(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
-        cut = self.by.cut
         if self.fast is None or ODD.search(text):
             ids = self.slow(text)
         else:
+            cut = self.by.cut
             try:
                 if cut is None or not cut.search(text):
                     ids = self.fast.encode_ordinary(text)

@@ -41,12 +41,27 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
+def unsupported(spec: dict) -> str:
+    """Why a vocabulary file can't be read here; empty if it can: byte-level merges, the
+    split above, no normaliser, special strings that take no white space with them."""
+    pre = spec.get("pre_tokenizer") or {}
+    if spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return "its pre-tokens aren't those of plain byte-level merges"
+    if spec.get("normalizer") is not None:
+        return "it normalises texts"
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+        return "its special strings depend on what stands beside them"
+    return ""
+
+
 class RankMerger:
     """Merges of one vocabulary file, applied to ragged arrays of symbols."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if why := unsupported(spec):
+            raise ValueError(f"{path}: {why}")
         vocab = spec["model"]["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.width = 1 << max(vocab.values()).bit_length()

@@ -186,3 +186,12 @@ def test_star_of_chunks_equals_all_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {x.doc_id: x.class_id for x in op.near_duplicates(docs).collect()}
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_batches_without_links(spark):
+    """Likely partners that verification refuses leave batches with no row."""
+    sets = [(np.sort(np.arange(100, dtype=np.uint64) * 7 + k), np.ones(100)) for k in range(3)]
+    table = spark.createDataFrame([(bytes([i]), op.packed(x)) for i, x in enumerate(sets)], "key binary, own binary")
+    pairs = spark.createDataFrame([(b"\x00", b"\x01"), (b"\x01", b"\x02")], "a binary, b binary")
+    assert op.verified(pairs, table, 0.8).count() == 0
+    assert [r.similarity for r in op.verified(pairs.limit(1), table.withColumn("own", F.lit(op.packed(sets[0]))), 0.8).collect()] == [1.0]

@@ -21,3 +21,24 @@ def test_counts_equal_library(spark):
     assert [got[i].n_tokens for i in range(len(rows))] == want
     assert all(got[i].n_bytes == len((t or "").encode()) and got[i].over_limit == (want[i] > 30) for i, t in enumerate(rows))
     assert op.token_counts(docs.limit(0), PATH).count() == 0
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+    import pytest
+
+    from marginalia.llm import op03_packing, op08_tokens
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert not op08_tokens.unsupported(spec)
+    spec["added_tokens"] = [{**t, "lstrip": True} for t in spec["added_tokens"]] or [{"content": "<x>", "id": 3, "lstrip": True}]
+    assert op08_tokens.unsupported(spec) and op08_tokens.unsupported({**spec, "added_tokens": [], "normalizer": {"type": "NFC"}})
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps({**spec, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}))
+    with pytest.raises(ValueError):
+        op08_tokens.RankMerger(str(path))
+    ids = op03_packing.Ids(str(path))
+    assert ids.fast is None and len(ids.encode("some words")) == 4 * len(ids.slow("some words"))
