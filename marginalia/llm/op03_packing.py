@@ -137,14 +137,15 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, limit: int) -> tuple[float,
     """The pattern of the highest price that fits, by dynamic programming."""
     best, pick = np.zeros(limit + 1), np.full(limit + 1, -1)
     order = np.argsort(sizes)
+    order = order[prices[order] > 0]
     sizes_up, prices_up = sizes[order], prices[order]
-    fits = np.searchsorted(sizes_up, np.arange(limit + 1), side="right")
+    fits = np.searchsorted(sizes_up, np.arange(limit + 1), side="right").tolist()
     for w in range(1, limit + 1):
         k = fits[w]
         best[w] = best[w - 1]
         if k:
             value = best[w - sizes_up[:k]] + prices_up[:k]
-            j = int(value.argmax())
+            j = value.argmax()
             if value[j] > best[w] + 1e-12:
                 best[w], pick[w] = value[j], order[j]
     pattern, w = np.zeros(len(sizes), dtype=np.int64), limit
@@ -157,32 +158,101 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, limit: int) -> tuple[float,
     return float(best[limit]), pattern
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, limit: int, gap: float = 5e-3, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns, how often each is used) of the linear relaxation, within gap of its bound."""
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Their product by plain sums: small matrices must not wake a linear algebra library's threads."""
+    return (matrix * vector).sum(axis=1)
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps with row pivots, for the same reason."""
+    m = len(matrix)
+    work = np.concatenate((matrix.astype(np.float64), np.eye(m)), axis=1)
+    for c in range(m):
+        p = c + int(np.abs(work[c:, c]).argmax())
+        if p != c:
+            work[[c, p]] = work[[p, c]]
+        work[c] /= work[c, c]
+        rest = work[:, c].copy()
+        rest[c] = 0
+        work -= np.outer(rest, work[c])
+    return work[:, m:]
+
+
+@dataclass
+class Relaxation:
+    """The solved linear programme: a basis of patterns, how often each is used, and prices
+    under which no pattern costs more than one sequence, so that prices @ demand is a bound."""
+
+    patterns: np.ndarray
+    used: np.ndarray
+    prices: np.ndarray
+
+
+def relaxation(sizes: np.ndarray, demand: np.ndarray, limit: int, gap: float = 1e-3) -> Relaxation:
+    """The linear relaxation of the cutting-stock problem, solved to within gap of its bound.
+
+    Simplex steps run over the pool of all patterns made so far; when none improves, the
+    knapsack prices a new one. It sees prices drawn towards those of the best bound, which
+    keeps them from swinging; if its pattern doesn't improve at the basis' own prices, the
+    draw is halved, down to none. Demands are tilted by a millionth or less so that no step
+    stands still, which is what ends the loop: the cost falls with every step, and a basis
+    without an improving pattern is the optimum. There is no cap on the rounds."""
     m = len(sizes)
-    basis = np.diag(limit // sizes).astype(np.float64)  # a column for each pattern
-    inverse = np.diag(1 / np.diag(basis))
-    used = inverse @ demand
-    for step in range(rounds):
-        price = inverse.sum(axis=0)  # every pattern costs one sequence
-        value, new = knapsack(sizes, price, limit)
-        if value <= 1 + 1e-9 or used.sum() <= (1 + gap) * (price @ demand) / value:
-            break
-        way = inverse @ new
+    tilted = demand * (1 + 1e-6 * (np.arange(1, m + 1) / m))
+    pool = [np.diag(limit // sizes)]
+    for k in range(m):  # patterns that take each size as often as fits, then what fills the rest best
+        need, room = np.zeros(m, dtype=np.int64), limit
+        for c in (k, *range(m - 1, -1, -1)):
+            need[c] += room // sizes[c]
+            room -= sizes[c] * (room // sizes[c])
+        pool.append(need[None])
+    pool = np.concatenate(pool)
+    basis = list(range(m))
+    inverse = np.diag(1 / np.diag(pool[:m]).astype(np.float64))
+    used = times(inverse, tilted)
+    best, centre, draw, steps = 0.0, np.zeros(m), 0.8, 0
+
+    def step(new: int) -> None:
+        nonlocal inverse, used, steps
+        way = times(inverse, pool[new])
         ok = way > 1e-9
         ratio = np.where(ok, used / np.where(ok, way, 1), np.inf)
         out = int(ratio.argmin())
-        theta = max(0.0, ratio[out])
-        used = used - theta * way
-        used[out] = theta
-        basis[:, out] = new
-        row = inverse[out] / way[out]
-        inverse -= np.outer(way, row)
-        inverse[out] = row
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
-    return np.rint(basis.T).astype(np.int64), np.maximum(used, 0)
+        basis[out] = new
+        steps += 1
+        if steps % 50:
+            row = inverse[out] / way[out]
+            inverse -= np.outer(way, row)
+            inverse[out] = row
+        else:
+            inverse = inverted(pool[basis].T)
+        used = np.maximum(times(inverse, tilted), 0)
+
+    while True:
+        while True:  # the optimum over the pool
+            price = inverse.sum(axis=0)
+            worth = times(pool, price)
+            new = int(worth.argmax())
+            if worth[new] <= 1 + 1e-7:
+                break
+            step(new)
+        pull = draw if best else 0.0
+        while True:
+            seen = pull * centre + (1 - pull) * price
+            value, pattern = knapsack(sizes, seen, limit)
+            said = float((np.maximum(seen, 0) * tilted).sum()) / max(value, 1e-12)
+            if said > best:
+                best, centre = said, np.maximum(seen, 0) / max(value, 1e-12)
+            if used.sum() <= (1 + gap) * best or (pattern * price).sum() > 1 + 1e-7:
+                break
+            if pull == 0.0:  # no pattern improves: the optimum
+                best, centre = used.sum(), price
+                break
+            pull = pull / 2 if pull > 0.05 else 0.0
+        if used.sum() <= (1 + max(gap, 1e-7)) * best:
+            found = pool[basis]
+            return Relaxation(found, np.maximum(times(inverse, demand), 0), centre)
+        pool = np.concatenate((pool, pattern[None]))
 
 
 @dataclass
@@ -192,6 +262,7 @@ class Plan:
     used: np.ndarray
     rows: int  # remainders that the patterns were made for
     filler: float  # share of the remainders
+    bound: float  # no fewer sequences hold the remainders, rounded up to their classes
 
 
 def plan(lengths: dict[int, int], limit: int = LIMIT) -> Plan:
@@ -200,14 +271,15 @@ def plan(lengths: dict[int, int], limit: int = LIMIT) -> Plan:
     demand = np.bincount(np.searchsorted(sizes, list(lengths)), list(lengths.values()), len(sizes)) if lengths else np.zeros(len(sizes))
     have = np.flatnonzero(demand)
     out, used = np.zeros((0, len(sizes)), dtype=np.int64), np.zeros(0)
-    tokens = sum(k * v for k, v in lengths.items())
+    tokens, bound = sum(k * v for k, v in lengths.items()), 0.0
     if len(have):
-        found, used = patterns(sizes[have], demand[have], limit)
-        out = np.zeros((len(found), len(sizes)), dtype=np.int64)
-        out[:, have] = found
+        solved = relaxation(sizes[have], demand[have].astype(np.float64), limit)
+        used, bound = solved.used, float((solved.prices * demand[have]).sum())
+        out = np.zeros((len(used), len(sizes)), dtype=np.int64)
+        out[:, have] = solved.patterns
     waste = 1 - tokens / (limit * used.sum()) if used.sum() else 0
     # Fillers of that share fill the gaps of the others; a margin evens out small groups.
-    return Plan(sizes, out, used, sum(lengths.values()), min(1.0, 1.25 * max(waste, 0) + 0.02))
+    return Plan(sizes, out, used, sum(lengths.values()), min(1.0, 1.25 * max(waste, 0) + 0.02), bound)
 
 
 def place(rest: np.ndarray, filler: np.ndarray, by: Plan, limit: int) -> list[np.ndarray]:

@@ -64,17 +64,30 @@ def test_odd_rows(spark):
     assert sum(p.length for p in twice) == 2 * sum(len(x) for _, x in rows[:5])
 
 
+def solved(sizes, demand, limit, gap):
+    """The programme's answer is right if its prices prove it."""
+    found = op.relaxation(sizes, demand, limit, gap)
+    assert (found.patterns @ sizes <= limit).all() and np.allclose(found.patterns.T @ found.used, demand, rtol=1e-4, atol=1e-4)
+    assert op.knapsack(sizes, found.prices, limit)[0] <= 1 + 1e-6  # no pattern is worth more than a sequence
+    assert found.used.sum() <= (1 + gap + 1e-5) * (found.prices @ demand)
+    assert found.used.sum() >= (demand @ sizes) / limit - 1e-3
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_linear_programme(seed):
     r = np.random.default_rng(seed)
     sizes = np.unique(r.integers(20, 90, 8))
-    demand = r.integers(1, 60, len(sizes)).astype(float)
-    found, used = op.patterns(sizes, demand, 100, gap=0)
-    assert (found @ sizes <= 100).all() and np.allclose(found.T @ used, demand)
-    assert used.sum() >= (demand @ sizes) / 100 - 1e-6
-    # No pattern can improve on the duals: the relaxation is solved.
-    price = np.linalg.inv(found.T.astype(float)).sum(axis=0)
-    assert op.knapsack(sizes, price, 100)[0] <= 1 + 1e-6
+    solved(sizes, r.integers(1, 60, len(sizes)).astype(float), 100, 0)
+
+
+def test_linear_programme_of_a_table(spark):
+    """All classes of a large table's histogram, with a session up: solved, and soon."""
+    r = np.random.default_rng(5)
+    rest = np.concatenate((r.integers(1, 2048, 3000), (r.lognormal(5.5, 1, 7000).astype(int) % 2047) + 1))
+    by = op.plan({int(k): int(v) for k, v in zip(*np.unique(rest, return_counts=True), strict=True)})
+    assert len(by.used) > 100 and by.bound <= by.used.sum() <= 1.0011 * by.bound
+    sizes = op.size_classes(2048)
+    solved(sizes, np.bincount(np.searchsorted(sizes, rest), minlength=len(sizes)).astype(float)[: len(sizes)] + 1, 2048, 1e-3)
 
 
 def test_ids_equal_the_library():
