@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_minhash, op02_quality, op03_packing, op04_fingerprint, op05_urls, op06_pii, op07_licence, op08_tokens, op09_chat, op10_decontaminate
+from . import op01_minhash, op02_quality, op03_packing, op04_fingerprint, op05_urls, op06_pii, op07_licence, op08_tokens, op09_chat, op10_decontaminate, op11_repair, op12_middle, op13_secrets
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -52,6 +52,18 @@ def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_secrets.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_classifier": op2_quality_classifier,
@@ -63,10 +75,14 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_rotation": op9_chat_rotation,
     "op10_decontaminate_benchmark": op10_decontaminate_benchmark,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 #: The others need models, graphs or library calls that SQL can't express; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op7_licence_scan": op07_licence.oracle(),
     "op9_chat_rotation": op09_chat.ORACLE,
+    "op12_fill_in_middle": op12_middle.ORACLE,
 }
