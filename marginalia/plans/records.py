@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import findings, influence, narrative, retrieval, sequences, structure, units
 from . import runner
+from .leaf import leaf
 
 #: (name, value, unit, value, unit): quantities compared pairwise.
 PAIRS = [
@@ -131,23 +132,21 @@ def passages(spark, sf_dir):
 
 
 def _manuscripts(spark, sf_dir):
-    """Every document as a manuscript of one file: located blocks and sections, settled before the checks read them."""
+    """Every document as a manuscript of one file: located blocks and sections, written before the checks read them."""
     files = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("ms"), F.lit("text.md").alias("rel"), F.lit(0).alias("file_order"), "text")
-    blocks = settled(structure.blocks(files))
-    sections = settled(structure.sections(blocks))
-    return settled(structure.located(blocks, sections)), sections
-
-
-def settled(df):
-    """df from the folder in spark.checkpoint.dir, or kept in the session where there is none."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    blocks = leaf(structure.blocks(files))
+    sections = leaf(structure.sections(blocks))
+    return leaf(structure.located(blocks, sections)), sections
 
 
 def check_pass(spark, sf_dir):
-    """The technical checks over every document, capped per document and check."""
+    """The technical checks over every document, capped per document and check. A check that
+    failed would be missing from the rows, so it ends the query with its name."""
     located, sections = _manuscripts(spark, sf_dir)
-    out = runner.run(runner.Context(located, sections), materialise=settled).findings
-    return out.select("ms", "check", "severity", "title", "section_id", "key")
+    report = runner.run(runner.Context(located, sections))
+    if report.failed:
+        raise RuntimeError("; ".join(f"{name}: {why}" for name, why in report.failed.items()))
+    return report.findings.select("ms", "check", "severity", "title", "section_id", "key")
 
 
 def time_markers(spark, sf_dir):
