@@ -95,6 +95,52 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+def sentence_spans(text: Column) -> Column:
+    """array<struct<start, end, said>>: sentences with their places in the text, in code points."""
+    marked = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_END), F.lit(" ")), "\\n[ \\t]*\\n", _END + "$0")
+    pieces = F.split(F.regexp_replace(marked, BOUNDARY, f"$0{_END}"), _END, -1)
+
+    def placed(parts: Column) -> Column:
+        return let(running(F.transform(parts, F.char_length)), lambda ends: F.filter(F.zip_with(parts, ends, one), lambda x: x["said"] != ""))
+
+    def one(part: Column, end: Column) -> Column:
+        left = F.ltrim(part, F.lit(_SPACE))
+        said = F.rtrim(left, F.lit(_SPACE))
+        start = end - F.char_length(left)
+        return F.struct(start.alias("start"), (start + F.char_length(said)).alias("end"), said.alias("said"))
+
+    return let(pieces, placed)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<at, hit>>: matches of a pattern with their places in the text, in code points."""
+
+    def placed(f: Column) -> Column:
+        ends = running(F.zip_with(F.slice(f["pieces"], 1, F.size(f["hits"])), f["hits"], lambda p, h: F.char_length(p) + F.char_length(h)))
+        return let(ends, lambda e: F.zip_with(f["hits"], e, lambda h, end: F.struct((end - F.char_length(h)).alias("at"), h.alias("hit"))))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), placed)
+
+
+#: Pieces of a text whose places are summed up together; a sum over parts keeps long texts linear.
+PART = 128
+
+
+def running(sizes: Column) -> Column:
+    """Running sums of an array of lengths."""
+
+    def run(a: Column, start: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(a, F.struct(start.alias("at"), none.alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out")), lambda acc: acc["out"])
+
+    def joined(parts: Column) -> Column:
+        totals = run(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, b: a + b)), F.lit(0))
+        return let(totals, lambda t: F.flatten(F.transform(parts, lambda p, k: run(p, F.when(k > 0, F.get(t, k - 1)).otherwise(0)))))
+
+    parts = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / PART).cast("int")), lambda k: F.slice(a, k * PART + 1, PART))
+    return let(sizes, lambda a: F.when(F.size(a) > 0, let(parts(a), joined)).otherwise(F.array().cast("array<int>")))
+
+
 def sentence_lengths(text: Column) -> Column:
     """Words of each sentence that has any."""
     return F.filter(F.transform(sentences(text), lambda s: F.size(words(s))), lambda n: n > 0)

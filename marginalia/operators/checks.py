@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import scalar as S
-from . import craft, units
+from . import craft, terms, units
 from .structure import PROSE, roots, scene_blocks, section_texts
 
 
@@ -30,7 +30,12 @@ def rules(located: DataFrame, rules_: DataFrame, limit: int = 40) -> DataFrame:
     r = rules_.select("id", "scope", F.when(F.col("cased"), F.col("pattern")).otherwise(F.concat(F.lit("(?i)"), F.col("pattern"))).alias("rx"), F.coalesce("files", F.lit("*")).alias("files"))
     like = F.replace(F.replace(F.col("files"), F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))
     hits = b.join(F.broadcast(r.withColumn("like", like)), "scope").where(F.expr("rel LIKE like"))
-    hits = hits.select("ms", "id", "rel", "file_order", "start", "section_id", F.posexplode(F.expr("regexp_extract_all(body, rx, 0)")).alias("hit", "said"))
+    # Lengths of what stands before a hit, summed up, are its place.
+    hits = hits.withColumn("_said", F.expr("regexp_extract_all(body, rx, 0)")).where(F.size("_said") > 0).withColumn("_between", F.expr("split(body, rx, -1)"))
+    ends = S.running(F.zip_with(F.slice("_between", F.lit(1), F.size("_said")), "_said", lambda p, h: F.char_length(p) + F.char_length(h)))
+    each = S.let(ends, lambda e: F.zip_with("_said", e, lambda h, end: F.struct(h.alias("said"), (end - F.char_length(h)).alias("off"))))
+    hits = hits.select("ms", "id", "rel", "file_order", "start", "section_id", F.posexplode(each).alias("hit", "x"))
+    hits = hits.select("ms", "id", "rel", "file_order", "start", "section_id", "hit", "x.said", (F.col("start") + F.col("x.off")).alias("at"))
     by = Window.partitionBy("ms", "id").orderBy("file_order", "rel", "start", "hit")
     total = hits.groupBy("ms", "id").agg(F.count("*").alias("total"))
     return hits.withColumn("n", F.row_number().over(by)).where(F.col("n") <= limit).join(total, ["ms", "id"])
@@ -70,7 +75,8 @@ def acronyms(located: DataFrame, least: int = 2) -> DataFrame:
     b = _prose(located).select("ms", "section_id", "file_order", "start", "prose")
     # The ends of the text before a match and the start of the text after it hold its expansion.
     pieces, hits = F.split("prose", rx, -1), F.regexp_extract_all("prose", F.lit(rx), F.lit(0))
-    near = F.transform(hits, lambda h, i: F.struct(h.alias("acronym"), F.right(F.get(pieces, i), F.lit(90)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(90)).alias("after"), i.alias("i")))
+    near = F.transform(hits, lambda h, i: F.struct(h.alias("acronym"), F.right(F.get(pieces, i), F.lit(90)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(90)).alias("after"), i.alias("i"), F.get(F.col("_at"), i)["at"].alias("off")))
+    b = b.withColumn("_at", S.matches(F.col("prose"), rx)).where(F.size("_at") > 0)
     u = b.select("ms", "section_id", "file_order", "start", F.explode(near).alias("x")).select("ms", "section_id", "file_order", "start", "x.*").where(~F.col("acronym").isin(L.ACRONYM_SKIP))
     n = F.length("acronym")
     inside = F.regexp_extract("after", "^\\s*\\(([^)]{2,80})\\)", 1)
@@ -81,9 +87,9 @@ def acronyms(located: DataFrame, least: int = 2) -> DataFrame:
     u = u.withColumn("said", said)
     place = F.struct("file_order", "start", "i")
     told = F.min(F.when(F.col("said").isNotNull(), place)).alias("told")
-    g = u.groupBy("ms", "acronym").agg(F.count("*").alias("uses"), F.min(place).alias("used"), F.min_by("section_id", place).alias("section_id"), told, F.sort_array(F.collect_set("said")).alias("expansions"))
+    g = u.groupBy("ms", "acronym").agg(F.count("*").alias("uses"), F.min(place).alias("used"), F.min_by(F.col("start") + F.col("off"), place).alias("at"), F.min_by("section_id", place).alias("section_id"), told, F.sort_array(F.collect_set("said")).alias("expansions"))
     state = F.when(F.col("told").isNull(), "never expanded").when(F.col("used") < F.col("told"), "expanded late").when(F.size("expansions") > 1, "several expansions")
-    g = g.where(F.col("uses") >= least).select("ms", "acronym", "uses", "expansions", "section_id", F.col("used.file_order").alias("file_order"), F.col("used.start").alias("start"), state.alias("state"))
+    g = g.where(F.col("uses") >= least).select("ms", "acronym", "uses", "expansions", "section_id", F.col("used.file_order").alias("file_order"), F.col("used.start").alias("start"), "at", state.alias("state"))
     return g.where("state is not null")
 
 
@@ -161,9 +167,9 @@ def mentions(located: DataFrame, sections: DataFrame, names: Sequence[str]) -> D
     """(ms, name, chapter, n): whole-word mentions per chapter, for presence and threads."""
     order = sections.where("parent_id is null").select(F.col("id").alias("root"), (F.row_number().over(Window.partitionBy("ms").orderBy("ord")) - 1).alias("chapter"))
     at = roots(sections).join(order, "root").select(F.col("id").alias("section_id"), "chapter")
-    t = located.sparkSession.createDataFrame([(x, phrase(x)) for x in names], "name string, rx string")
-    rows = _prose(located).join(at, "section_id").join(F.broadcast(t))  # a cast is a short list
-    return rows.select("ms", "name", "chapter", F.expr("regexp_count(prose, rx)").alias("n")).where("n > 0").groupBy("ms", "name", "chapter").agg(F.sum("n").alias("n"))
+    rows = _prose(located).join(at, "section_id").select("ms", "chapter", F.col("prose").alias("text"))
+    hits = terms.found(rows, terms.of_all(rows, names))
+    return hits.groupBy("ms", F.col("term").alias("name"), "chapter").agg(F.count("*").alias("n"))
 
 
 def presence(located: DataFrame, sections: DataFrame, names: Sequence[str], least: int = 6, gap: int | None = None) -> DataFrame:
@@ -181,14 +187,14 @@ def presence(located: DataFrame, sections: DataFrame, names: Sequence[str], leas
 
 def unit_spellings(located: DataFrame, least: int = 4) -> DataFrame:
     """Units of one meaning that are written in several ways."""
-    q = _prose(located).select("ms", F.explode(units.quantities(F.col("prose"))).alias("q")).select("ms", "q.unit", "q.dimension", units.factor(F.col("q.unit")).alias("factor"))
+    q = _prose(located).select("ms", F.explode(units.measures(F.col("prose"))).alias("q")).select("ms", "q.unit", "q.dimension", units.factor(F.col("q.unit")).alias("factor"))
     g = q.where("dimension is not null").groupBy("ms", "dimension", "factor", "unit").agg(F.count("*").alias("n")).groupBy("ms", "dimension", "factor").agg(F.sort_array(F.collect_set("unit")).alias("units"), F.sum("n").alias("uses"))
     return g.where((F.size("units") >= 2) & (F.col("uses") >= least) & (F.col("dimension") != "temperature"))
 
 
 def mixed_thousands(located: DataFrame) -> DataFrame:
     """(ms, grouped, plain): manuscripts that write numbers over 999 with and without a separator."""
-    values = F.transform(units.quantities(F.col("prose")), lambda q: q["value"])
+    values = F.transform(units.measures(F.col("prose")), lambda q: q["value"])
     grouped = F.size(F.filter(values, lambda v: v.contains(",")))
     plain = F.size(F.filter(values, lambda v: v.rlike("^[-−]?\\d{4,}") & ~v.contains(",")))
     d = _prose(located).select("ms", grouped.alias("grouped"), plain.alias("plain")).groupBy("ms").agg(F.sum("grouped").alias("grouped"), F.sum("plain").alias("plain"))

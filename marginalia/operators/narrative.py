@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import scalar as S
-from . import units
+from . import terms, units
 
 ADJECTIVES = {**dict.fromkeys(L.MATERIALS, "material"), **dict.fromkeys(L.COLOURS, "colour"), **dict.fromkeys(L.SIZES, "size"), **dict.fromkeys(L.AGES, "age")}
 
@@ -47,19 +48,16 @@ def _claims(rows: DataFrame, hits: Column, subject, predicate, value, kind: str,
 
 
 def numeric_claims(passages: DataFrame) -> DataFrame:
-    """What is measured, of what: the object after "for" or "of", or of an imperative, else the quantity."""
-    rows = sentence_rows(passages)
-    named = "(?i)(?:torque|pressure|" + "|".join(L.QUANTITY_WORDS) + ")\\s+(?:for|of|on)\\s+(?:the\\s+|a\\s+|an\\s+|all\\s+)?([a-z][a-z -]{1,40}?)\\s+(?:is|are|was|must|shall|should|to|at|=|:)"
-    told = "(?i)^(?:tighten|torque|set|adjust|charge|fill|heat|inflate|press)\\s+(?:the\\s+|all\\s+|a\\s+)?([a-z][a-z -]{1,40}?)\\s+to\\b"
-    found = F.filter(units.quantities(F.col("quote")), lambda q: q["dimension"].isNotNull())
-    owner = F.lower(F.coalesce(F.nullif(F.regexp_extract("quote", named, 1), F.lit("")), F.nullif(F.regexp_extract("quote", told, 1), F.lit(""))))
-    rows = rows.withColumn("_o", F.coalesce(owner, F.lit("")))
-    verb = F.when(F.col("quote").rlike("(?i)^(tighten|torque)\\b"), "torque").otherwise("")
-    what = lambda h: F.when(h["quantity"] != "", h["quantity"]).when(F.col("_o") != "", F.when(verb != "", verb).otherwise(h["dimension"])).otherwise("")
-    d = rows.select("*", F.posexplode(found).alias("hit_no", "h")).withColumn("_q", what(F.col("h"))).where("_q <> ''")
+    """What is measured, of what: the object that the clause names, else the quantity. Numbers
+    that no quantity word, verb or object names are left out."""
+    found = F.filter(units.quantities(F.col("quote")), lambda q: q["dimension"].isNotNull() & (q["quantity"] != ""))
+    # Most sentences hold no number; those that do are read once.
+    rows = S.once(sentence_rows(passages).where(F.col("quote").rlike("\\d")), hits=found)
+    d = rows.select(*PLACE, "sent_idx", "quote", F.posexplode("hits").alias("hit_no", "h"))
+    owned = F.col("h.object") != ""
     return d.select(
         *PLACE, "sent_idx", "hit_no", "quote", F.lit("numeric").alias("kind"), F.lit("proposed").alias("state"), F.lit("measured").alias("origin"),
-        F.when(F.col("_o") != "", F.col("_o")).otherwise(F.col("_q")).alias("subject"), F.when(F.col("_o") != "", F.col("_q")).otherwise("value").alias("predicate"), F.col("h.value").alias("value"), F.col("h.unit").alias("unit"),
+        F.when(owned, F.col("h.object")).otherwise(F.col("h.quantity")).alias("subject"), F.when(owned, F.col("h.quantity")).otherwise("value").alias("predicate"), F.col("h.value").alias("value"), F.col("h.unit").alias("unit"),
     )
 
 
@@ -124,24 +122,28 @@ def contradictions(claims_: DataFrame) -> DataFrame:
     """Pairs of values of one subject and predicate that can't both hold.
 
     A value stands for all its mentions: its first place and their number. Numbers compare
-    by stated precision, times within their kind, other values by text. `certain` is false
+    by stated precision, times within their kind, other values by text; a sweep over the ends
+    of their intervals pairs up only those that lie apart. `certain` is false
     where the two may speak of different things (a bare quantity in two sections)."""
     live = placed(claims_).where("state not in ('rejected', 'superseded')").withColumn("key", F.concat_ws("|", F.lower(F.trim("subject")), F.lower(F.trim("predicate"))))
     live = live.withColumn("shown", F.lower(F.trim("value"))).withColumn("u", F.coalesce("unit", F.lit("")))
     place = F.struct("ord", "start", "sent_idx", "hit_no")
     d = live.groupBy("ms", "key", "kind", "predicate", "shown", "u").agg(F.min(place).alias("at"), F.count("*").alias("mentions"), F.min_by("quote", place).alias("quote"), F.min_by("section_id", place).alias("section_id"), F.min_by("value", place).alias("value"))
-    side = lambda p: d.select("ms", "key", "kind", "predicate", *[F.col(c).alias(f"{p}_{c}") for c in ("value", "u", "at", "mentions", "quote", "section_id", "shown")])
-    pairs = side("a").join(side("b"), ["ms", "key", "kind", "predicate"]).where(F.struct("a_at", "a_shown") < F.struct(F.col("b_at"), F.col("b_shown")))
-    iso, sec = "^\\d{4}-\\d{2}-\\d{2}$", _seconds
-    kind_of = lambda c: F.when(F.col(c).isin(L.WEEKDAYS), "weekday").when(F.col(c).rlike(iso), "date").when(sec(F.col(c)).isNotNull(), "duration").otherwise("other")
-    timed = (kind_of("a_shown") == kind_of("b_shown")) & F.when(kind_of("a_shown") == "duration", sec(F.col("a_shown")) != sec(F.col("b_shown"))).otherwise(F.col("a_shown") != F.col("b_shown"))
-    clash = (
-        F.when(F.col("kind") == "numeric", units.conflict(F.col("a_value"), F.col("a_u"), F.col("b_value"), F.col("b_u")))
-        .when(F.col("kind") == "temporal", timed)
-        .otherwise(F.col("a_shown") != F.col("b_shown"))
-    )
-    certain = ~((F.col("predicate") == "value") & (F.col("a_section_id") != F.col("b_section_id"))) & ~((F.col("kind") == "temporal") & (kind_of("a_shown") == "other"))
-    return pairs.where(clash).withColumn("certain", certain)
+    iso, sec = "^\\d{4}-\\d{2}-\\d{2}$", _seconds(F.col("shown"))
+    timed = F.when(F.col("shown").isin(L.WEEKDAYS), "weekday").when(F.col("shown").rlike(iso), "date").when(sec.isNotNull(), "duration").otherwise("other")
+    low, high = units.extent(F.col("value"), F.col("u"))
+    numeric, length = F.col("kind") == "numeric", (F.col("kind") == "temporal") & (timed == "duration")
+    # Values of different classes never clash; within one, quantities and durations do if they lie apart, others if they differ.
+    d = d.withColumn("class", F.when(numeric, units.scale(F.col("u"))).when(F.col("kind") == "temporal", timed).otherwise(""))
+    d = d.withColumn("low", F.when(numeric, low).when(length, sec)).withColumn("high", F.when(numeric, high).when(length, sec))
+    d = d.where(F.col("class").isNotNull() & (~numeric | F.col("low").isNotNull()))
+    pairs = units.apart(d, ["ms", "key", "kind", "predicate", "class"], ["value", "u", "at", "mentions", "quote", "section_id", "shown"])
+    first = F.struct("a_at", "a_shown") < F.struct(F.col("b_at"), F.col("b_shown"))
+    swapped = [F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")).alias(f"{p}_{c}") for p, q in ("ab", "ba") for c in ("value", "u", "at", "mentions", "quote", "section_id", "shown")]
+    pairs = pairs.select("ms", "key", "kind", "predicate", "class", *swapped)
+    clash = F.when(F.col("kind") == "numeric", units.conflict(F.col("a_value"), F.col("a_u"), F.col("b_value"), F.col("b_u"))).otherwise(F.col("a_shown") != F.col("b_shown"))
+    certain = ~((F.col("predicate") == "value") & (F.col("a_section_id") != F.col("b_section_id"))) & ~((F.col("kind") == "temporal") & (F.col("class") == "other"))
+    return pairs.where(clash).withColumn("certain", certain).drop("class")
 
 
 def cast(passages: DataFrame, least: int = 4, limit: int = 40) -> DataFrame:
@@ -195,14 +197,13 @@ def tracked(passages: DataFrame, sections: DataFrame, names: DataFrame, tail: fl
     for its first mention within 400 characters of that section's start, and up to 2 for
     further mentions in the paragraph of the first one. A name is resolved if its last
     section lies in the last 18 % of all. names: ms, name; few for each manuscript."""
-    p = placed(passages)
-    s = sections.select("ms", F.col("id").alias("section_id"), F.col("start").alias("section_start"), "title")
+    s = sections.select("ms", F.col("id").alias("section_id"), F.col("start").alias("section_start"))
     total = sections.groupBy("ms").agg(F.count("*").alias("total"))
-    rx = F.concat(F.lit("(?i)(?<![\\p{L}\\p{N}_])"), F.lit("\\Q"), F.col("name"), F.lit("\\E"), F.lit("(?![\\p{L}\\p{N}_])"))
-    hits = p.join(names.withColumn("rx", rx), "ms").withColumn("n", F.expr("regexp_count(text, rx)")).where("n > 0")
-    at = F.expr("char_length(element_at(split(text, rx, 2), 1))")
-    hits = hits.withColumn("at", F.col("start") + at).join(s, ["ms", "section_id"])
-    first = F.struct("ord", "at", "n", "section_start", F.expr("regexp_count(title, rx)").alias("titled"), "section_id")
+    hits = terms.found(placed(passages).select("ms", "section_id", "ord", "start", "text"), names)
+    hits = hits.groupBy("ms", "section_id", "ord", "start", F.col("term").alias("name")).agg(F.min("from").alias("at"), F.count("*").alias("n"))
+    titled = terms.found(sections.select("ms", F.col("id").alias("section_id"), F.col("title").alias("text")), names).groupBy("ms", "section_id", F.col("term").alias("name")).agg(F.count("*").alias("titled"))
+    hits = hits.withColumn("at", F.col("start") + F.col("at")).join(s, ["ms", "section_id"]).join(titled, ["ms", "section_id", "name"], "left").withColumn("titled", F.coalesce("titled", F.lit(0)))
+    first = F.struct("ord", "at", "n", "section_start", "titled", "section_id")
     g = hits.groupBy("ms", "name").agg(F.sum("n").alias("mentions"), F.min(first).alias("f"), F.max("ord").alias("last"), F.countDistinct("section_id").alias("sections"), F.max_by("section_id", F.struct("ord", "at")).alias("last_section"))
     g = g.join(total, "ms")
     emphasis = 2.0 * (F.col("f.titled") > 0).cast("int") + (F.col("f.at") - F.col("f.section_start") < 400).cast("int") + F.least(F.lit(2), F.col("f.n") - 1)
@@ -235,6 +236,43 @@ def name_variants(names: DataFrame) -> DataFrame:
     return pairs.select("ms", F.col("a_name").alias("name"), F.col("b_name").alias("form"), F.col("a_uses").alias("uses"), F.col("b_uses").alias("form_uses"), why.alias("reason")).where("reason is not null")
 
 
+def name_groups(names: DataFrame) -> DataFrame:
+    """Groups of a cast's names that may be one person: ms, name (the one most used), forms,
+    uses (of all its forms), reason.
+
+    Names are taken by falling use, equal ones by name; each that is in no group yet opens
+    one and takes in the later names related to it that are free. A group is a star: its
+    forms are related to its head, not to one another. That order is sequential, so a
+    manuscript's cast, which has a bound, is one group of rows."""
+    order = placed(names).select("ms", "name", "uses")
+    pairs = name_variants(names).select("ms", F.struct("name", "form", "reason").alias("pair"))
+    related = pairs.groupBy("ms").agg(F.collect_list("pair").alias("pairs"))
+    every = order.groupBy("ms").agg(F.collect_list(F.struct("name", "uses")).alias("names")).join(related, "ms")
+
+    def one(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                uses = {x["name"]: x["uses"] for x in row["names"]}
+                tie: dict = {}
+                for p in row["pairs"]:
+                    tie.setdefault(p["name"], {})[p["form"]] = p["reason"]
+                live, taken = sorted(uses, key=lambda n: (-uses[n], n)), set()
+                for i, head in enumerate(live):
+                    if head in taken:
+                        continue
+                    forms = [n for n in live[i + 1 :] if n not in taken and n in tie.get(head, ())]
+                    taken |= {head, *forms}
+                    if forms:
+                        out.append({"ms": row["ms"], "name": head, "forms": forms, "uses": uses[head] + sum(uses[n] for n in forms), "reason": tie[head][forms[-1]]})
+            yield pa.RecordBatch.from_pylist(out, schema=_GROUP)
+
+    return every.mapInArrow(one, "ms string, name string, forms array<string>, uses bigint, reason string")
+
+
+_GROUP = pa.schema([("ms", pa.string()), ("name", pa.string()), ("forms", pa.list_(pa.string())), ("uses", pa.int64()), ("reason", pa.string())])
+
+
 #: The kinds of time markers in the order in which they are tried.
 MARKS = (
     ("weekday", "\\b(?:" + "|".join(L.WEEKDAYS) + ")\\b"),
@@ -256,7 +294,7 @@ def moments(passages: DataFrame) -> DataFrame:
     def marked(rank: int, kind: str, rx: str) -> Column:
         rx = "(?i)" + rx
         pieces, hits = F.split("text", rx, -1), F.regexp_extract_all("text", F.lit(rx), F.lit(0))
-        ends = running(F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.char_length(p) + F.char_length(h)))
+        ends = S.running(F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.char_length(p) + F.char_length(h)))
         return S.let(ends, lambda e: F.zip_with(hits, e, lambda h, at: F.struct((at - F.char_length(h)).alias("at"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), h.alias("said"))))
 
     found = F.concat(*[marked(i, kind, rx) for i, (kind, rx) in enumerate(MARKS)])
@@ -266,25 +304,6 @@ def moments(passages: DataFrame) -> DataFrame:
     return d.select("ms", "rel", "section_id", "ord", (F.col("start") + F.col("x.at")).alias("start"), F.col("x.kind").alias("kind"), F.trim("x.said").alias("text"))
 
 
-#: Marks of a text whose places are summed up together; a sum over parts keeps long texts linear.
-PART = 128
-
-
-def running(sizes: Column) -> Column:
-    """Running sums of an array of lengths."""
-
-    def run(a: Column, start: Column) -> Column:
-        none = F.array().cast("array<int>")
-        return F.aggregate(a, F.struct(start.alias("at"), none.alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out")), lambda acc: acc["out"])
-
-    def joined(parts: Column) -> Column:
-        totals = run(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, b: a + b)), F.lit(0))
-        return S.let(totals, lambda t: F.flatten(F.transform(parts, lambda p, k: run(p, F.when(k > 0, F.get(t, k - 1)).otherwise(0)))))
-
-    parts = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / PART).cast("int")), lambda k: F.slice(a, k * PART + 1, PART))
-    return S.let(sizes, lambda a: F.when(F.size(a) > 0, S.let(parts(a), joined)).otherwise(F.array().cast("array<int>")))
-
-
 def dates_backwards(moments_: DataFrame) -> DataFrame:
     """ISO dates that are before the previous one in reading order, over a manuscript's files."""
     d = placed(moments_).where(F.col("text").rlike("^\\d{4}-\\d{2}-\\d{2}$"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, records, style
+from . import continuity, language, records, style
 
-_MODULES = (language, style, records)
+_MODULES = (language, style, records, continuity)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
