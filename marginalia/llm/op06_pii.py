@@ -8,14 +8,19 @@ instances. Each has several lexical patterns: the two words before it (one at th
 a text; "0" for a word that is itself such a token), the one word before, the one after,
 the name before "=" or ":" inside of the token, and the shape of a token that mixes letters
 and digits (its characters' class and its length). Seed entities have confidence 1: tokens
-on a base span, tokens of a published key format (FORMATS), and values assigned to a name
-of a secret (NAMES). Rounds of scoring run over the graph of patterns and instances: a
-pattern's confidence is the mean confidence of its distinct instances, damped for few of
-them; an instance's is the chance that not all of its patterns mislead, where a pattern of
-one word tells half as much as the others. So confidence flows from seeds to patterns, to unseen instances and on to their other
-patterns. Unseen instances on a pattern above the threshold that are above it themselves,
-long enough to identify someone and no mere number, become spans, as do seeds that no base
-span covers.
+on a base span and tokens of a published key format. No context is given: which words stand
+before identifiers is learnt.
+
+Rounds of scoring run over the graph of patterns and instances. A pattern's confidence is the
+mean confidence of its distinct instances, damped for few of them; an instance's is its best
+pattern's, less a tenth, where a pattern of one word tells half as much as the others. Each
+step shrinks differences by a tenth or more, so the confidences have one solution, which the
+rounds come near to until nothing moves by SETTLED any more.
+
+Unseen instances that stand on a trusted context (a pattern other than a shape), are trusted
+themselves, are long enough to identify someone and no mere number become spans, and so do
+seeds of a key format that no base span covers. Formats that other things share (FORTY) are
+seeds too, but become spans on a trusted context only.
 
 Offsets are code points: a match's place is the length of all the pieces and matches
 before it, summed up within parts of PART matches and then over the parts. To keep Java's matcher from recursing over long repeats, a separator inside a
@@ -34,12 +39,13 @@ from pyspark.sql import functions as F
 from .common import materialise, spare
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds over the graph; distinct instances that damp a pattern; confidence to accept.
-ROUNDS, DAMP, ACCEPT = 3, 2.0, 0.7
+#: Distinct instances that damp a pattern; share of a pattern's confidence that an instance
+#: gets; confidence to accept; change below which the rounds end.
+DAMP, PASSED, ACCEPT, SETTLED = 2.0, 0.9, 0.7, 1e-3
 #: Shortest discovered token, and the words before a token that are its pattern.
 SHORTEST, CONTEXT = 6, 2
 
-#: Published formats of access keys, and names whose assigned values are secrets: further seeds.
+#: Fixed values, published formats of access keys: further seeds.
 FORMATS = (
     "(?:AKIA|ASIA)[0-9A-Z]{16}",
     "gh[pousr]_[0-9A-Za-z]{36,}",
@@ -47,7 +53,8 @@ FORMATS = (
     "AIza[0-9A-Za-z_-]{35}",
     "sk-[0-9A-Za-z_-]{20,}",
 )
-NAMES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "access_key", "secret_key", "auth_token")
+#: Classic access tokens of 40 hexadecimal digits; checksums look the same.
+FORTY = "[0-9a-f]{40}"
 #: Matches whose offsets are summed up together.
 PART = 128
 
@@ -102,20 +109,31 @@ def plain_words(piece: Column) -> Column:
     return F.filter(F.transform(F.split(piece, r"\s+"), word), lambda w: w != "")
 
 
-#: Characters of a piece beside a token in which its neighbouring words are looked for.
+#: Characters beside a token that are looked at first for its neighbouring words.
 _NEAR = 400
 
 
+def last_words(piece: Column, n: int) -> Column:
+    """Words at the end of a piece, the last n among them: from its last characters if these
+    hold more than n words (so that none of the n is cut), else from the whole piece."""
+    return let(plain_words(F.right(piece, F.lit(_NEAR))), lambda w: F.when((F.char_length(piece) <= _NEAR) | (F.size(w) > n), w).otherwise(plain_words(piece)))
+
+
+def first_word(piece: Column) -> Column:
+    """The first word of a piece, in the same way; null if there is none."""
+    return let(plain_words(F.left(piece, F.lit(_NEAR))), lambda w: F.get(F.when((F.char_length(piece) <= _NEAR) | (F.size(w) > 1), w).otherwise(plain_words(piece)), F.lit(0)))
+
+
 def in_context(text: Column, pattern: str) -> Column:
     """matches, with the words before and after each one, other matches among them as "0"."""
     zero, none = F.array(F.lit("0")), F.array().cast("array<string>")
-    ends = lambda p: plain_words(F.right(p, F.lit(_NEAR)))
+    ends = lambda p: last_words(p, CONTEXT)
 
     def also(pieces: Column, i: Column) -> list[Column]:
         earlier = F.when(i > 0, F.concat(F.when(i > 1, zero).otherwise(none), ends(F.get(pieces, i - 1)), zero)).otherwise(none)
         before = let(F.concat(earlier, ends(F.get(pieces, i))), lambda w: F.slice(w, F.greatest(F.size(w) - (CONTEXT - 1), F.lit(1)), CONTEXT))
         following = F.get(pieces, i + 1)
-        after = F.coalesce(F.get(plain_words(F.left(following, F.lit(_NEAR))), F.lit(0)), F.when(i + 2 < F.size(pieces), F.lit("0")).otherwise(""))
+        after = F.coalesce(first_word(following), F.when(i + 2 < F.size(pieces), F.lit("0")).otherwise(""))
         return [before.alias("before"), after.alias("after")]
 
     return located(text, pattern, also)
@@ -166,7 +184,7 @@ def shape(token: Column) -> Column:
 
 
 def instances(text: Column, spans: Column) -> Column:
-    """array<struct<start, end, token, patterns, seed, bare>> of the tokens that have a pattern."""
+    """array<struct<start, end, token, patterns, seed, bare, sure>> of the tokens that have a pattern."""
     kind = "array<struct<start:int,end:int,hit:string,before:array<string>,after:string>>"
     found = F.when(text.rlike("[0-9@]|[A-Z]{16}"), in_context(text, r"(?<!\S)(?:\S*[0-9@]\S*|\S*[A-Z]{16}\S*)")).otherwise(F.array().cast(kind))
     edge, tail = r"^[^\p{L}\p{N}+@]+", r"[^\p{L}\p{N}]+$"
@@ -195,12 +213,11 @@ def instances(text: Column, spans: Column) -> Column:
             F.when(name != "", F.concat(F.lit("name "), name)),
             shape(core),
         )
-        key = F.when(name != "", name).when(last.isin("=", ":"), F.get(x["before"], F.lit(0))).otherwise(F.when(last.rlike("[:=]$"), last).otherwise(""))
-        known = F.regexp_replace(key, "[:=]+$", "").isin(list(NAMES)) & (F.char_length(core) >= SHORTEST)
         covered = F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
+        sure = covered | core.rlike("^(?:" + "|".join(FORMATS) + ")$")
         return F.struct(
             start.alias("start"), end.alias("end"), F.lower(core).alias("token"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"),
-            (covered | known | core.rlike("^(?:" + "|".join(FORMATS) + ")$")).alias("seed"), (~covered).alias("bare"),
+            (sure | core.rlike(f"^{FORTY}$")).alias("seed"), (~covered).alias("bare"), sure.alias("sure"),
         )
 
     return F.filter(F.transform(found, one), lambda x: ((F.size(x["patterns"]) > 0) | x["seed"]) & (F.length(x["token"]) > 0))
@@ -219,25 +236,37 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(rows.select("_row", "_id", "_base", instances(F.col("_text"), F.col("_base")).alias("_found")), "pii")
 
 
-def discovered(rows: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
+def beliefs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, trust) and (token, belief) that settle over the graph; what has none is left out.
+
+    Only what already has confidence takes part in a round."""
+    size = materialise(edges.groupBy("pattern").agg(F.count("*").alias("n")), "sizes")
+    seeds = materialise(edges.where("seed").select("token").distinct().withColumn("belief", F.lit(1.0)), "seeds")
+    known, least = seeds, SETTLED / 10
+    tells = F.col("trust") * F.when(F.col("pattern").rlike("^(word|after) "), 0.5).otherwise(1.0) * PASSED
+    while True:
+        mass = edges.join(known, "token").groupBy("pattern").agg(F.sum("belief").alias("mass"))
+        trust = materialise(mass.join(size, "pattern").select("pattern", F.round(F.col("mass") / (F.col("n") + DAMP), 9).alias("trust")).where(F.col("trust") > least), "trust")
+        told = edges.where("NOT seed").join(trust, "pattern").groupBy("token").agg(F.round(F.max(tells), 9).alias("belief"))
+        after = materialise(told.join(seeds.select("token"), "token", "left_anti").unionByName(seeds), "belief")
+        moved = after.join(known.withColumnRenamed("belief", "was"), "token", "left").agg(F.max(F.col("belief") - F.coalesce("was", F.lit(0.0)))).first()[0]
+        known = after
+        if (moved or 0) <= SETTLED:
+            return trust, known
+
+
+def discovered(rows: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(_row, _more): the spans that seeds and patterns of high confidence add to a row."""
     each = rows.select("_row", F.explode("_found").alias("x")).select("_row", "x.*").distinct()
     pairs = each.select("token", "seed", F.explode("patterns").alias("pattern"))
     edges = materialise(pairs.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "edges")
-    known = edges.groupBy("token").agg(F.max("seed").cast("double").alias("belief"))
-    for _ in range(rounds):
-        scored = edges.join(known, "token").groupBy("pattern").agg(F.round(F.sum("belief") / (F.count("*") + F.lit(DAMP)), 9).alias("trust"))
-        trust = materialise(scored.where("trust > 0.05"), "trust")
-        tells = F.col("trust") * F.when(F.col("pattern").rlike("^(word|after) "), 0.5).otherwise(1.0)
-        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - tells))))
-        known = edges.join(trust, "pattern", "left").groupBy("token").agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
-        known = materialise(known.select("token", F.when(F.col("seed"), 1.0).otherwise(F.round(1 - F.coalesce("doubt", F.lit(1.0)), 9)).alias("belief")), "belief")
-    good = trust.where(F.col("trust") >= accept).select("pattern")
+    trust, known = beliefs(edges)
+    good = trust.where((F.col("trust") >= accept) & ~F.col("pattern").startswith("shape ")).select("pattern")
     sure = known.where(F.col("belief") >= accept).select("token")
     long = each.where(F.col("bare") & (F.length("token") >= SHORTEST))
-    fresh = long.where(~F.col("seed") & F.col("token").rlike("[0-9]") & F.col("token").rlike(r"[\p{L}@_]")).select("_row", "token", "start", "end", F.explode("patterns").alias("pattern"))
+    fresh = long.where(~F.col("sure") & F.col("token").rlike("[0-9]") & F.col("token").rlike(r"[\p{L}@_]")).select("_row", "token", "start", "end", F.explode("patterns").alias("pattern"))
     found = fresh.join(good, "pattern", "left_semi").join(sure, "token", "left_semi").select("_row", "start", "end")
-    found = found.unionByName(long.where("seed").select("_row", "start", "end"))
+    found = found.unionByName(long.where("sure").select("_row", "start", "end"))
     span = F.struct(F.lit("id").alias("kind"), "start", "end")
     return found.groupBy("_row").agg(F.sort_array(F.collect_set(span)).alias("_more"))  # of one document
 
