@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -177,3 +179,95 @@ def assemble(rows: Sequence, budget: int) -> list[str]:
             out.append(f"{r['id']} (summary)")
             left -= size
     return out
+
+
+#: The headings over each band's texts, and the order in which bands give way: the last first.
+HEADINGS = {0: "", 1: "## Around this section", 2: "## What is known", 3: "## Outline", 4: "## Elsewhere", 5: "## In short"}
+PROMPT = "request string, text string, tokens int, carried array<string>, summarised array<string>, shortened array<string>, dropped array<string>, problem string"
+
+
+def prompts(candidates_: DataFrame, requests: DataFrame) -> DataFrame:
+    """One text within its budget for each request (PROMPT). candidates_: request, id, band,
+    text, value, summary; requests: request, budget, ask.
+
+    Texts are taken as `assemble` takes them. Headings, blank lines and the request cost
+    tokens too, so the joined text is measured as a whole: as long as it is over, the least
+    valued text of the last band gives way. It is cut after as many whole sentences as fit,
+    or dropped if none does; characters and words before each sentence's end are summed up
+    beforehand, so that a look-up finds the cut. Band 0 stays whole: where it doesn't fit,
+    `problem` says so and the text is empty. A request has few candidates; requests are
+    dealt over the cluster."""
+    text, short = F.coalesce("text", F.lit("")), F.coalesce("summary", F.lit(""))
+    own = F.struct(F.col("id").cast("string").alias("id"), "band", F.trim(text).alias("text"), F.coalesce("value", F.lit(0.0)).cast("double").alias("value"), F.trim(short).alias("summary"), S.sentences(text).alias("sentences"))
+    every = candidates_.groupBy("request").agg(F.collect_list(own).alias("c"))
+    rows = requests.select("request", "budget", F.coalesce("ask", F.lit("")).alias("ask")).join(every, "request", "left")
+    lists = ("carried", "summarised", "shortened", "dropped")
+    schema = pa.schema([("request", pa.string()), ("text", pa.string()), ("tokens", pa.int32()), *((x, pa.list_(pa.string())) for x in lists), ("problem", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([{"request": r["request"], **_prompt(r["c"] or [], r["budget"], r["ask"])} for r in batch.to_pylist()], schema=schema)
+
+    return rows.select(F.col("request").cast("string"), F.col("budget").cast("int"), "ask", "c").mapInArrow(run, PROMPT)
+
+
+_WORDS = re.compile(S.WORD)
+
+
+def estimated(text: str) -> int:
+    """`scalar.token_estimate` of a text."""
+    return int(max(len(text) / 3.6, len(_WORDS.findall(text)) / 0.75)) + 1 if text else 0
+
+
+def _joined_up(taken: list[dict], ask: str) -> str:
+    parts = []
+    for band, heading in HEADINGS.items():
+        own = [c["text"] for c in taken if c["band"] == band and c["text"]]
+        parts += [heading, *own] if own else []
+    return "\n\n".join(p for p in [*parts, *(["## Request", ask.strip()] if ask.strip() else [])] if p)
+
+
+def _prompt(cands: list[dict], budget: int, ask: str) -> dict:
+    out: dict = {"text": "", "tokens": 0, "carried": [], "summarised": [], "shortened": [], "dropped": [], "problem": None}
+    must = [c for c in cands if c["band"] == 0]
+    least = estimated(_joined_up(must, ask))
+    if least > budget:
+        return out | {"problem": f"what always goes in needs {least} tokens of {budget}"}
+    left = budget - estimated(ask) - sum(estimated(c["text"]) for c in must)
+    gain = lambda c: c["value"] if c["band"] in (1, 4) else c["value"] / max(1, estimated(c["text"]))
+    taken = list(must)
+    for c in sorted((c for c in cands if c["band"] in (1, 2, 3, 4)), key=lambda c: (c["band"], -gain(c), c["id"])):
+        size, brief = estimated(c["text"]), estimated(c["summary"])
+        if size <= left:
+            taken.append(c)
+            left -= size
+        elif brief and brief <= left:
+            taken.append(c | {"band": 5, "text": c["summary"], "sentences": []})
+            out["summarised"].append(c["id"])
+            left -= brief
+        else:
+            out["dropped"].append(c["id"])
+    while estimated(joined := _joined_up(taken, ask)) > budget:
+        last = max(c["band"] for c in taken)
+        c = min((c for c in taken if c["band"] == last), key=lambda c: (c["value"], -len(c["text"]), c["id"]))
+        taken.remove(c)
+        if kept := _fitting(c, joined, budget):
+            taken.append(c | {"text": kept, "sentences": []})
+            out["shortened"].append(c["id"])
+        else:
+            out["dropped"].append(c["id"])
+            for x in ("summarised", "shortened"):
+                out[x] = [i for i in out[x] if i != c["id"]]
+    order = {id(c): k for k, c in enumerate(taken)}
+    taken.sort(key=lambda c: (c["band"], order[id(c)]))
+    return out | {"text": joined, "tokens": estimated(joined), "carried": [c["id"] for c in taken]}
+
+
+def _fitting(c: dict, joined: str, budget: int) -> str:
+    """The first sentences of a text with which the whole stays within the budget; empty if none."""
+    over_chars = len(joined) - 3.6 * (budget - 1e-9)
+    over_words = len(_WORDS.findall(joined)) - 0.75 * (budget - 1e-9)
+    chars = list(accumulate(len(s) + 1 for s in c["sentences"]))
+    words = list(accumulate(len(_WORDS.findall(s)) for s in c["sentences"]))
+    room = min(bisect_right(chars, len(c["text"]) - over_chars), bisect_right(words, len(_WORDS.findall(c["text"])) - over_words))
+    return " ".join(c["sentences"][: min(room, len(c["sentences"]) - 1)])
