@@ -345,3 +345,65 @@ def report(chats: DataFrame) -> DataFrame:
     if many is not None:
         out = out.unionByName(digested(many, kind))
     return out.withColumnRenamed("conv", "conv_id")
+
+
+def _crc_table() -> list[int]:
+    """The checksum's remainders of the sixteen half bytes."""
+    out = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def oracle() -> str:
+    """The report in SQL. The checksum folds half bytes of an ASCII string; weights are
+    strings of a padded cost and the labels; two recursions find and then walk the best path."""
+    table = f"[{', '.join(map(str, _crc_table()))}]"
+    half = lambda acc, x: f"xor(({acc}) >> 4, {table}[1 + ((xor({acc}, {x})) & 15)])"
+    step = half(half("acc", "x"), "(x >> 4)")
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda acc, x: {step}), 4294967295)"
+    add = lambda w, cost, label: f"lpad(CAST(CAST(substr({w}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({w}, 10) || '{label}'"
+    told = lambda cond, w, cost, label: f"CASE WHEN {cond} THEN {add(w, cost, label)} END"
+    free, more = "fault NOT IN ('blank', 'duplicate')", "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    enter = lambda w, c: f"{told(f'{free} AND initial = {c!r}', w, more, 'K')}, {told(free, w, f'3 + {more}', 'R')}"
+    blank = "\\x20\\x09-\\x0D"
+    return f"""
+    WITH RECURSIVE
+    raw AS (SELECT coalesce('+' || conv_id, '-') AS key, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+    hit AS (SELECT *, {crc} % 20 AS kind FROM raw),
+    hurt AS (SELECT key, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again FROM hit WHERE kind <> 0),
+    placed AS (SELECT key, turn, role, text, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+    rows AS (
+      SELECT *, substr(role, 1, 1) AS initial, CASE
+        WHEN NOT regexp_matches(text, '[^{blank}]') THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN regexp_extract(text, '([^{blank}])[{blank}]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+    pairs AS (SELECT key, lag(initial) OVER (PARTITION BY key ORDER BY i) || initial AS pair FROM rows),
+    facts AS (
+      SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, max(i) AS n FROM rows GROUP BY 1),
+    wrong AS (SELECT key, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY 1),
+    best AS (
+      SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, '000000000' AS w0, CAST(NULL AS VARCHAR) AS w1, '000000003I' AS w2, '000000006II' AS w3 FROM rows
+      UNION ALL
+      SELECT key, i, n0, n1, m2, least(n3, {add('m2', 3, 'I')}) FROM (
+        SELECT *, least(n2, {add('n0', 3, 'I')}, {add('n1', 3, 'I')}, {add('n3', 3, 'I')}) AS m2 FROM (
+          SELECT key, rows.i AS i, {add('w0', 4, 'D')} AS n0, least({add('w1', 4, 'D')}, {told(f"{free} AND initial = 's'", 'w0', more, 'K')}) AS n1,
+                 least({add('w2', 4, 'D')}, {enter('w0', 'u')}, {enter('w1', 'u')}, {enter('w3', 'u')}) AS n2, least({add('w3', 4, 'D')}, {enter('w2', 'a')}) AS n3
+          FROM best JOIN rows USING (key) WHERE rows.i = best.i + 1))),
+    chosen AS (SELECT key, least(w0, w3) AS w FROM best JOIN facts USING (key) WHERE i = n),
+    walk AS (
+      SELECT key, substr(w, 10) AS labels, CAST(0 AS BIGINT) AS i, '' AS last, CAST([] AS VARCHAR[]) AS lines FROM chosen
+      UNION ALL
+      SELECT key, substr(labels, 2), CASE WHEN label = 'I' THEN i ELSE i + 1 END, CASE label WHEN 'D' THEN last WHEN 'K' THEN initial ELSE new END,
+             CASE label WHEN 'D' THEN lines ELSE list_append(lines, CASE WHEN label = 'K' THEN role WHEN new = 'a' THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN label = 'I' THEN '' ELSE text END) END
+      FROM (SELECT walk.*, substr(labels, 1, 1) AS label, CASE WHEN last = 'u' THEN 'a' ELSE 'u' END AS new, role, text, initial
+            FROM walk LEFT JOIN rows ON rows.key = walk.key AND rows.i = walk.i + 1 WHERE labels <> '')),
+    ended AS (SELECT key, lines FROM walk WHERE labels = '')
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           coalesce(CAST(substr(w, 1, 9) AS BIGINT), 0) AS cost, coalesce(substr(w, 10), '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT key, conv_id FROM raw) AS c LEFT JOIN facts USING (key) LEFT JOIN wrong USING (key) LEFT JOIN chosen USING (key) LEFT JOIN ended USING (key)"""

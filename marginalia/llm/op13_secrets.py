@@ -132,3 +132,36 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.size(live).cast("long").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
     )
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def oracle() -> str:
+    """The same rows in SQL: matches are numbered and their lengths summed up by windows."""
+    kinds = [(k, ASSIGN if k == "assign" else ACCESS if k == "access" else HEX) for k in KINDS] + [("bare", BARE)]
+    cut = " UNION ALL ".join(f"SELECT r, {i} AS k, '{kind}' AS kind, regexp_split_to_array(t, {_quoted(rx)}) AS p, regexp_extract_all(t, {_quoted(rx)}) AS h FROM d" for i, (kind, rx) in enumerate(kinds))
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+    m AS ({cut}),
+    u AS (SELECT r, k, kind, unnest(h) AS hit, unnest(p[1 : len(h)]) AS piece, generate_subscripts(h, 1) AS i FROM m WHERE len(h) > 0),
+    s AS (SELECT r, k, kind, hit, CAST(sum(length(piece) + length(hit)) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS b FROM u),
+    f AS (SELECT r, k, kind, b - length(hit) AS a, b, CASE kind WHEN 'assign' THEN regexp_extract(hit, {_quoted("^" + ASSIGN + "$")}, 2) ELSE hit END AS value FROM s),
+    base AS (SELECT * FROM f WHERE kind <> 'bare' AND (kind <> 'assign' OR length(value) >= 12)),
+    loose AS (
+      SELECT r, a, b, value FROM f WHERE kind = 'bare'
+        AND (regexp_matches(value, '[0-9].*[0-9].*[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+             OR regexp_matches(value, '^[0-9A-F]{{32,}}$') AND regexp_matches(value, '[A-F]') AND regexp_matches(value, '[0-9]'))
+        AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = f.r AND base.a < f.b AND f.a < base.b)),
+    c AS (SELECT r, b - length(value) AS a, b, value FROM base WHERE kind <> 'hex' OR regexp_matches(value, '[a-f]') UNION SELECT * FROM loose),
+    o AS (SELECT value, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners FROM c JOIN d USING (r) GROUP BY 1),
+    j AS (SELECT r, a, b, owners, owners = 1 AND len(list_distinct(string_split(value, ''))) >= {DISTINCT} AS live FROM c JOIN o USING (value)),
+    n AS (SELECT r, count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example FROM j GROUP BY 1),
+    x AS (SELECT r, a, k, b, kind FROM base UNION ALL SELECT r, a, {len(KINDS)}, b, 'live' FROM j WHERE live),
+    g AS (
+      SELECT r, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) FILTER (k < {len(KINDS)}) AS own,
+             {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)} FROM x GROUP BY 1)
+    SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans,
+           coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+    FROM d LEFT JOIN g USING (r) LEFT JOIN n USING (r)"""

@@ -84,5 +84,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op7_licence_scan": op07_licence.oracle(),
     "op9_chat_rotation": op09_chat.ORACLE,
+    "op11_structure_repair": op11_repair.oracle(),
     "op12_fill_in_middle": op12_middle.ORACLE,
+    "op13_secret_scan": op13_secrets.oracle(),
 }

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from marginalia.llm import op11_repair as op
@@ -150,3 +151,12 @@ def test_table(spark):
     assert set(got) == {r[0] for r in rows} and len({r.audit for r in got.values()}) > 10
     for conv, r in got.items():
         assert tuple(r[c] for c in FACTS) == expected(own.get(conv, []))
+
+
+def test_report_equals_sql(spark, tmp_path):
+    frame(spark, conversations(200, 9, 8)).write.parquet(f"{tmp_path}/c.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/c.parquet/*.parquet'")
+    want = con.sql(op.oracle())
+    got = op.report(spark.read.parquet(f"{tmp_path}/c.parquet")).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 from marginalia.llm import op13_secrets as op
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -57,7 +58,7 @@ def texts():
     return hand + ["".join(r.choice(bits) for _ in range(r.randrange(25))) for _ in range(500)]
 
 
-def test_spans_equal_plain_counts(spark):
+def planted():
     r = random.Random(6)
     live = [f"{r.getrandbits(160):040x}" for _ in range(40)]
     rows = [(i, t, f"o{i % 5}") for i, t in enumerate(texts())]
@@ -65,6 +66,11 @@ def test_spans_equal_plain_counts(spark):
     rows += [(at + i, f'She said token = "{v}" and left {v.upper()}.', f"o{i % 7}") for i, v in enumerate(live)]
     rows += [(at + 100 + i, f"Copied: {live[0]}, {live[1].upper()} and password=EXAMPLEKEY99 here.", f"o{i}" if i % 3 else None) for i in range(60)]
     rows += [(at + 200 + i, f"api_key={live[5]}", "o5") for i in range(9)]
+    return rows, at
+
+
+def test_spans_equal_plain_counts(spark):
+    rows, at = planted()
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, source string, spans string").repartition(4)
     got = {r.doc_id: r for r in op.find(docs).collect()}
     want = expected(rows)
@@ -78,6 +84,16 @@ def test_spans_equal_plain_counts(spark):
     assert got[at + 203].n_live == 1 and got[at + 100].n_live == 0 and got[at + 100].n_example == 3
 
 
+def test_report_equals_sql(spark, tmp_path):
+    rows, _ = planted()
+    spark.createDataFrame([*rows, rows[3], (None, *rows[4][1:])], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/d.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/d.parquet/*.parquet'")
+    want = con.sql(op.oracle())
+    got = op.find(spark.read.parquet(f"{tmp_path}/d.parquet")).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_edges(spark):
     v = "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
     rows = [(None, f"token={v}", None), (None, f"token={v}", None), (1, None, "a"), (1, f"x {v}", None)]
