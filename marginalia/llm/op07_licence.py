@@ -79,7 +79,7 @@ def oracle(licences: dict[str, str] = LICENCES) -> str:
     for pattern, by in SPELLINGS:
         body = f"regexp_replace({body}, {quote(pattern)}, {quote(back(by))}, 'g')"
     digest = f"sha256(trim({body}))"
-    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in licences.items())
+    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in dict.fromkeys(forms(licences)))
     return f"""
         WITH licences(license_id, text) AS (VALUES {rows}),
         known AS (SELECT {digest} AS digest, min(license_id) AS license_id FROM licences GROUP BY 1),

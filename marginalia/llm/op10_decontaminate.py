@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, spare
+from .common import materialise, ship, spare
 
 WINDOW = 10
 #: Words of a document cut at a time; symbols and documents of a shard; windows of a block.
@@ -280,10 +280,12 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
         return docs.mapInArrow(scan, docs.schema)
 
-    none = True
-    for block in blocks(items, item_id, item_text, limit):  # a block that was sent is let go
-        docs, none = scanned(docs, block), False
-    return (scanned(docs, Windows([])) if none else docs), names
+    pending = Windows([])
+    for block in blocks(items, item_id, item_text, limit):
+        if pending.items:  # written, so that no task holds two blocks
+            docs = materialise(scanned(docs, pending), "scanned")
+        pending = block
+    return scanned(docs, pending), names
 
 
 def replaced(batch: pa.RecordBatch, columns: dict[str, list]) -> pa.RecordBatch:

@@ -58,6 +58,20 @@ def test_whole_standard_files(spark):
     assert {r.doc_id: r.license_id for r in got} == want | {92: None, 93: None}
 
 
+def test_licences_equal_sql_on_a_planted_table(spark, tmp_path):
+    """Every form of every licence, each in another dress, among texts that are none."""
+    dress = [lambda t: t, lambda t: t.upper(), lambda t: "Copyright 2001 An Author\n" + t, lambda t: t.replace("\n", "\r\n  "), lambda t: "« " + t.replace("license", "licence") + " »"]
+    rows = [(i, dress[i % len(dress)](t)) for i, (_, t) in enumerate(op07_licence.forms(op07_licence.LICENCES))]
+    rows += [(900, None), (901, ""), (902, rows[0][1] + " not"), (903, rows[1][1][:200])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/d.parquet/*.parquet'")
+    want = con.sql(op07_licence.oracle())
+    got = op07_licence.scan(spark.read.parquet(f"{tmp_path}/d.parquet")).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+    assert sum(r.is_license for r in got) == len(rows) - 4
+
+
 def test_rotation(spark):
     rows = [("a", 0, "system", "be kind"), ("a", 1, "Ann", "hi <|im_end|>"), ("a", 2, "Bob", None), ("a", 70, None, "é🙂"), ("a", 1, "Ann", "hi <|im_end|>"), ("b", 0, "system", "alone"), (None, None, "Cy", "x")]
     chats = spark.createDataFrame([(*r, 1) for r in rows], "conv_id string, turn long, role string, text string, block int")
