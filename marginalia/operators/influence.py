@@ -4,15 +4,18 @@ A passage is found word for word with any white space between its words."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.scalar import once
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The fewest words of a passage on record, and the characters kept of it.
 LEAST, KEPT = 12, 4000
-#: Words of a key by which documents and passages meet; rows that are broadcast.
-KEY, BOUND = 5, 20_000
+#: Words of a key by which documents and passages meet; passages, and characters of them, that go out at once.
+KEY, BOUND, BYTES = 5, 20_000, 16 << 20
 
 
 def flat(text: Column) -> Column:
@@ -25,37 +28,64 @@ def record(passages: DataFrame, text_col: str = "text") -> DataFrame:
     return d.where(F.size(F.split(F.trim(text_col), " ")) >= LEAST).dropDuplicates([text_col])
 
 
-def _within(rows: DataFrame, limit: int = BOUND) -> DataFrame:
-    """rows, broadcast if they were counted to be few."""
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+def parts(passages: DataFrame, limit: int = BOUND) -> Iterator[list[tuple]]:
+    """(passage_id, said) in lists of a bounded number and size; one is on the driver at a time."""
+    held, size = [], 0
+    for row in passages.toLocalIterator():
+        if held and (len(held) >= limit or size + len(row[1]) > BYTES):
+            yield held
+            held, size = [], 0
+        held.append(tuple(row))
+        size += len(row[1])
+    if held:
+        yield held
 
 
-def found(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def found(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BOUND) -> DataFrame:
     """(id, passage_id, at, n): the first place of each passage in each document's flat text.
 
     A passage may start and end inside of a document's words, but what lies between its
-    first and last word are whole words: up to five of them are its key, and only documents
-    with that key are searched. Passages of two words and fewer have no key; they are
-    searched in all documents. passages: passage_id, text."""
+    first and last word are whole words: up to five of them are its key, a passage of two
+    words or fewer is its own. The keys of one part of the passages are one automaton, and
+    a document is searched in its row: nothing is shuffled, and each part is one pass.
+    passages: passage_id, text."""
     d = docs.select(F.col(id_col).alias("id"), flat(F.col(text_col)).alias("t"))
-    p = passages.select("passage_id", flat(F.col("text")).alias("said")).where("said <> ''")
-    p = p.withColumn("inner", F.greatest(F.size(F.split("said", " ")) - 2, F.lit(0)))
-    keyed = p.where("inner > 0").withColumn("size", F.least("inner", F.lit(KEY)))
-    keyed = keyed.withColumn("key", F.array_join(F.slice(F.split("said", " "), F.lit(2), F.col("size")), " "))
-    sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())  # five at most
-    worded = once(d.select("id", "t"), ws=F.split("t", " ")).select("id", "ws")
-
-    def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - (n - 1))), lambda i: F.array_join(F.slice("ws", i, n), " "))
-
-    grams = [runs(n) for n in sizes]
-    # Only keys travel, not texts; candidates are the few documents that have a passage's key.
-    keys = worded.select("id", F.explode(F.array_distinct(F.concat(*grams)))).toDF("id", "key") if grams else d.select("id", F.lit("").alias("key")).limit(0)
-    near = keys.join(_within(keyed.select("key", "passage_id")), "key").select("id", "passage_id").distinct()
-    near = near.unionByName(d.select("id").join(_within(p.where("inner = 0").select("passage_id")))) if not p.where("inner = 0").isEmpty() else near
-    hits = d.join(_within(near), "id").join(_within(p.select("passage_id", "said")), "passage_id")
-    hits = hits.where(F.contains("t", F.col("said")))
-    return hits.select(F.col("id").alias(id_col), "passage_id", F.instr(F.col("t"), F.col("said")).cast("long").alias("at"), F.char_length("said").cast("long").alias("n")).distinct()
+    p = passages.select("passage_id", flat(F.col("text")).alias("said")).where("said <> ''").distinct()
+    struct = d.select("id").crossJoin(p.select("passage_id").limit(0)).schema  # its types only; never run
+    for c in ("at", "n"):
+        struct = struct.add(c, "long")
+    arrow = to_arrow_schema(struct)
+
+    def scan(part: list[tuple]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys: dict[str, list[int]] = {}
+            for k, (_, said) in enumerate(sent.value):
+                inner = said.split(" ")[1:-1][:KEY]
+                keys.setdefault(" ".join(inner) or said, []).append(k)
+            tree = ahocorasick.Automaton()
+            for key, own in keys.items():
+                tree.add_word(key, own)
+            tree.make_automaton()
+            for batch in batches:
+                row, hit, at = [], [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    for k in sorted({k for _, own in tree.iter(text) for k in own}):
+                        if (place := text.find(sent.value[k][1])) >= 0:
+                            row.append(i)
+                            hit.append(k)
+                            at.append(place + 1)
+                cols = [batch.column(0).take(pa.array(row, pa.int64())), [sent.value[k][0] for k in hit], at, [len(sent.value[k][1]) for k in hit]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        return d.where("t <> ''").mapInArrow(run, struct)
+
+    out = None
+    for part in parts(p, limit):
+        out = scan(part) if out is None else out.unionByName(scan(part))
+    out = docs.sparkSession.createDataFrame([], struct) if out is None else out
+    return out.distinct().withColumnRenamed("id", id_col)
 
 
 def pattern(said: str) -> str:
