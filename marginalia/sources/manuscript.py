@@ -40,80 +40,179 @@ def decode(raw: bytes) -> tuple[str, str, str]:
         return raw.decode("cp1252", "replace"), "cp1252", "read as cp1252"
 
 
-def _style_level(name: str) -> int:
-    m = re.fullmatch(r"heading ?(\d)|title", name.lower())
-    return 0 if not m else int(m[1] or 1)
+#: Characters of the Symbol font by their code, and where it keeps them.
+SYMBOLS = {
+    0x44: "Δ", 0x46: "Φ", 0x47: "Γ", 0x4C: "Λ", 0x50: "Π", 0x51: "Θ", 0x53: "Σ", 0x57: "Ω", 0x59: "Ψ", 0x61: "α", 0x62: "β", 0x64: "δ", 0x65: "ε", 0x66: "φ", 0x67: "γ", 0x68: "η",
+    0x6B: "κ", 0x6C: "λ", 0x6D: "µ", 0x6E: "ν", 0x70: "π", 0x71: "θ", 0x72: "ρ", 0x73: "σ", 0x74: "τ", 0x77: "ω", 0xA3: "≤", 0xA5: "∞", 0xAC: "←", 0xAE: "→", 0xB0: "°", 0xB1: "±",
+    0xB2: "″", 0xB3: "≥", 0xB4: "×", 0xB7: "•", 0xB8: "÷", 0xB9: "≠", 0xBB: "≈", 0xD6: "√",
+}
+_PRIVATE = 0xF000
+#: Parts of a document that a reader doesn't see, or sees elsewhere.
+_UNSEEN = ("del", "moveFrom", "delText", "instrText", "Fallback", "rPr", "sectPr", "tblPr", "tblGrid", "trPr", "tcPr", "sdtPr", "sdtEndPr")
 
 
-def read_docx(raw: bytes) -> str:
-    """Markdown of a Word file: headings, lists, tables; tracked deletions left out."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-        styles = {}
-        if "word/styles.xml" in z.namelist():
-            for s in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{_W}style"):
-                name = s.find(f"{_W}name")
-                styles[s.get(f"{_W}styleId")] = name.get(f"{_W}val") if name is not None else ""
-
-    def text(node) -> str:
-        out = []
-        for child in node:
-            if child.tag in (f"{_W}del", f"{_W}moveFrom", f"{_W}pPr", f"{_W}rPr") or child.tag.endswith("}Fallback"):
+def _events(xml: bytes) -> Iterator[tuple[str, str, ElementTree.Element]]:
+    """(event, tag without namespace, element) in document order; what was read is let go."""
+    for event, node in ElementTree.iterparse(io.BytesIO(xml), events=("start", "end")):
+        yield event, node.tag.rsplit("}", 1)[-1], node
+        if event == "end":
+            node.clear()
+
+
+def _value(node: ElementTree.Element, name: str = "val") -> str:
+    return node.get(f"{_W}{name}") or ""
+
+
+class Styles:
+    """Of each paragraph style: its heading level (0: none), and its list, if any."""
+
+    def __init__(self, styles: bytes | None, numbering: bytes | None):
+        self.own: dict[str, dict] = {}
+        self.formats: dict[str, dict[str, str]] = {}
+        kinds: dict[str, dict[str, str]] = {}
+        at: dict = {}
+        for event, tag, node in _events(styles) if styles else ():
+            if event == "start" and tag == "style":
+                at = self.own.setdefault(_value(node, "styleId"), {})
+            elif event == "start" and tag in ("name", "basedOn", "outlineLvl", "numId", "ilvl"):
+                at.setdefault(tag, _value(node))
+        abstract = level = num = ""
+        for event, tag, node in _events(numbering) if numbering else ():
+            if event != "start":
                 continue
-            if child.tag == f"{_W}t":
-                out.append(child.text or "")
-            elif child.tag == f"{_W}tab":
-                out.append("\t")
-            elif child.tag in (f"{_W}br", f"{_W}cr"):
-                out.append("\n")
-            else:
-                out.append(text(child))
-        return "".join(out)
+            if tag == "abstractNum":
+                abstract = _value(node, "abstractNumId")
+            elif tag == "lvl":
+                level = _value(node, "ilvl")
+            elif tag == "numFmt":
+                kinds.setdefault(abstract, {}).setdefault(level, _value(node))
+            elif tag == "num":
+                num = _value(node, "numId")
+            elif tag == "abstractNumId" and num:
+                self.formats[num] = kinds.get(_value(node), {})
+
+    def of(self, style: str, what: str) -> str:
+        """A property of a style or of the first that it is based on and that has one."""
+        seen: set[str] = set()
+        while style and style not in seen:
+            seen.add(style)
+            own = self.own.get(style, {})
+            if what in own:
+                return own[what]
+            style = own.get("basedOn", "")
+        return ""
 
-    parts: list[str] = []
-    count = 0
-    kinds: list[str] = []
+    def level(self, style: str, outline: str) -> int:
+        said = outline or self.of(style, "outlineLvl")
+        for name in (self.own.get(style, {}).get("name", style), style):
+            if m := re.fullmatch(r"heading ?(\d)|title", name.lower()):
+                return int(m[1] or 1)
+        return int(said) + 1 if said.isdigit() and int(said) < 6 else 0
 
-    def walk(node) -> None:
+    def list_kind(self, style: str, num: str | None, level: str) -> str:
+        """list, ordered or nothing."""
+        name = self.own.get(style, {}).get("name", style).lower()
+        num = self.of(style, "numId") if num is None else num
+        if num == "0":
+            return ""
+        shape = self.formats.get(num, {}).get(level or self.of(style, "ilvl") or "0", "")
+        if shape:
+            return "list" if shape in ("bullet", "none") else "ordered"
+        return ("ordered" if "number" in name else "list") if num or name.startswith("list") else ""
+
+
+def read_docx(raw: bytes) -> str:
+    """Markdown of a Word file: headings, lists and tables.
+
+    One pass over the document's events with a stack of open paragraphs and table cells, so
+    that content controls are read through, a text box becomes a paragraph of its own behind
+    the one that holds it, and what is deleted, moved away or an alternative is passed over."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = set(z.namelist())
+        part = lambda n: z.read(n) if n in names else None
+        styles, document = Styles(part("word/styles.xml"), part("word/numbering.xml")), z.read("word/document.xml")
+    parts: list[tuple[str, str]] = []
+    open_: list[dict] = []  # paragraphs, the innermost last
+    tables: list[list[list[list[str]]]] = []
+    late: list[list[tuple[str, str]]] = []  # what stood inside of an open paragraph
+    hidden, count = 0, 0
+
+    def put(kind: str, said: str) -> None:
         nonlocal count
-        for p in node:
-            if p.tag == f"{_W}tbl":
-                rows = [[text(c).strip().replace("\n", " ") for c in r.findall(f"{_W}tc")] for r in p.findall(f"{_W}tr")]
-                parts.append("\n".join("| " + " | ".join(r) + " |" for r in rows))
-                kinds.append("table")
-            elif p.tag == f"{_W}p":
-                said = text(p).strip()
-                if not said:
-                    continue
-                props = p.find(f"{_W}pPr")
-                style = props.find(f"{_W}pStyle") if props is not None else None
-                name = styles.get(style.get(f"{_W}val"), style.get(f"{_W}val")) if style is not None else ""
-                level = _style_level(name or "")
-                listed = (props is not None and props.find(f"{_W}numPr") is not None) or (name or "").lower().startswith("list")
-                if level:
-                    parts.append("#" * level + " " + said)
-                    kinds.append("heading")
-                elif listed and "number" in (name or "").lower():
-                    count = count + 1 if kinds and kinds[-1] == "ordered" else 1
-                    parts.append(f"{count}. {said}")
-                    kinds.append("ordered")
-                elif listed:
-                    parts.append(f"- {said}")
-                    kinds.append("list")
-                else:
-                    parts.append(re.sub(r"^(\s*)([#>*+-]|\d+[.)])(?=\s)", r"\1\\\2", said))
-                    kinds.append("para")
-            elif p.tag not in (f"{_W}del", f"{_W}moveFrom"):
-                walk(p)
-
-    walk(body)
+        if kind == "ordered":
+            count = count + 1 if parts and parts[-1][0] == "ordered" else 1
+            said = f"{count}. {said}"
+        parts.append((kind, said))
+
+    def ended(p: dict) -> tuple[str, str] | None:
+        said = "".join(p["text"]).strip()
+        if not said:
+            return None
+        level = styles.level(p["style"], p["outline"])
+        kind = "heading" if level else styles.list_kind(p["style"], p["num"], p["ilvl"])
+        if kind == "heading":
+            return kind, "#" * level + " " + said
+        if kind == "ordered":
+            return kind, said
+        return ("list", f"- {said}") if kind else ("para", re.sub(r"^(\s*)([#>*+-]|\d+[.)])(?=\s)", r"\1\\\2", said))
+
+    for event, tag, node in _events(document):
+        start = event == "start"
+        if tag in _UNSEEN:
+            hidden += 1 if start else -1
+        elif hidden:
+            continue
+        elif tag == "p":
+            if start:
+                open_.append({"text": [], "style": "", "outline": "", "num": None, "ilvl": ""})
+                late.append([])
+                continue
+            done, after = ended(p := open_.pop()), late.pop()
+            if tables and not open_:
+                tables[-1][-1][-1] += [x for x in ("".join(p["text"]).strip(), *(t for _, t in after)) if x]
+                continue
+            whole = [*([done] if done else []), *after]
+            if open_:
+                late[-1] += whole
+            else:
+                for kind, said in whole:
+                    put(kind, said)
+        elif tag == "tbl":
+            if start:
+                tables.append([])
+                continue
+            rows = tables.pop()
+            said = "\n".join("| " + " | ".join(" ".join(c).replace("\n", " ") for c in r) + " |" for r in rows if r)
+            if tables:
+                tables[-1][-1][-1].append(" ".join(" ".join(c) for r in rows for c in r).replace("\n", " "))
+            elif open_:
+                late[-1].append(("table", said))
+            elif said:
+                put("table", said)
+        elif tag == "tr" and start and tables:
+            tables[-1].append([])
+        elif tag == "tc" and start and tables:
+            tables[-1][-1].append([])
+        elif open_ and start and tag in ("pStyle", "outlineLvl", "numId", "ilvl"):
+            open_[-1][{"pStyle": "style", "outlineLvl": "outline", "numId": "num", "ilvl": "ilvl"}[tag]] = _value(node)
+        elif open_ and not start and tag == "t":
+            open_[-1]["text"].append(node.text or "")
+        elif open_ and start and tag in _MARKS:
+            open_[-1]["text"].append(_MARKS[tag])
+        elif open_ and start and tag == "sym":
+            code = int(_value(node, "char") or "20", 16)
+            own = code - _PRIVATE if code >= _PRIVATE else code
+            open_[-1]["text"].append(SYMBOLS.get(own, "") if code >= _PRIVATE or _value(node, "font") == "Symbol" else chr(code))
     out = ""
-    for i, (part, kind) in enumerate(zip(parts, kinds, strict=True)):
-        same = i and kind == kinds[i - 1] and kind in ("list", "ordered")
-        out += ("" if not i else "\n" if same else "\n\n") + part
+    for i, (kind, said) in enumerate(parts):
+        same = i and kind == parts[i - 1][0] and kind in ("list", "ordered")
+        out += ("" if not i else "\n" if same else "\n\n") + said
     return out + "\n"
 
 
+_MARKS = {"tab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}
+
+
 def natural_key(path: Column) -> Column:
     """A sort key with runs of digits in the order of their numbers."""
     parts = F.regexp_extract_all(F.lower(path), F.lit("\\d+|\\D+"), F.lit(0))
