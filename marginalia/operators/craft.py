@@ -85,6 +85,16 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def paragraph_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Words of each document's paragraphs, which blank lines part: count, total, squares, range, deciles. Those without words don't count."""
+    sizes = F.filter(F.transform(F.split(F.col("text"), "\\n[ \\t]*\\n"), lambda p: F.size(S.words(p))), lambda n: n > 0)
+    d = S.once(_doc(docs, id_col, text_col), v=sizes).where(F.size("v") > 0)
+    return d.select(
+        "doc_id", *described(F.col("v")), F.array_min("v").alias("shortest"), F.array_max("v").alias("longest"),
+        *[quantile(F.col("v"), q).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)],
+    )
+
+
 def stem(key: Column) -> Column:
     return F.when((F.length(key) > 5) & key.endswith("s"), F.substring(key, F.lit(1), F.length(key) - 1)).otherwise(key)
 
@@ -170,6 +180,14 @@ def opener_runs(docs: DataFrame, least: int = 3, id_col: str = "doc_id", text_co
     return d.select("doc_id", F.col("r.at").cast("long").alias("sent_idx"), F.col("r.opener").alias("opener"), F.col("r.run").cast("long").alias("run"))
 
 
+def opener_variety(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Sentences, different openers and their ratio; a sentence without words has the empty opener."""
+    firsts = F.transform(S.sentences(F.col("text")), lambda s: S.normalise(F.regexp_extract(s, S.WORD, 0)))
+    d = S.once(_doc(docs, id_col, text_col), f=firsts).where(F.size("f") > 0)
+    kinds = F.size(F.array_distinct("f"))
+    return d.select("doc_id", F.size("f").cast("long").alias("sentences"), kinds.cast("long").alias("openers"), F.round(kinds / F.size("f"), 3).alias("variety"))
+
+
 def opener_top(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The k most frequent openers; ties by the word."""
     return first_words(docs, id_col, text_col).groupBy("opener").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "opener").limit(k)
@@ -269,3 +287,12 @@ def summaries(docs: DataFrame, head: int = 2, id_col: str = "doc_id", text_col:
     flat = F.transform("s", lambda x: F.regexp_replace(x, "\\s+", " "))
     first = F.array_join(F.slice(flat, 1, head), " ")
     return d.select("doc_id", F.when(F.size("s") > 3, F.concat(first, F.lit(" … "), F.element_at(flat, -1))).otherwise(first).alias("summary"))
+
+
+def section_summaries(sections: DataFrame, texts: DataFrame, head: int = 2) -> DataFrame:
+    """(ms, section_id, summary): each section's label and words, and its summary if it has sentences. texts: section_id, text."""
+    short = summaries(texts, head, "section_id").withColumnRenamed("doc_id", "section_id")
+    d = sections.select("ms", F.col("id").alias("section_id"), "label", "words").join(short, "section_id", "left")
+    size = F.concat(F.col("words").cast("string"), F.lit(" words"))
+    said = F.when(F.col("summary").isNull(), F.concat(F.col("label"), F.lit(" — "), size, F.lit("."))).otherwise(F.concat(F.col("label"), F.lit(" ("), size, F.lit("): "), F.col("summary")))
+    return d.select("ms", "section_id", said.alias("summary"))

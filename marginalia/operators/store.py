@@ -25,6 +25,16 @@ def current(claims: DataFrame, journal: DataFrame) -> DataFrame:
     return claims.join(last, "id", "left").select(*claims.columns, F.coalesce("x.action", F.lit("proposed")).alias("state"), F.when(F.col("x.action") == "superseded", F.col("x.detail")).alias("replaced_by"))
 
 
+def chosen(now: DataFrame, state: str | None = None, kind: str | None = None, subject: str | None = None, key: tuple[str, str] | None = None, ids: Sequence[int] | None = None) -> DataFrame:
+    """Claims by state, kind, subject (in either case), key (subject and predicate) or ids; all that is given must hold. Ordered by id."""
+    plain = lambda c: F.lower(F.trim(c))
+    for want, have in ((state, F.col("state")), (kind, F.col("kind")), (subject and subject.strip().lower(), plain("subject"))):
+        now = now if want is None else now.where(have == want)
+    if key is not None:
+        now = now.where((plain("subject") == key[0].strip().lower()) & (plain("predicate") == key[1].strip().lower()))
+    return (now if ids is None else now.where(F.col("id").isin(list(ids)))).orderBy("id")
+
+
 def act(now: DataFrame, requests: DataFrame, after: int) -> tuple[DataFrame, DataFrame]:
     """(new journal rows, refused requests). requests: claim_id, verb, detail; after: the journal's last seq."""
     table = requests.sparkSession.createDataFrame([(v, to, list(of)) for v, (to, of) in VERBS.items()], "verb string, becomes string, allowed array<string>")

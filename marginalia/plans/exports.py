@@ -52,6 +52,15 @@ def report_json(findings: DataFrame, path: str) -> None:
     findings.write.mode("overwrite").json(path)
 
 
+def report_summary(report) -> dict:
+    """What a run's findings don't say: counts by check and severity, checks that found nothing, those skipped or failed and why, and seconds."""
+    rows = report.findings.groupBy("check", "severity").agg(F.count("*").alias("n")).collect() if report.findings is not None else []  # a row for each check and severity
+    counts: dict = {}
+    for r in sorted(rows):
+        counts.setdefault(r["check"], {})[r["severity"]] = r["n"]
+    return {"counts": counts, "quiet": [c for c in report.ran if c not in counts], "skipped": report.skipped, "failed": report.failed, "seconds": {k: round(v, 3) for k, v in report.timing.items()}}
+
+
 def report_text(findings: DataFrame) -> DataFrame:
     """Lines of a report, defects first."""
     return ranked(findings).select(F.concat(F.upper("severity"), F.lit(" ["), F.col("check"), F.lit("] "), F.col("title")).alias("line"))

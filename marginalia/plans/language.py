@@ -118,7 +118,21 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("sentences"), F.aggregate(F.transform(s, F.char_length), F.lit(0).cast("long"), lambda a, b: a + b).alias("chars"))
 
 
+def paragraph_lengths(spark, sf_dir):
+    """Quantiles in tenths, as for sentences."""
+    out = craft.paragraph_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    tenths = {f"p{q}": F.round(F.col(f"p{q}") * 10).cast("long").alias(f"p{q}") for q in (10, 50, 90)}
+    return out.select(*[tenths.get(c, F.col(c).cast("long").alias(c) if c != "doc_id" else F.col(c)) for c in out.columns])
+
+
+def opener_variety(spark, sf_dir):
+    out = craft.opener_variety(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "sentences", "openers", F.round(F.col("openers") * 1000 / F.col("sentences")).cast("long").alias("variety"))
+
+
 QUERIES = {
+    "paragraph_lengths": paragraph_lengths,
+    "opener_variety": opener_variety,
     "word_counts": _over(craft.word_counts),
     "lossless_tokens": _over(craft.offsets),
     "token_spans": _over(craft.token_spans),
@@ -158,6 +172,14 @@ ORACLES = {
     "sentence_counts": f"""
         WITH {token_sql()}
         SELECT documents.doc_id, count(sid) AS sentences, CAST(coalesce(sum(length(body)), 0) AS BIGINT) AS chars FROM documents LEFT JOIN sent USING (doc_id) GROUP BY 1""",
+    "paragraph_lengths": f"""
+        WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) AS t FROM documents),
+        s AS (SELECT doc_id, len(regexp_extract_all(t, {text_sql(S.WORD)})) AS n FROM p)
+        SELECT doc_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS total, CAST(sum(n * n) AS BIGINT) AS squares, min(n) AS shortest, max(n) AS longest,
+               CAST(round(quantile_cont(n, 0.1) * 10) AS BIGINT) AS p10, CAST(round(quantile_cont(n, 0.5) * 10) AS BIGINT) AS p50, CAST(round(quantile_cont(n, 0.9) * 10) AS BIGINT) AS p90
+        FROM s WHERE n > 0 GROUP BY doc_id""",
+    "opener_variety": f"""
+        WITH {token_sql()} SELECT doc_id, count(*) AS sentences, count(DISTINCT opener) AS openers, CAST(round(count(DISTINCT opener) * 1000 / count(*)) AS BIGINT) AS variety FROM sent GROUP BY 1""",
     "sentence_lengths": f"""
         WITH {token_sql()}, s AS (SELECT doc_id, n FROM sent WHERE n > 0)
         SELECT doc_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS total, CAST(sum(n * n) AS BIGINT) AS squares, min(n) AS shortest, max(n) AS longest,

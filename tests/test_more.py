@@ -4,9 +4,9 @@ import random
 
 import pytest
 
-from marginalia.operators import drafts, store, style
+from marginalia.operators import craft, drafts, store, style
 from marginalia.operators import structure as st
-from marginalia.plans import exports
+from marginalia.plans import exports, runner
 from marginalia.sources import settings
 
 from .test_store import COLS
@@ -105,3 +105,20 @@ def test_drift_since_a_draft(spark):
     lines = spark.createDataFrame([("a", "one two " * 100), ("b", "few words")], "who string, text string")
     assert [x.who for x in style.spoken(lines, "who").collect()] == ["a"]
     assert style.unborrowed(lines, ["few  words"]).where("who = 'b'").first().text.strip() == ""
+
+
+def test_section_summaries_claims_and_report(spark):
+
+    files = spark.createDataFrame([("m", "a.md", 0, "# 1 A\n\nOne two. Three four. Five. Six seven.\n\n# B\n\n# C\n\nSee Section 9.\n")], "ms string, rel string, file_order int, text string")
+    blocks = st.blocks(files)
+    sec = st.sections(blocks).cache()
+    loc = st.located(blocks, sec).cache()
+    got = {r.section_id: r.summary for r in craft.section_summaries(sec, st.section_texts(loc)).collect()}
+    assert sorted(got.values()) == ["B — 0 words.", "C (2 words): See Section 9.", "§1 A (7 words): One two. Three four. … Six seven."]
+    now = spark.createDataFrame([(1, "Lid", "torque", "numeric", "accepted"), (2, "lid ", "mass", "numeric", "proposed"), (3, "Bo", "age", "attribute", "accepted")], "id long, subject string, predicate string, kind string, state string")
+    ids = lambda **k: [r.id for r in store.chosen(now, **k).collect()]
+    assert ids() == [1, 2, 3] and ids(subject="LID") == [1, 2] and ids(key=("lid", "Mass")) == [2] and ids(state="accepted", kind="numeric") == [1] and ids(ids=[3, 9]) == [3]
+    report = runner.run(runner.Context(loc, sec), only=["xrefs", "steps", "rules"], quotes=True)
+    said = exports.report_summary(report)
+    assert said["counts"] == {"xrefs": {"defect": 1}} and set(said["quiet"]) == {"steps", "rules"} and not said["failed"]
+    assert report.findings.first().quote == "See Section 9."
