@@ -230,8 +230,8 @@ def name_variants(names: DataFrame) -> DataFrame:
     starts = (short >= 4) & (short < long) & (F.col("a_k").startswith(F.col("b_k")) | F.col("b_k").startswith(F.col("a_k")))
     near = (short >= 5) & F.levenshtein("a_k", "b_k", 2).between(0, 2)
     why = (
-        F.when(F.col("nick"), "a known diminutive").when(starts, "one is a shortening of the other").when(near, "one or two characters apart")
-        .when(F.replace(F.col("a_k"), F.lit("k"), F.lit("c")) == F.replace(F.col("b_k"), F.lit("k"), F.lit("c")), "a spelling variant")
+        F.when(F.col("nick"), "a diminutive on the list").when(starts, "one begins with the other").when(near, "spelt within two letters")
+        .when(F.replace(F.col("a_k"), F.lit("k"), F.lit("c")) == F.replace(F.col("b_k"), F.lit("k"), F.lit("c")), "k and c exchanged")
     )
     return pairs.select("ms", F.col("a_name").alias("name"), F.col("b_name").alias("form"), F.col("a_uses").alias("uses"), F.col("b_uses").alias("form_uses"), why.alias("reason")).where("reason is not null")
 

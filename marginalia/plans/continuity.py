@@ -136,7 +136,7 @@ ORACLES = {
         UNION ALL SELECT doc_id, 'xrefs', 'defect', 'No section ' || (1 + k % 4), 'See Section ' || (1 + k % 4) || '.' FROM d WHERE k % 4 >= 2
         UNION ALL SELECT doc_id, 'xrefs', 'defect', 'No figure 2', 'See Figure 2.' FROM d WHERE k % 2 = 1
         UNION ALL SELECT doc_id, 'xrefs', 'defect', 'No anchor #no-' || k, 'Read this and that .' FROM d
-        UNION ALL SELECT doc_id, 'units', 'defect', '“lid bolts torque” is given 2 different values: ' || least(40 + k % 3, 40 + n % 3) || ' Nm, ' || greatest(40 + k % 3, 40 + n % 3) || ' Nm', '' FROM d WHERE k % 3 <> n % 3
-        UNION ALL SELECT doc_id, 'units', 'defect', '“pump pressure” is given 2 different values: ' || list_aggregate(list_sort([(2 + n % 2) || '–' || (3 + n % 2) || ' bar', (200 + 100 * (k % 3)) || ' kPa']), 'string_agg', ', '), '' FROM d
+        UNION ALL SELECT doc_id, 'units', 'defect', '“lid bolts torque” has 2 values that clash: ' || least(40 + k % 3, 40 + n % 3) || ' Nm, ' || greatest(40 + k % 3, 40 + n % 3) || ' Nm', '' FROM d WHERE k % 3 <> n % 3
+        UNION ALL SELECT doc_id, 'units', 'defect', '“pump pressure” has 2 values that clash: ' || list_aggregate(list_sort([(2 + n % 2) || '–' || (3 + n % 2) || ' bar', (200 + 100 * (k % 3)) || ' kPa']), 'string_agg', ', '), '' FROM d
                   WHERE 200 + 100 * (k % 3) + 0.5 < 100 * (1.5 + n % 2) OR 200 + 100 * (k % 3) - 0.5 > 100 * (3.5 + n % 2)""",
 }
