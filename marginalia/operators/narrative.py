@@ -131,19 +131,20 @@ def contradictions(claims_: DataFrame) -> DataFrame:
     d = live.groupBy("ms", "key", "kind", "predicate", "shown", "u").agg(F.min(place).alias("at"), F.count("*").alias("mentions"), F.min_by("quote", place).alias("quote"), F.min_by("section_id", place).alias("section_id"), F.min_by("value", place).alias("value"))
     iso, sec = "^\\d{4}-\\d{2}-\\d{2}$", _seconds(F.col("shown"))
     timed = F.when(F.col("shown").isin(L.WEEKDAYS), "weekday").when(F.col("shown").rlike(iso), "date").when(sec.isNotNull(), "duration").otherwise("other")
-    low, high = units.extent(F.col("value"), F.col("u"))
+    d = S.once(d, r=units.reading(F.col("value"), F.col("u")))
+    low, high = units.drawn_in(F.col("r"))
     numeric, length = F.col("kind") == "numeric", (F.col("kind") == "temporal") & (timed == "duration")
     # Values of different classes never clash; within one, quantities and durations do if they lie apart, others if they differ.
-    d = d.withColumn("class", F.when(numeric, units.scale(F.col("u"))).when(F.col("kind") == "temporal", timed).otherwise(""))
+    d = d.withColumn("class", F.when(numeric, F.col("r.scale")).when(F.col("kind") == "temporal", timed).otherwise(""))
     d = d.withColumn("low", F.when(numeric, low).when(length, sec)).withColumn("high", F.when(numeric, high).when(length, sec))
     d = d.where(F.col("class").isNotNull() & (~numeric | F.col("low").isNotNull()))
-    pairs = units.apart(d, ["ms", "key", "kind", "predicate", "class"], ["value", "u", "at", "mentions", "quote", "section_id", "shown"])
+    pairs = units.apart(d, ["ms", "key", "kind", "predicate", "class"], ["value", "u", "at", "mentions", "quote", "section_id", "shown", "r"])
+    pairs = pairs.where(F.when(F.col("kind") == "numeric", units.disagree(F.col("a_r"), F.col("b_r"))).otherwise(F.col("a_shown") != F.col("b_shown")))
     first = F.struct("a_at", "a_shown") < F.struct(F.col("b_at"), F.col("b_shown"))
     swapped = [F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")).alias(f"{p}_{c}") for p, q in ("ab", "ba") for c in ("value", "u", "at", "mentions", "quote", "section_id", "shown")]
     pairs = pairs.select("ms", "key", "kind", "predicate", "class", *swapped)
-    clash = F.when(F.col("kind") == "numeric", units.conflict(F.col("a_value"), F.col("a_u"), F.col("b_value"), F.col("b_u"))).otherwise(F.col("a_shown") != F.col("b_shown"))
     certain = ~((F.col("predicate") == "value") & (F.col("a_section_id") != F.col("b_section_id"))) & ~((F.col("kind") == "temporal") & (F.col("class") == "other"))
-    return pairs.where(clash).withColumn("certain", certain).drop("class")
+    return pairs.withColumn("certain", certain).drop("class")
 
 
 def cast(passages: DataFrame, least: int = 4, limit: int = 40) -> DataFrame:

@@ -132,8 +132,9 @@ def dependents(paragraphs: DataFrame, subject: str, value: str, unit: str = "",
     Numbers are carried by overlapping intervals of one dimension, other values by their words."""
     p = paragraphs.where(F.contains(F.lower("prose"), F.lit(subject.lower())))
     if unit:
-        lo, hi = units.interval(F.lit(value), F.lit(unit))
-        over = lambda q: (q["dimension"] == units.dimension(F.lit(unit))) & (units.interval(q["value"], q["unit"])[0] <= hi) & (units.interval(q["value"], q["unit"])[1] >= lo)
+        meant, of = units.reading(F.lit(value), F.lit(unit)), units.dimension(F.lit(unit))
+        meets = lambda r: (r["from"] <= meant["to"]) & (r["to"] >= meant["from"])
+        over = lambda q: (q["dimension"] == of) & S.let(units.reading(q["value"], q["unit"]), meets)
         carries = F.exists(units.quantities(F.col("prose")), over)
     else:
         carries = F.exists(S.keys(F.col("prose")), lambda w: w.isin([x for x in value.lower().split() if len(x) > 2]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import lexicons as L
-from ..functions.scalar import let, matches, words
+from ..functions.scalar import let, matches, once, words
 
 
 def unit_table(spark: SparkSession) -> DataFrame:
@@ -58,47 +58,48 @@ def half_step(num: Column) -> Column:
     return F.pow(F.lit(10.0), -places) / 2
 
 
-def interval(text: Column, unit: Column) -> tuple[Column, Column]:
-    """What a quantity asserts, in base units."""
-    a, b = bounds(text)
-    x, y = a.try_cast("double"), b.try_cast("double")
-    by = F.when(dimension(unit) == "temperature", 1.0).otherwise(F.coalesce(factor(unit), F.lit(1.0)))
-    return F.least(x, y) * by - half_step(a) * by, F.greatest(x, y) * by + half_step(b) * by
+def scale(unit: Column) -> Column:
+    """What quantities must share to be compared: the dimension, for temperatures with the
+    letter of their scale; null of unknown units."""
+    letter = F.upper(F.substring(F.regexp_replace(unit, "^[°\\s]+", ""), 1, 1))
+    return let(dimension(unit), lambda d: F.when(d == "temperature", F.concat(F.lit("temperature "), letter)).otherwise(d))
 
 
-def same_unit(a: Column, b: Column) -> Column:
-    letter = lambda u: F.upper(F.substring(F.regexp_replace(u, "^[°\\s]+", ""), 1, 1))
-    warm = dimension(a) == "temperature"
-    return F.coalesce((dimension(a) == dimension(b)) & F.when(warm, letter(a) == letter(b)).otherwise(factor(a) == factor(b)), F.lit(False))
+def reading(text: Column, unit: Column) -> Column:
+    """struct<scale, by, low, high, from, to>: a quantity read once, for any number of
+    comparisons: what its unit measures and its factor, the ends as written, and the ends of
+    what it asserts in base units."""
 
+    def ends(r: Column) -> Column:
+        decimal, double = (lambda c: c.try_cast("decimal(38,12)")), (lambda c: c.try_cast("double"))
+        x, y = double(r["a"]), double(r["b"])
+        return F.struct(
+            r["scale"].alias("scale"), r["by"].alias("by"), F.least(decimal(r["a"]), decimal(r["b"])).alias("low"), F.greatest(decimal(r["a"]), decimal(r["b"])).alias("high"),
+            ((F.least(x, y) - half_step(r["a"])) * r["by"]).alias("from"), ((F.greatest(x, y) + half_step(r["b"])) * r["by"]).alias("to"),
+        )
 
-def conflict(a_text: Column, a_unit: Column, b_text: Column, b_unit: Column) -> Column:
-    """Two quantities of one dimension that can't both hold: in the same unit as written,
-    in different units if their intervals are apart. Unknown units never conflict."""
-    decimal = lambda c: c.try_cast("decimal(38,12)")
-    (a1, a2), (b1, b2) = ((decimal(x), decimal(y)) for x, y in (bounds(a_text), bounds(b_text)))
-    written = (F.greatest(a1, a2) < F.least(b1, b2)) | (F.greatest(b1, b2) < F.least(a1, a2))
-    (lo, hi), (lo2, hi2) = interval(a_text, a_unit), interval(b_text, b_unit)
-    apart = (hi < lo2) | (hi2 < lo)
-    known = dimension(a_unit) == dimension(b_unit)
-    same = same_unit(a_unit, b_unit)
-    return F.coalesce(known & F.when(same, written).when(dimension(a_unit) == "temperature", F.lit(False)).otherwise(apart), F.lit(False))
+    a, b = bounds(text)
+    known = F.struct(scale(unit).alias("scale"), F.coalesce(factor(unit), F.lit(1.0)).alias("by"), a.alias("a"), b.alias("b"))
+    return let(let(known, lambda r: F.struct(r["scale"].alias("scale"), F.when(r["scale"].startswith("temperature"), 1.0).otherwise(r["by"]).alias("by"), r["a"].alias("a"), r["b"].alias("b"))), ends)
 
 
-def scale(unit: Column) -> Column:
-    """What quantities must share to be compared: the dimension, for temperatures with the
-    letter of their scale; null of unknown units."""
-    letter = F.upper(F.substring(F.regexp_replace(unit, "^[°\\s]+", ""), 1, 1))
-    return F.when(dimension(unit) == "temperature", F.concat(F.lit("temperature "), letter)).otherwise(dimension(unit))
+def disagree(x: Column, y: Column) -> Column:
+    """Whether two readings can't both hold: in the same unit as written, in different units
+    if their intervals are apart. Unknown units and different scales never disagree."""
+    written = (x["high"] < y["low"]) | (y["high"] < x["low"])
+    apart = (x["to"] < y["from"]) | (y["to"] < x["from"])
+    return F.coalesce((x["scale"] == y["scale"]) & F.when(x["by"] == y["by"], written).otherwise(apart), F.lit(False))
 
 
-def extent(text: Column, unit: Column) -> tuple[Column, Column]:
-    """The ends of a quantity as written, in base units, drawn in by what arithmetic may add:
-    two quantities that conflict have extents that lie apart."""
-    a, b = bounds(text)
-    x, y = a.try_cast("double"), b.try_cast("double")
-    by = F.when(dimension(unit) == "temperature", 1.0).otherwise(F.coalesce(factor(unit), F.lit(1.0)))
-    low, high = F.least(x, y) * by, F.greatest(x, y) * by
+def conflict(a_text: Column, a_unit: Column, b_text: Column, b_unit: Column) -> Column:
+    """Two quantities that can't both hold."""
+    return let(F.struct(reading(a_text, a_unit).alias("x"), reading(b_text, b_unit).alias("y")), lambda p: disagree(p["x"], p["y"]))
+
+
+def drawn_in(r: Column) -> tuple[Column, Column]:
+    """The ends of a reading as written, in base units, drawn in by what arithmetic may add:
+    two readings that disagree lie apart by them."""
+    low, high = (r[c].cast("double") * r["by"] for c in ("low", "high"))
     slack = (F.abs(low) + F.abs(high)) * 1e-9
     return low + slack, high - slack
 
@@ -141,16 +142,19 @@ def apart(rows: DataFrame, key: list[str], columns: list[str], low: str = "low",
 
 
 def conflicts(values: DataFrame, key: list[str], text: str = "value", unit: str = "unit") -> DataFrame:
-    """Conflicting pairs of distinct values of a key. Equal values are counted together first,
-    and a sweep lets only those meet that lie apart; the pair is named by the lesser text first."""
+    """Conflicting pairs of distinct values of a key. Equal values are counted together and read
+    once, and a sweep lets only those meet that may lie apart; the pair is named by the lesser text first."""
     d = values.groupBy(*key, F.col(text).alias("t"), F.col(unit).alias("u")).agg(F.count("*").alias("uses"))
-    low, high = extent(F.col("t"), F.col("u"))
-    d = d.withColumn("_scale", scale(F.col("u"))).withColumn("_low", low).withColumn("_high", high).where("_scale is not null and _low is not null and _high is not null")
-    pairs = apart(d, [*key, "_scale"], ["t", "u", "uses"], "_low", "_high")
+    d = once(d, r=reading(F.col("t"), F.col("u"))).where("r.scale is not null and r.low is not null and r.high is not null")
+    low, high = drawn_in(F.col("r"))
+    fields = ("by", "low", "high", "from", "to")
+    d = d.select(*key, "t", "u", "uses", F.col("r.scale").alias("_scale"), low.alias("_low"), high.alias("_high"), *[F.col(f"r.{c}").alias(f"r_{c}") for c in fields])
+    pairs = apart(d, [*key, "_scale"], ["t", "u", "uses", *[f"r_{c}" for c in fields]], "_low", "_high")
+    x, y = ({"scale": F.col("_scale")} | {c: F.col(f"{p}_r_{c}") for c in fields} for p in "ab")
+    pairs = pairs.where(disagree(x, y))
     first = F.struct("a_t", "a_u") < F.struct(F.col("b_t"), F.col("b_u"))
     names = {"t": "", "u": "_unit", "uses": "_uses"}
-    out = pairs.select(*key, *[F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")).alias(f"{p}{x}") for p, q in ("ab", "ba") for c, x in names.items()])
-    return out.where(conflict(F.col("a"), F.col("a_unit"), F.col("b"), F.col("b_unit")))
+    return pairs.select(*key, *[F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")).alias(f"{p}{x}") for p, q in ("ab", "ba") for c, x in names.items()])
 
 
 def _alternation() -> str:

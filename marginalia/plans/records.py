@@ -9,17 +9,19 @@ from ..operators import findings, influence, narrative, retrieval, sequences, st
 from . import runner
 from .leaf import leaf
 
-#: (name, value, unit, value, unit): quantities compared pairwise.
+#: Pairs of quantities that line items give, in turn: (name, value, unit, value, unit, whether they clash), as SQL
+#: that Spark and DuckDB both read. q is the quantity, 1 to 50; e is 0, 1 or 2 and puts the second value off.
+_TENTHS = "CAST(floor(({0}) / 10) AS INT) || '.' || ({0}) % 10"
 PAIRS = [
-    ("power", "1", "MW", "1000", "kW"), ("small power", "10", "mW", "10", "MW"), ("volts", "3", "V", "3.3", "V"), ("torque", "40", "Nm", "29.5", "lb-ft"),
-    ("range", "10–20", "Nm", "15", "Nm"), ("range apart", "10–20", "Nm", "25", "Nm"), ("temperature", "20", "°C", "68", "°F"), ("temperature", "20", "C", "21", "°C"),
-    ("length", "1", "in", "25.4", "mm"), ("length", "1", "in", "26.1", "mm"), ("mixed", "5", "kg", "5", "m"), ("unknown", "5", "foo", "6", "foo"), ("thousands", "1,500", "mm", "1.5", "m"),
-]
-#: (component, quantity, value, unit): a register of written values.
-REGISTER = [
-    ("lid bolts", "torque", "40", "Nm"), ("lid bolts", "torque", "45", "Nm"), ("Lid bolts", "torque", "40", "Nm"), ("pump", "pressure", "2", "bar"),
-    ("pump", "pressure", "200", "kPa"), ("pump", "flow", "5", "kg"), ("", "voltage", "3", "V"), ("", "voltage", "3.3", "V"), ("fan", "power", "10", "W"),
+    ("power", "q", "MW", "q * 1000 + 600 * e", "kW", "e > 0"), ("small power", "q", "mW", "q", "MW", "true"), ("volts", "q", "V", "q || '.' || 3 * e", "V", "e > 0"),
+    ("torque", "q", "Nm", _TENTHS.format("CAST(floor((7376 * q + 500) / 1000) AS INT) + 10 * e"), "lb-ft", "e > 0"), ("range", "q || '–' || (q + 10)", "Nm", "q + 7 * e", "Nm", "e = 2"),
+    ("temperature", "q", "°C", "q + e", "C", "e > 0"), ("two scales", "q", "°C", _TENTHS.format("18 * q + 320 + 20 * e"), "°F", "false"), ("mixed", "q", "kg", "q + e", "m", "false"), ("unknown", "q", "foo", "q + e", "foo", "false"), ("thousands", "'1,' || (500 + 2 * q)", "mm", "'1.5'", "m", "q > 25"),
 ]
+#: A register of pressures in bar and kilopascals, by part and way of shipping; some lines name no part.
+REGISTER = (
+    "CASE WHEN l_suppkey % 10 = 0 THEN '' ELSE 'part ' || l_partkey END AS component", "lower(l_returnflag) AS quantity", "l_linenumber % 2 = 1 AS bar",
+    "CAST(l_quantity AS INT) * CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 100 END + CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE 30 * (l_orderkey % 3) END AS x",
+)
 STATES = ("proposed", "accepted", "rejected", "superseded")
 
 
@@ -27,8 +29,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def values_sql(rows) -> str:
-    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+def _pairs_sql(*extra: str) -> list[str]:
+    """Columns name, a, a_unit, b, b_unit and those of extra, each chosen by i."""
+    cols = ["name", "a", "a_unit", "b", "b_unit", "clash"]
+    quoted = lambda c, x: f"'{x}'" if c in ("name", "a_unit", "b_unit") else x if c == "clash" else f"CAST({x} AS VARCHAR(99))"
+    pick = lambda c: "CASE i " + " ".join(f"WHEN {i} THEN {quoted(c, p[cols.index(c)])}" for i, p in enumerate(PAIRS)) + " END"
+    return [f"{pick(c)} AS {c}" for c in ("name", "a", "a_unit", "b", "b_unit", *extra)]
+
+
+_LINES = ("l_orderkey", "l_linenumber", f"(l_orderkey + l_linenumber) % {len(PAIRS)} AS i", "CAST(l_quantity AS INT) AS q", "CAST(l_suppkey % 3 AS INT) AS e")
 
 
 def activity_streaks(spark, sf_dir):
@@ -88,15 +97,17 @@ def triage(spark, sf_dir):
 
 
 def unit_truths(spark, sf_dir):
-    rows = spark.createDataFrame(PAIRS, "name string, a string, a_unit string, b string, b_unit string")
+    """Two values that each line item gives for one thing, in ten kinds of quantity, and whether they clash."""
+    rows = _read(spark, sf_dir, "lineitem").selectExpr(*_LINES).selectExpr("l_orderkey", "l_linenumber", *_pairs_sql())
     return rows.select("*", units.conflict(F.col("a"), F.col("a_unit"), F.col("b"), F.col("b_unit")).alias("conflict"))
 
 
 def spec_register(spark, sf_dir):
-    rows = spark.createDataFrame(REGISTER, "component string, quantity string, value string, unit string")
-    rows = rows.select(F.lower("component").alias("component"), "quantity", "value", "unit")
-    bad = units.conflicts(rows, ["component", "quantity"]).groupBy("component", "quantity").agg(F.count("*").alias("conflicts"))
-    out = rows.groupBy("component", "quantity").agg(F.count("*").alias("uses"), F.array_join(F.sort_array(F.collect_set(F.concat_ws(" ", "value", "unit"))), "; ").alias("values"))
+    """Values that line items state for a part, with the pairs that clash. Equal values are summed up before they meet."""
+    rows = _read(spark, sf_dir, "lineitem").selectExpr(*REGISTER).select("component", "quantity", F.col("x").cast("string").alias("value"), F.when(F.col("bar"), "bar").otherwise("kPa").alias("unit"))
+    n = rows.groupBy("component", "quantity", "value", "unit").agg(F.count("*").alias("n"))
+    bad = units.conflicts(n, ["component", "quantity"]).groupBy("component", "quantity").agg(F.count("*").alias("conflicts"))
+    out = n.groupBy("component", "quantity").agg(F.sum("n").alias("uses"), F.array_join(F.sort_array(F.collect_set(F.concat_ws(" ", "value", "unit"))), "; ").alias("values"))
     named = F.when(F.col("component") == "", "(not named)").otherwise(F.col("component"))
     return out.join(bad, ["component", "quantity"], "left").select(named.alias("component"), "quantity", "uses", "values", F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 
@@ -217,14 +228,13 @@ ORACLES = {
         WITH n AS (SELECT DISTINCT user_id AS key FROM events WHERE event_id % 2 = 0), p AS (SELECT DISTINCT user_id AS key FROM events WHERE event_id % 3 = 0), d AS (SELECT DISTINCT user_id AS key FROM events WHERE event_id % 7 = 0)
         SELECT key, CASE WHEN NOT key IN (FROM n) THEN 'gone' WHEN key IN (FROM d) THEN 'hidden' WHEN NOT key IN (FROM p) THEN 'fresh' ELSE 'shown' END AS state FROM (FROM n UNION FROM p)""",
     "unit_conflict_truth_table": f"""
-        WITH v(name, a, a_unit, b, b_unit) AS (VALUES {values_sql(PAIRS)}),
-        said(name, a, conflict) AS (VALUES ('power', '1', false), ('small power', '10', true), ('volts', '3', true), ('torque', '40', false), ('range', '10–20', false), ('range apart', '10–20', true),
-            ('mixed', '5', false), ('unknown', '5', false), ('thousands', '1,500', false))
-        SELECT v.*, coalesce(said.conflict, b = '21') AS conflict FROM v LEFT JOIN said USING (name, a)""",
+        WITH l AS (SELECT {", ".join(_LINES)} FROM lineitem), p AS (SELECT l_orderkey, l_linenumber, {", ".join(_pairs_sql("clash"))} FROM l)
+        SELECT l_orderkey, l_linenumber, name, a, a_unit, b, b_unit, clash AS conflict FROM p""",
     "spec_register": f"""
-        WITH v(component, quantity, value, unit) AS (VALUES {values_sql(REGISTER)}), l AS (SELECT lower(component) AS component, quantity, value, unit FROM v),
-        g AS (SELECT component, quantity, count(*) AS uses, string_agg(DISTINCT value || ' ' || unit, '; ' ORDER BY value || ' ' || unit) AS "values", count(DISTINCT CASE WHEN unit = 'kPa' THEN CAST(value AS DOUBLE) / 100 ELSE CAST(value AS DOUBLE) END) AS d FROM l GROUP BY 1, 2)
-        SELECT CASE WHEN component = '' THEN '(not named)' ELSE component END AS component, quantity, uses, "values", d * (d - 1) // 2 AS conflicts FROM g""",
+        WITH l AS (SELECT {", ".join(REGISTER)} FROM lineitem), v AS (SELECT component, quantity, bar, x, count(*) AS n, CASE WHEN bar THEN 100 * x ELSE x END AS p, CASE WHEN bar THEN 50 ELSE 0.5 END AS half FROM l GROUP BY 1, 2, 3, 4),
+        c AS (SELECT component, quantity, count(*) AS conflicts FROM v a JOIN v b USING (component, quantity) WHERE (a.p, a.bar) < (b.p, b.bar) AND CASE WHEN a.bar = b.bar THEN a.p <> b.p ELSE abs(a.p - b.p) > a.half + b.half END GROUP BY 1, 2),
+        g AS (SELECT component, quantity, CAST(sum(n) AS BIGINT) AS uses, string_agg(x || CASE WHEN bar THEN ' bar' ELSE ' kPa' END, '; ' ORDER BY x || CASE WHEN bar THEN ' bar' ELSE ' kPa' END) AS "values" FROM v GROUP BY 1, 2)
+        SELECT CASE WHEN component = '' THEN '(not named)' ELSE component END AS component, quantity, uses, "values", coalesce(conflicts, 0) AS conflicts FROM g LEFT JOIN c USING (component, quantity)""",
     "claim_state_counts": f"""
         WITH s(state, k) AS (VALUES {", ".join(f"('{s}', {i})" for i, s in enumerate(STATES))}), n AS (SELECT o_custkey, arg_max(o_orderkey % 4, o_orderkey) AS k FROM orders GROUP BY 1)
         SELECT state, count(n.k) AS n FROM s LEFT JOIN n USING (k) GROUP BY 1""",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import continuity, language, records, style
+from . import continuity, language, planted, records, style
 
-_MODULES = (language, style, records, continuity)
+_MODULES = (language, style, records, continuity, planted)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
