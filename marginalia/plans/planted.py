@@ -56,10 +56,10 @@ TALE = _joined(
 )
 
 _LF = " || chr(10) || "
-#: A song: a misspelt tag, a refrain that drifts, a line that is too long, a word in capitals.
+#: A song: a misspelt tag, one with two singers or without a voice, a refrain that drifts, a line that is too long, a word in capitals.
 SONG = _LF.join(
     [
-        "'# A song'", "''", "'> style'", "CASE WHEN k % 2 = 0 THEN '[Vrese 1]' ELSE '[Verse 1]' END", "'One line of words here now'", "'Another line of words here now'",
+        "'# A song'", "''", "'> style'", "CASE WHEN k % 2 = 0 THEN '[Vrese 1]' WHEN n % 4 = 0 THEN '[Verse 1: Ann]' WHEN n % 4 = 1 THEN '[Verse 1: Ann and Tom]' WHEN n % 4 = 2 THEN '[Verse 1: Ann, warm alto]' ELSE '[Verse 1]' END", "'One line of words here now'", "'Another line of words here now'",
         "CASE WHEN k % 3 = 0 THEN 'The third line is such a very much longer line than any of the other lines were' ELSE 'A third line of words here' END", "'A last line of words here'", "''",
         "'[Chorus]'", "'Love above the line'", "'All of it is mine'", "''", "'[Chorus]'", "'Love above the line'", "CASE WHEN n % 2 = 0 THEN 'All of it was mine' ELSE 'All of it is mine' END", "''",
         "'[Chorus]'", "'Love above the line'", "'All of it is mine'", "CASE WHEN n % 3 = 0 THEN 'HELLO there' ELSE 'Hello there' END", "''",
@@ -101,7 +101,7 @@ def fiction_checks(spark, sf_dir):
 
 def song_checks(spark, sf_dir):
     """Line lengths, refrains and the format of the songs."""
-    return _checked(derived(spark, sf_dir, SONG, type="lyrics"), "lyric_lines", "refrain", "suno")
+    return _checked(derived(spark, sf_dir, SONG, type="lyrics", cast=["Ann", "Tom"]), "lyric_lines", "refrain", "suno")
 
 
 def continuity_sweep(spark, sf_dir):
@@ -143,7 +143,9 @@ ORACLES = {
         ("lyric_lines", "'note'", "'“The third line is such a very much longer line than any of the other lines were” has 21 syllables'", "k % 3 = 0"),
         ("refrain", "'warn'", "'“All of it was mine” where others sing “all of it is mine”'", "n % 2 = 0"),
         ("suno", "'warn'", "'“vrese” may be meant as verse'", "k % 2 = 0"),
-        ("suno", "'note'", "'“HELLO” is in capitals'", "n % 3 = 0"),
+        ("suno", "'warn'", "'A tag names Ann and no voice: Verse 1: Ann'", "k % 2 = 1 AND n % 4 = 0"),
+        ("suno", "'warn'", "'More than one voice in a tag: Verse 1: Ann and Tom'", "k % 2 = 1 AND n % 4 = 1"),
+        ("suno", "'warn'", "'In capitals: HELLO'", "n % 3 = 0"),
     ),
     "continuity_sweep": _cases(
         ("contradiction", "'defect'", "'Wedding: ' || CASE k % 2 WHEN 0 THEN 'tuesday' ELSE 'friday' END || ', elsewhere ' || CASE n % 2 WHEN 0 THEN 'tuesday' ELSE 'friday' END", "k % 2 <> n % 2"),

@@ -99,7 +99,7 @@ def test_lyrics(spark):
     assert [r.k for r in key(["night", "the rain", "day", "river", "above", "love", "fire", "desire", "", "x"])] == ["ight", "ain", "ay", "er", "ove", "ove", "ire", "ire", "", "x"]
     sch = lyrics.schemes(ln).orderBy("stanza").collect()
     assert [r.scheme for r in sch][:2] == ["AAAA", "AA"]
-    assert [r.word for r in lyrics.shouted(ln).collect()] == ["HELLO"]
+    assert [r.words for r in lyrics.shouted(ln).collect()] == [["HELLO"]]
     assert lyrics.misaligned(ln).count() == 0
     assert lyrics.uneven_lines(ln).count() >= 0
     assert lyrics.odd_schemes(lyrics.schemes(ln)).count() == 0
@@ -112,6 +112,11 @@ def test_song_tags(spark):
     got = {(r.inner[:6], r.name, r.severity) for r in lyrics.broken_voices(songs, cast, record).collect()}
     assert got == {("Bridge", "Mara", "warn"), ("Verse:", "Tom", "note"), ("Verse:", "Mara", "warn"), ("Outro:", "Ann", "defect")}
     assert [(r.tag, r.guess) for r in lyrics.misspelt_tags(songs).collect()] == [("vrese", "verse")]
+    tagged = spark.createDataFrame([("t", "[Verse: Ann sings]\n[Ann, bright soprano]\n[Tom and Ann]\n[Outro: a duet]\n[Verse: Tom]")], "song string, text string")
+    assert [(r.line_no, r.name) for r in lyrics.unvoiced(tagged, ["Tom", "Ann"], {"tom": "bass"}).collect()] == [(0, "Ann")]
+    assert [r.line_no for r in lyrics.two_voices(tagged, ["Tom", "Ann"]).orderBy("line_no").collect()] == [2, 3]
+    limits = spark.createDataFrame([("t", "Before it.\n> soft\n[Verse]\nla la\n\nla (la) la"), ("u", "")], "song string, text string")
+    assert [(r.song, r.body, r.style, r.brackets) for r in lyrics.format_limits(limits).orderBy("song").collect()] == [("t", 26, 4, 1), ("u", 0, 0, 0)]
     r = lyrics.format_limits(songs, body=20, style=3).first()
     assert r.long_body and r.long_style and r.brackets == 1
     assert {tuple(r.singers) for r in lyrics.sung_by(songs, cast).collect() if len(r.singers) > 1} == {("Mara", "Tom")}
