@@ -6,7 +6,7 @@ import bisect
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -104,13 +104,18 @@ def drawn_in(r: Column) -> tuple[Column, Column]:
     return low + slack, high - slack
 
 
+#: Rows of a key that are paired up as one array.
+FEW = 64
+
+
 def apart(rows: DataFrame, key: list[str], columns: list[str], low: str = "low", high: str = "high") -> DataFrame:
     """(key, a_*, b_*): the pairs of a key's rows whose intervals lie apart; rows without an
     interval are pairs with all others of their key.
 
-    The rows are dealt by key and sorted by their lower ends; one sweep keeps the rows passed
-    in the order of their upper ends, so each row meets only those that end before it
-    begins. The work is the sort and the pairs that come out."""
+    The rows are dealt by key. Keys of up to FEW rows are paired up as arrays in Spark's own
+    expressions. The rows of larger ones are sorted by their lower ends; one sweep keeps the
+    rows passed in the order of their upper ends, so each row meets only those that end before
+    it begins. The work is the sort and the pairs that come out."""
     both = rows.schema
     fields = [f"`{c}` {both[c].dataType.simpleString()}" for c in key] + [f"`{p}_{c}` {both[c].dataType.simpleString()}" for p in "ab" for c in columns]
     struct = rows.sparkSession.range(0).select(F.from_json(F.lit("{}"), ", ".join(fields)).alias("x")).schema["x"].dataType
@@ -137,8 +142,16 @@ def apart(rows: DataFrame, key: list[str], columns: list[str], low: str = "low",
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, x, strict=True)) for x in out], schema=arrow)
 
-    d = rows.select(*key, low, high, *columns)
-    return d.repartition(*key).sortWithinPartitions(*key, F.col(low).asc_nulls_last(), *columns).mapInArrow(run, struct)
+    d = rows.select(*key, F.col(low).alias("_lo"), F.col(high).alias("_hi"), *columns)
+    d = d.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    many = d.where(F.col("_n") > FEW).drop("_n").sortWithinPartitions(*key, F.col("_lo").asc_nulls_last(), *columns).mapInArrow(run, struct)
+    # Rows without an interval come last, as the sweep has them.
+    row = F.struct(F.col("_lo").isNull().alias("_no"), "_lo", *columns, "_hi")
+    few = d.where(F.col("_n").between(2, FEW)).groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("s"))
+    before = lambda b: lambda a: F.coalesce((a["_no"] | a["_hi"].isNotNull()) & (b["_no"] | (a["_hi"] < b["_lo"])), F.lit(False))
+    both_of = lambda b: lambda a: F.struct(*[x[c].alias(f"{p}_{c}") for p, x in (("a", a), ("b", b)) for c in columns])
+    pairs = F.flatten(F.transform("s", lambda b, i: F.transform(F.filter(F.slice("s", F.lit(1), i), before(b)), both_of(b))))
+    return few.select(*key, F.inline(pairs)).unionByName(many)
 
 
 def conflicts(values: DataFrame, key: list[str], text: str = "value", unit: str = "unit") -> DataFrame:
