@@ -22,10 +22,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def evidence_quotes(spark, sf_dir):
     """The sentence around every number of three digits or more."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("start"), F.coalesce("text", F.lit("")).alias("text"))
-    places = docs.select("doc_id", F.explode(S.matches(F.col("text"), f"[^\\s{S.LETTER}.!?…]*\\d{{3}}[^\\s{S.LETTER}.!?…]*")).alias("m")).select("doc_id", F.col("m.at").alias("start"))
-    out = evidence.quoted(places, evidence.sentences(docs, ["doc_id"]), ["doc_id"])
-    return out.select("doc_id", F.col("start").cast("long").alias("start"), "quote")
+    out = evidence.around(_read(spark, sf_dir, "documents"), ["doc_id"], f"[^\\s{S.LETTER}.!?…]*\\d{{3}}[^\\s{S.LETTER}.!?…]*", "\\d{3}")
+    return out.select("doc_id", F.col("at").cast("long").alias("start"), "quote")
 
 
 def term_mentions(spark, sf_dir):
