@@ -13,6 +13,8 @@ from . import lexicons as L
 
 LETTER = "A-Za-zÀ-ɏ"
 WORD = f"[{LETTER}][{LETTER}'’\\-]*"
+#: A normalised word up to its last letter.
+KEY = f"[{LETTER}]++(?:['\\-]++[{LETTER}]++)*+"
 #: Every character belongs to exactly one match, so offsets are running lengths.
 LOSSLESS = f"[{LETTER}][{LETTER}'’\\-]*|[.!?…]+[\"'”’)\\]]*|\\n[ \\t]*\\n|\\s+|[^\\s{LETTER}.!?…]+"
 
@@ -60,8 +62,9 @@ def bare(word: Column) -> Column:
 
 
 def keys(text: Column) -> Column:
-    """Normalised words of a text, in order."""
-    return F.transform(words(normalise(text)), bare)
+    """Normalised words of a text, in order, without apostrophes and hyphens at the end: the
+    pattern leaves them out, so no word is read a second time."""
+    return F.regexp_extract_all(F.coalesce(normalise(text), F.lit("")), F.lit(KEY), F.lit(0))
 
 
 def _boundary() -> str:
@@ -185,7 +188,7 @@ def is_participle(word: Column) -> Column:
 
 
 def is_adverb(word: Column) -> Column:
-    return word.rlike("^[a-z]{2,}ly$") & ~word.isin(L.LY_KEEP)
+    return word.endswith("ly") & word.rlike("^[a-z]{2,}ly$") & ~word.isin(L.LY_KEEP)
 
 
 def is_passive(ws: Column) -> Column:

@@ -57,7 +57,7 @@ def counted(rows: DataFrame, sentences: str = "s", common: Sequence[str] = L.STO
         count(",").alias("commas"), count(";").alias("semis"), (count("[—–]") + count(" - ")).alias("dash_marks"),
         many("k", lambda w: w.isin(L.SUBORDINATORS)).alias("subordinators"), many("k", lambda w: ~w.isin(list(common))).alias("rare"),
         mattr(F.col("k")).alias("ttr"),
-        many("k", lambda w: w.rlike("^[a-z]{2,}ly$") & ~w.isin([w for w in L.LY_KEEP if w != "italy"])).alias("adverb_words"),
+        many("k", lambda w: w.endswith("ly") & w.rlike("^[a-z]{2,}ly$") & ~w.isin([w for w in L.LY_KEEP if w != "italy"])).alias("adverb_words"),
         many(sentences, lambda x: S.normalise(F.regexp_extract(x, S.WORD, 0)).isin(L.ARTICLES)).alias("articles"),
         count("(?i)(?<![\\p{L}\\p{N}_])(?:like a|like an|as if|as though|as [\\p{L}\\p{N}_]+ as)(?![\\p{L}\\p{N}_])").alias("simile_marks"),
         total(quoted).alias("quoted"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import scalar as S
 from ..operators import style
+from .leaf import leaf
 from .language import quoted, text_sql, token_sql
 
 
@@ -36,7 +37,8 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return style.nearest_group(style.fit(_docs(spark, sf_dir), "source")).select("grp", "nearest", F.round("distance", 3).alias("distance"), "alike")
+    base = leaf(style.fit(_docs(spark, sf_dir), "source"))  # both sides of the join read it
+    return style.nearest_group(base).select("grp", "nearest", F.round("distance", 3).alias("distance"), "alike")
 
 
 def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
