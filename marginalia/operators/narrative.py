@@ -294,9 +294,15 @@ def moments(passages: DataFrame) -> DataFrame:
 
     def marked(rank: int, kind: str, rx: str) -> Column:
         rx = "(?i)" + rx
-        pieces, hits = F.split("text", rx, -1), F.regexp_extract_all("text", F.lit(rx), F.lit(0))
-        ends = S.running(F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.char_length(p) + F.char_length(h)))
-        return S.let(ends, lambda e: F.zip_with(hits, e, lambda h, at: F.struct((at - F.char_length(h)).alias("at"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), h.alias("said"))))
+        none = F.array().cast("array<struct<at:int,rank:int,kind:string,said:string>>")
+
+        def placed_(hits: Column) -> Column:
+            # Most texts have no marker of a kind: those are read once and not cut.
+            ends = S.running(F.zip_with(F.slice(F.split("text", rx, -1), 1, F.size(hits)), hits, lambda p, h: F.char_length(p) + F.char_length(h)))
+            each = S.let(ends, lambda e: F.zip_with(hits, e, lambda h, at: F.struct((at - F.char_length(h)).alias("at"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), h.alias("said"))))
+            return F.when(F.size(hits) > 0, each).otherwise(none)
+
+        return S.let(F.regexp_extract_all("text", F.lit(rx), F.lit(0)), placed_)
 
     found = F.concat(*[marked(i, kind, rx) for i, (kind, rx) in enumerate(MARKS)])
     d = S.once(placed(passages).select(*PLACE, "text"), m=F.array_sort(found)).select(*PLACE, "m")
