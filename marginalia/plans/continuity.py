@@ -68,9 +68,7 @@ def _manual(k: str, n: str) -> str:
 def manuals(spark, sf_dir) -> runner.Context:
     d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("ms"), F.lit("manual.md").alias("rel"), F.lit(0).alias("file_order"), F.expr(_manual("doc_id", "n_chars")).alias("text"))
     files = leaf(d)
-    blocks = leaf(structure.blocks(files))
-    sections = leaf(structure.sections(blocks))
-    return runner.Context(leaf(structure.located(blocks, sections)), sections, files=files)
+    return runner.context(files, files=files)
 
 
 def manual_checks(spark, sf_dir):

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..operators import structure
 from . import runner
 from .leaf import leaf
 
@@ -71,9 +70,7 @@ def derived(spark, sf_dir: str, text: str, **more) -> runner.Context:
     """A manuscript of one file for every document, made of its id and length."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("k"), F.coalesce("n_chars", F.lit(0)).alias("n"))
     files = leaf(d.select(F.col("k").cast("string").alias("ms"), F.lit("text.md").alias("rel"), F.lit(0).alias("file_order"), F.expr(text).alias("text")))
-    blocks = leaf(structure.blocks(files))
-    sections = leaf(structure.sections(blocks))
-    return runner.Context(leaf(structure.located(blocks, sections)), sections, files=files, **more)
+    return runner.context(files, files=files, **more)
 
 
 def _found(findings: DataFrame) -> DataFrame:
