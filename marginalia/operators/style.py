@@ -19,14 +19,20 @@ NEEDS_SENTENCES = {"sentence_spread": 3, "article_openings": 3, "subordination":
 NEEDS_WORDS = {"ttr": 50}
 
 
+def _cut(sentences: str, words: Column, size: int) -> Column:
+    """The windows of an array of sentences."""
+    s = F.col(sentences)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / size).cast("int")), lambda k: F.slice(s, k * size + 1, size))
+    kept = F.when(F.size(s) > 0, F.filter(cut, lambda x: F.size(x) >= size // 2))
+    return S.let(kept, lambda k: F.when(F.size(k) > 0, k).when((F.size(s) > 0) & (words >= 20), F.array(s)))
+
+
 def windows(docs: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
     """docs with window_id and the window's sentences; a tail under half a window is left
     out, and a text without a window is one itself from 20 words on."""
     rest = [c for c in docs.columns if c != text_col]
-    d = S.once(docs, _s=S.sentences(F.col(text_col)), _n=F.size(S.words(F.col(text_col))))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / size).cast("int")), lambda k: F.slice("_s", k * size + 1, size))
-    kept = F.when(F.size("_s") > 0, F.filter(cut, lambda x: F.size(x) >= size // 2))
-    d = S.once(d.select(*rest, "_s", "_n", kept.alias("_k")), _w=F.when(F.size("_k") > 0, F.col("_k")).when((F.size("_s") > 0) & (F.col("_n") >= 20), F.array("_s")))
+    d = S.once(docs, _s=S.sentences(F.col(text_col)))
+    d = S.once(d, _w=_cut("_s", F.size(S.words(F.col(text_col))), size))
     return d.select(*rest, F.posexplode_outer("_w").alias("window_id", "s")).where("s is not null")
 
 
@@ -39,27 +45,50 @@ def mattr(keys: Column, width: int = 50) -> Column:
     return F.when(n == 0, 0.0).when(n <= width, F.size(F.array_distinct(keys)) / n).otherwise(total / width / F.size(each))
 
 
+def read(sentences: Column, common: Sequence[str] = L.STOPWORDS) -> Column:
+    """array<struct>: each sentence with its words and what can be summed up over sentences, so
+    that no word is read again for the windows and the text that its sentence stands in."""
+    many = lambda a, f: F.size(F.filter(a, f))
+    less = lambda x, c: F.char_length(x) - F.char_length(F.replace(x, F.lit(c), F.lit("")))
+    adverb = lambda w: w.endswith("ly") & w.rlike("^[a-z]{2,}ly$") & ~w.isin([w for w in L.LY_KEEP if w != "italy"])
+
+    # Each ASCII word is one key.
+    number = lambda x, k: F.when(F.octet_length(x) == F.char_length(x), F.size(k)).otherwise(F.regexp_count(x, F.lit(S.WORD)))
+
+    def one(x: Column) -> Column:
+        return S.let(
+            S.keys(x),
+            lambda k: F.struct(
+                x.alias("said"), k.alias("k"), number(x, k).alias("n"), S.normalise(F.regexp_extract(x, S.WORD, 0)).isin(L.ARTICLES).cast("int").alias("article"),
+                many(k, lambda w: w.isin(L.SUBORDINATORS)).alias("subordinators"), many(k, lambda w: ~w.isin(list(common))).alias("rare"), many(k, adverb).alias("adverbs"),
+                less(x, ",").alias("commas"), less(x, ";").alias("semis"), (less(x, "—") + less(x, "–")).alias("dashes"),
+            ),
+        )
+
+    return F.transform(sentences, one)
+
+
 def counted(rows: DataFrame, sentences: str = "s", common: Sequence[str] = L.STOPWORDS) -> DataFrame:
-    """Integer counts behind the metrics, for an array of sentences; over 4 words only."""
+    """Integer counts behind the metrics, for an array of sentences, as texts or as `read` has
+    them; over 4 words only."""
     rest = [c for c in rows.columns if c != sentences]
-    text = F.array_join(sentences, " ")
-    said = F.filter(F.transform(sentences, lambda x: F.size(S.words(x))), lambda n: n > 0)
-    rows = S.once(rows, _t=text, k=S.keys(text), v=said).where(F.size("k") >= 5)
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda x, y: x + y * y)
-    count = lambda rx: F.regexp_count("_t", F.lit(rx)).cast("long")
-    many = lambda a, f: F.size(F.filter(a, f)).cast("long")
-    quoted = F.transform(F.regexp_extract_all("_t", F.lit("[\"“]([^\"“”]{2,600}?)[\"”]"), F.lit(1)), lambda q: F.size(S.words(q)))
+    if rows.schema[sentences].dataType.elementType.typeName() == "string":
+        rows = S.once(rows, **{sentences: read(F.col(sentences), common)})
+    rows = S.once(rows, _t=F.array_join(F.transform(sentences, lambda x: x["said"]), " "), k=F.flatten(F.transform(sentences, lambda x: x["k"]))).where(F.size("k") >= 5)
+    total = lambda a, of=lambda x: x: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + of(x))
+    every = lambda c: total(sentences, lambda x: x[c])
+    quoted = F.transform(F.regexp_extract_all("_t", F.lit("[\"“]([^\"“”]{2,600}?)[\"”]"), F.lit(1)), lambda q: F.regexp_count(q, F.lit(S.WORD)))
+    spaced = (F.char_length("_t") - F.char_length(F.replace("_t", F.lit(" - "), F.lit("")))) / 3
     return rows.select(
         *rest,
-        F.size("k").cast("long").alias("words"), F.size("v").cast("long").alias("sentences"), F.size(sentences).cast("long").alias("spans"),
-        total("v").alias("in_sentences"), square.alias("squares"),
-        count(",").alias("commas"), count(";").alias("semis"), (count("[—–]") + count(" - ")).alias("dash_marks"),
-        many("k", lambda w: w.isin(L.SUBORDINATORS)).alias("subordinators"), many("k", lambda w: ~w.isin(list(common))).alias("rare"),
+        F.size("k").cast("long").alias("words"), F.size(F.filter(sentences, lambda x: x["n"] > 0)).cast("long").alias("sentences"), F.size(sentences).cast("long").alias("spans"),
+        every("n").alias("in_sentences"), total(sentences, lambda x: x["n"] * x["n"]).alias("squares"),
+        every("commas").alias("commas"), every("semis").alias("semis"), (every("dashes") + spaced.cast("long")).alias("dash_marks"),
+        every("subordinators").alias("subordinators"), every("rare").alias("rare"),
         mattr(F.col("k")).alias("ttr"),
-        many("k", lambda w: w.endswith("ly") & w.rlike("^[a-z]{2,}ly$") & ~w.isin([w for w in L.LY_KEEP if w != "italy"])).alias("adverb_words"),
-        many(sentences, lambda x: S.normalise(F.regexp_extract(x, S.WORD, 0)).isin(L.ARTICLES)).alias("articles"),
-        count("(?i)(?<![\\p{L}\\p{N}_])(?:like a|like an|as if|as though|as [\\p{L}\\p{N}_]+ as)(?![\\p{L}\\p{N}_])").alias("simile_marks"),
+        every("adverbs").alias("adverb_words"), every("article").alias("articles"),
+        # The first letter is looked at before what stands around it.
+        F.regexp_count("_t", F.lit("(?i)(?=[la])(?<![\\p{L}\\p{N}_])(?:like a|like an|as if|as though|as [\\p{L}\\p{N}_]+ as)(?![\\p{L}\\p{N}_])")).cast("long").alias("simile_marks"),
         total(quoted).alias("quoted"),
     )
 
@@ -87,17 +116,37 @@ def long_form(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
 def fit(docs: DataFrame, group: str | None = None, id_col: str = "doc_id", text_col: str = "text", common: Sequence[str] = L.STOPWORDS) -> DataFrame:
     """Baseline: (grp, metric, mean, sd, windows) over the windows of a group's documents."""
     grp = F.col(group).cast("string") if group else F.lit("all")
-    rows = measured(counted(windows(docs.select(grp.alias("grp"), F.col(text_col).alias("text")), id_col, "text"), common=common))
+    return baseline(measured(counted(windows(docs.select(grp.alias("grp"), F.col(text_col).alias("text")), id_col, "text"), common=common)))
+
+
+def baseline(rows: DataFrame) -> DataFrame:
+    """The baseline of measured windows (grp and the metrics)."""
     return long_form(rows, ["grp"]).groupBy("grp", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("*").alias("windows"))
 
 
+def profiled(docs: DataFrame, group: str | None = None, id_col: str = "doc_id", text_col: str = "text", common: Sequence[str] = L.STOPWORDS, size: int = WINDOW) -> DataFrame:
+    """(id, grp, whole, words, sentences, the metrics): a row for each window of a text and one
+    for the whole of it. A text's sentences and words are read once for all of them."""
+    grp = F.col(group).cast("string") if group else F.lit("all")
+    d = S.once(docs.select(F.col(id_col).alias("id"), grp.alias("grp"), F.col(text_col).alias("text")), _s=read(S.sentences(F.col("text")), common)).drop("text")
+    words = F.aggregate("_s", F.lit(0), lambda a, x: a + x["n"])
+    d = S.once(d, _w=F.coalesce(_cut("_s", words, size), F.slice(F.array("_s"), 1, 0)))
+    row = lambda whole: lambda s: F.struct(F.lit(whole).alias("whole"), s.alias("s"))
+    return measured(counted(d.select("id", "grp", F.inline(F.concat(F.transform("_w", row(False)), F.array(row(True)(F.col("_s")))))), common=common))
+
+
 def score(docs: DataFrame, baseline: DataFrame, group: str | None = None, id_col: str = "doc_id", text_col: str = "text", common: Sequence[str] = L.STOPWORDS) -> DataFrame:
     """(id, metric, baseline, value, z): how far each whole text is from its group's baseline.
 
     A baseline has twelve rows per group, far fewer than documents; Spark picks the join."""
     grp = F.col(group).cast("string") if group else F.lit("all")
     whole = S.once(docs.select(F.col(id_col).alias("id"), grp.alias("grp"), F.col(text_col).alias("text")), s=S.sentences(F.col("text"))).drop("text")
-    rows = long_form(measured(counted(whole, common=common)), ["id", "grp", "words", "sentences"]).join(baseline, ["grp", "metric"])
+    return scored(measured(counted(whole, common=common)), baseline, id_col)
+
+
+def scored(whole: DataFrame, baseline: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The scores of measured whole texts (id, grp, words, sentences and the metrics)."""
+    rows = long_form(whole, ["id", "grp", "words", "sentences"]).join(baseline, ["grp", "metric"])
     need = lambda table, c: F.coalesce(*[F.when(F.col("metric") == m, F.col(c) >= n) for m, n in table.items()], F.lit(True))
     rows = rows.where(need(NEEDS_SENTENCES, "sentences") & need(NEEDS_WORDS, "words"))
     base, value, sd = F.col("mean"), F.col("value"), F.coalesce("sd", F.lit(0.0))

@@ -31,9 +31,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against its source's baseline."""
-    docs = _docs(spark, sf_dir)
-    return style.drift(style.score(docs, style.fit(docs, "source"), "source")).select("doc_id", F.round("drift", 2).alias("drift"), "notable", "metrics")
+    """Each document against its source's baseline. Windows and texts are measured in one
+    pass and written: the baseline and the scores both read them."""
+    rows = leaf(style.profiled(_docs(spark, sf_dir), "source"))
+    return style.drift(style.scored(rows.where("whole"), style.baseline(rows.where("not whole")))).select("doc_id", F.round("drift", 2).alias("drift"), "notable", "metrics")
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
