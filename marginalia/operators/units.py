@@ -147,11 +147,13 @@ def apart(rows: DataFrame, key: list[str], columns: list[str], low: str = "low",
     many = d.where(F.col("_n") > FEW).drop("_n").sortWithinPartitions(*key, F.col("_lo").asc_nulls_last(), *columns).mapInArrow(run, struct)
     # Rows without an interval come last, as the sweep has them.
     row = F.struct(F.col("_lo").isNull().alias("_no"), "_lo", *columns, "_hi")
-    few = d.where(F.col("_n").between(2, FEW)).groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("s"))
-    before = lambda b: lambda a: F.coalesce((a["_no"] | a["_hi"].isNotNull()) & (b["_no"] | (a["_hi"] < b["_lo"])), F.lit(False))
-    both_of = lambda b: lambda a: F.struct(*[x[c].alias(f"{p}_{c}") for p, x in (("a", a), ("b", b)) for c in columns])
-    pairs = F.flatten(F.transform("s", lambda b, i: F.transform(F.filter(F.slice("s", F.lit(1), i), before(b)), both_of(b))))
-    return few.select(*key, F.inline(pairs)).unionByName(many)
+    few = d.where(F.col("_n").between(2, FEW)).groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("_s"))
+    # Each row of the array beside those before it, as rows: compiled code, where functions over arrays are interpreted.
+    each = few.select(*key, "_s", F.posexplode("_s").alias("_i", "_b"))
+    each = each.select(*key, "_b", F.explode(F.slice("_s", F.lit(1), F.col("_i"))).alias("_a"))
+    before = (F.col("_a._no") | F.col("_a._hi").isNotNull()) & (F.col("_b._no") | (F.col("_a._hi") < F.col("_b._lo")))
+    pairs = each.where(F.coalesce(before, F.lit(False)))
+    return pairs.select(*key, *[F.col(f"_{p}.`{c}`").alias(f"{p}_{c}") for p in "ab" for c in columns]).unionByName(many)
 
 
 def conflicts(values: DataFrame, key: list[str], text: str = "value", unit: str = "unit") -> DataFrame:
