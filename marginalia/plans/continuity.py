@@ -79,17 +79,21 @@ def manual_checks(spark, sf_dir):
     return report.findings.select(F.col("ms").cast("long").alias("doc_id"), "check", "severity", "title", F.coalesce("quote", F.lit("")).alias("quote"))
 
 
+def _claims(ctx: runner.Context, read) -> DataFrame:
+    """What read() finds in the paragraphs. The order of sections is looked up for that, so no text is shuffled."""
+    p = structure.paragraphs(ctx.located).select("ms", "rel", "section_id", F.lit(0).alias("ord"), "start", F.col("prose").alias("text"))
+    return read(p).drop("ord").join(ctx.sections.select(F.col("id").alias("section_id"), "ord"), "section_id")
+
+
 def manual_claims(spark, sf_dir):
     """What the manuals measure, of what."""
-    ctx = manuals(spark, sf_dir)
-    c = narrative.numeric_claims(structure.passages(ctx.located, ctx.sections))
+    c = _claims(manuals(spark, sf_dir), narrative.numeric_claims)
     return c.select(F.col("ms").cast("long").alias("doc_id"), "ord", "subject", "predicate", "value", "unit")
 
 
 def manual_contradictions(spark, sf_dir):
     """The claims of the manuals that can't both hold."""
-    ctx = manuals(spark, sf_dir)
-    c = leaf(narrative.claims(structure.passages(ctx.located, ctx.sections)))
+    c = leaf(_claims(manuals(spark, sf_dir), narrative.claims))
     p = narrative.contradictions(c)
     return p.select(F.col("ms").cast("long").alias("doc_id"), "key", "a_value", F.col("a_u").alias("a_unit"), "b_value", F.col("b_u").alias("b_unit"), F.col("a_mentions").cast("long").alias("a_mentions"), "certain")
 
