@@ -58,8 +58,10 @@ def definitions(located: DataFrame) -> DataFrame:
 
 def undefined_terms(located: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Project terms that are used and never defined, or used before their definition."""
-    t = located.sparkSession.createDataFrame([(x, phrase(x)) for x in terms], "term string, rx string").withColumn("key", S.term_key(F.col("term")))
-    use = _prose(located).join(F.broadcast(t)).where(F.expr("prose RLIKE concat('(?i)', rx)"))  # a project's term list
+    # A project's term list is short and part of the plan, so no job has to send it out.
+    used = [F.when(F.col("prose").rlike(f"(?i){phrase(x)}"), F.struct(F.lit(x).alias("term"), S.term_key(F.lit(x)).alias("key"))) for x in terms]
+    none = F.array().cast("array<struct<term:string,key:string>>")
+    use = _prose(located).select("ms", "section_id", "file_order", "start", F.inline(F.array_compact(F.array(*used)) if used else none)).where(F.lit(bool(used)))
     at = F.struct("file_order", "start")
     first = use.groupBy("ms", "term", "key").agg(F.min(at).alias("used"), F.min_by("section_id", at).alias("section_id"), F.count("*").alias("blocks"))
     d = definitions(located).join(located.select("ms", "rel", "file_order").distinct(), ["ms", "rel"]).groupBy("ms", "key").agg(F.min(at).alias("defined"))
@@ -73,10 +75,12 @@ def acronyms(located: DataFrame, least: int = 2) -> DataFrame:
     An expansion stands before the brackets or inside them: "Anti Lock (AL)", "AL (anti lock)"."""
     rx = craft.ACRONYM
     b = _prose(located).select("ms", "section_id", "file_order", "start", "prose")
-    # The ends of the text before a match and the start of the text after it hold its expansion.
-    pieces, hits = F.split("prose", rx, -1), F.regexp_extract_all("prose", F.lit(rx), F.lit(0))
-    near = F.transform(hits, lambda h, i: F.struct(h.alias("acronym"), F.right(F.get(pieces, i), F.lit(90)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(90)).alias("after"), i.alias("i"), F.get(F.col("_at"), i)["at"].alias("off")))
-    b = b.withColumn("_at", S.matches(F.col("prose"), rx)).where(F.size("_at") > 0)
+    # The ends of the text before a match and the start of the text after it hold its expansion. The
+    # pieces between matches and their places are made once for a block, not again for each match.
+    b = S.once(b, _hits=F.regexp_extract_all("prose", F.lit(rx), F.lit(0))).where(F.size("_hits") > 0)
+    b = S.once(b, _pieces=S.between(F.col("prose"), rx)).drop("prose")
+    b = S.once(b, _ends=S.running(F.zip_with(F.slice("_pieces", F.lit(1), F.size("_hits")), "_hits", lambda p, h: F.char_length(p) + F.char_length(h))))
+    near = F.transform("_hits", lambda h, i: F.struct(h.alias("acronym"), F.right(F.get("_pieces", i), F.lit(90)).alias("before"), F.left(F.get("_pieces", i + 1), F.lit(90)).alias("after"), i.alias("i"), (F.get("_ends", i) - F.char_length(h)).alias("off")))
     u = b.select("ms", "section_id", "file_order", "start", F.explode(near).alias("x")).select("ms", "section_id", "file_order", "start", "x.*").where(~F.col("acronym").isin(L.ACRONYM_SKIP))
     n = F.length("acronym")
     inside = F.regexp_extract("after", "^\\s*\\(([^)]{2,80})\\)", 1)
