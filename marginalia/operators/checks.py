@@ -61,7 +61,7 @@ def undefined_terms(located: DataFrame, terms: Sequence[str]) -> DataFrame:
     # A project's term list is short and part of the plan, so no job has to send it out.
     used = [F.when(F.col("prose").rlike(f"(?i){phrase(x)}"), F.struct(F.lit(x).alias("term"), S.term_key(F.lit(x)).alias("key"))) for x in terms]
     none = F.array().cast("array<struct<term:string,key:string>>")
-    use = _prose(located).select("ms", "section_id", "file_order", "start", F.inline(F.array_compact(F.array(*used)) if used else none)).where(F.lit(bool(used)))
+    use = _prose(located).select("ms", "section_id", "file_order", "start", F.inline(F.array_compact(F.array(*used)) if used else none))
     at = F.struct("file_order", "start")
     first = use.groupBy("ms", "term", "key").agg(F.min(at).alias("used"), F.min_by("section_id", at).alias("section_id"), F.count("*").alias("blocks"))
     d = definitions(located).join(located.select("ms", "rel", "file_order").distinct(), ["ms", "rel"]).groupBy("ms", "key").agg(F.min(at).alias("defined"))
@@ -106,7 +106,8 @@ def long_steps(located: DataFrame, warn: int = 30, defect: int = 40) -> DataFram
 
 def pacing(sections: DataFrame, least: int = 4) -> DataFrame:
     """Chapters over 2.2 times or under 0.35 times the median of all; none for fewer than four."""
-    words = sections.join(roots(sections), "id").groupBy("ms", "root").agg(F.sum("words").alias("words"), F.min("file_order").alias("file_order"), F.min("start").alias("start"))
+    s = sections.withColumnRenamed("root_id", "root") if "root_id" in sections.columns else sections.join(roots(sections), "id")
+    words = s.groupBy("ms", "root").agg(F.sum("words").alias("words"), F.min("file_order").alias("file_order"), F.min("start").alias("start"))
     mid = words.groupBy("ms").agg(F.percentile("words", 0.5).alias("median"), F.count("*").alias("chapters"))
     out = words.join(mid, "ms").where(F.col("chapters") >= least)
     kind = F.when(F.col("words") > 2.2 * F.col("median"), "long").when((F.col("words") < 0.35 * F.col("median")) & (F.col("words") > 0), "short")
@@ -114,53 +115,74 @@ def pacing(sections: DataFrame, least: int = 4) -> DataFrame:
 
 
 def dialogue_shares(located: DataFrame, sections: DataFrame, least: int = 100, apart: float = 0.30) -> DataFrame:
-    """Chapters of 100 words and more with the share of their words in quotes, their manuscript's share, and whether they are far from it."""
-    top = sections.where("parent_id is null").select(F.col("id").alias("section_id"))
-    d = section_texts(located).join(top, "section_id", "left_semi")
+    """Chapters of 100 words and more with the share of their words in quotes, their manuscript's share, and whether they are far from it. located: or `whole`."""
+    d = section_texts(located)
+    if "top" in d.columns:
+        d = d.where("top")
+    else:
+        d = S.once(d, words=F.size(S.words(F.col("text")))).join(sections.where("parent_id is null").select(F.col("id").alias("section_id")), "section_id", "left_semi")
     q = F.aggregate(F.transform(craft.quoted(F.col("text")), lambda x: F.size(S.words(x))), F.lit(0), lambda a, b: a + b)
-    d = S.once(d, words=F.size(S.words(F.col("text"))), quoted=q).where(F.col("words") >= least)
-    every = d.groupBy("ms").agg((F.sum("quoted") / F.sum("words")).alias("overall"))
+    # Counted where the text is; only counts are shuffled.
+    d = S.once(d.where(F.col("words") >= least), quoted=q).drop("text")
+    d = d.withColumn("overall", F.sum("quoted").over(Window.partitionBy("ms")) / F.sum("words").over(Window.partitionBy("ms")))
     share = F.round(F.col("quoted") / F.col("words"), 3)
-    return d.join(every, "ms").select("ms", "section_id", "file_order", "start", "words", "quoted", share.alias("share"), "overall", (F.abs(share - F.col("overall")) > apart).alias("apart"))
+    return d.select("ms", "section_id", "file_order", "start", "words", "quoted", share.alias("share"), "overall", (F.abs(share - F.col("overall")) > apart).alias("apart"))
 
 
 #: Fixed value: the word after a closing quote, and an adverb after that.
 TAG_VERB = "[\"”'’]\\s*,?\\s*(?:[A-Z][a-z]+\\s+)?([a-z]{3,15})(ed|s)?\\b(\\s+[\\p{L}\\p{N}_]+ly)?"
 
 
-def tag_verbs(located: DataFrame, common: Sequence[str] = L.STOPWORDS) -> DataFrame:
-    """(ms, verb, adverb, file_order, start): verbs after a closing quote. Common words count if they are "said" words or have the form of a verb."""
+def _tags(located: DataFrame, common: Sequence[str] = L.STOPWORDS) -> DataFrame:
+    """(ms, section_id, file_order, start, tags): of each block the verbs after a closing quote, with
+    their adverbs. Common words count if they are "said" words or have the form of a verb."""
     hits = F.regexp_extract_all("prose", F.lit(TAG_VERB), F.lit(0))
-    v = _prose(located).select("ms", "section_id", "file_order", "start", F.explode(hits).alias("h"))
-    v = v.select("ms", "section_id", "file_order", "start", S.normalise(F.concat(F.regexp_extract("h", TAG_VERB, 1), F.regexp_extract("h", TAG_VERB, 2))).alias("verb"), F.trim(F.regexp_extract("h", TAG_VERB, 3)).alias("adverb"))
-    said = F.col("verb").isin(L.SAID)
-    return v.where(said | F.col("verb").rlike("(ed|s)$") | ~F.col("verb").isin([*L.STOPWORDS, *common]))
+    marked = F.contains("prose", F.lit('"')) | F.contains("prose", F.lit("”")) | F.contains("prose", F.lit("'")) | F.contains("prose", F.lit("’"))
+    own = F.transform(hits, lambda h: F.struct(S.normalise(F.concat(F.regexp_extract(h, TAG_VERB, 1), F.regexp_extract(h, TAG_VERB, 2))).alias("verb"), F.trim(F.regexp_extract(h, TAG_VERB, 3)).alias("adverb")))
+    kept = F.filter(own, lambda t: t["verb"].isin(L.SAID) | t["verb"].rlike("(ed|s)$") | ~t["verb"].isin([*L.STOPWORDS, *common]))
+    return S.once(_prose(located).where(marked), tags=kept).where(F.size("tags") > 0).select("ms", "section_id", "file_order", "start", "tags")
+
+
+def tag_verbs(located: DataFrame, common: Sequence[str] = L.STOPWORDS) -> DataFrame:
+    """(ms, section_id, file_order, start, verb, adverb): a row for each of `_tags`."""
+    return _tags(located, common).select("ms", "section_id", "file_order", "start", F.inline("tags"))
 
 
 def dialogue_tags(located: DataFrame, least: int = 20, common: Sequence[str] = L.STOPWORDS) -> DataFrame:
     """Verbs after a closing quote, with their uses, whether they are plain "said" words, and whether another one is frequent; none under 20 tags."""
-    n = tag_verbs(located, common).groupBy("ms", "verb").agg(F.count("*").alias("uses"), F.min(F.struct("file_order", "start")).alias("at"))
-    total = n.groupBy("ms").agg(F.sum("uses").alias("total"), F.sum(F.when(F.col("verb").isin(L.SAID), F.col("uses")).otherwise(0)).alias("said"))
-    plain = F.col("verb").isin(L.SAID)
-    d = n.join(total, "ms").where(F.col("total") >= least)
+    # Equal verbs of a block leave it as one row.
+    verbs = S.once(_tags(located, common), verbs=F.transform("tags", lambda t: t["verb"]))
+    each = F.transform(F.array_distinct("verbs"), lambda v: F.struct(v.alias("verb"), F.size(F.filter("verbs", lambda w: w == v)).alias("n")))
+    n = verbs.select("ms", "file_order", "start", F.inline(each)).groupBy("ms", "verb").agg(F.sum("n").alias("uses"), F.min(F.struct("file_order", "start")).alias("at"))
+    plain, of_ms = F.col("verb").isin(L.SAID), Window.partitionBy("ms")
+    d = n.withColumns({"total": F.sum("uses").over(of_ms), "said": F.sum(F.when(plain, F.col("uses")).otherwise(0)).over(of_ms)}).where(F.col("total") >= least)
     return d.select("ms", "verb", "uses", plain.alias("plain"), (~plain & (F.col("uses") >= F.greatest(F.lit(4), F.floor(F.col("total") / 25)))).alias("frequent"), (F.col("said") / F.col("total")).alias("said_share"), F.col("at.file_order").alias("file_order"), F.col("at.start").alias("start"))
 
 
 def adverbial_tags(located: DataFrame, least: int = 4) -> DataFrame:
     """(ms, tags): manuscripts with four and more tag verbs that carry an adverb."""
-    d = tag_verbs(located).where("adverb <> ''").groupBy("ms").agg(F.count("*").alias("tags"), F.min(F.struct("file_order", "start")).alias("at"))
+    d = S.once(_tags(located), n=F.size(F.filter("tags", lambda t: t["adverb"] != ""))).where("n > 0")
+    d = d.groupBy("ms").agg(F.sum("n").alias("tags"), F.min(F.struct("file_order", "start")).alias("at"))
     return d.where(F.col("tags") >= least).select("ms", "tags", "at.*")
 
 
 def points_of_view(located: DataFrame, names: Sequence[str], least: int = 150) -> DataFrame:
-    """Scenes of 150 words and more in which two heads are looked into: holders of interior verbs, twice each."""
+    """Scenes of 150 words and more in which two heads are looked into: holders of interior verbs, twice each. located: or `whole`."""
     who = "|".join([*map(phrase_body, names), "he", "she", "they", "i"])
     rx = f"(?i)\\b({who})\\s+({'|'.join(L.INTERIOR)})\\b"
+    seen = lambda prose: F.transform(F.regexp_extract_all(prose, F.lit(rx), F.lit(1)), F.lower)
+    if "parts" in located.columns:
+        # No scene of a section has two heads if the whole section hasn't: most are done with in the file's row.
+        heads = lambda p: F.size(F.array_distinct(F.flatten(F.transform(F.filter(p["blocks"], lambda b: b["kind"].isin(*PROSE)), lambda b: seen(b["prose"])))))
+        located = S.once(located, parts=F.filter("parts", lambda p: heads(p) >= 2)).where(F.size("parts") > 0)
     p = scene_blocks(located)
     by = ["ms", "section_id", "scene"]
-    size = p.groupBy(*by).agg(F.sum(F.size(S.words(F.col("prose")))).alias("words"), F.min("file_order").alias("file_order"), F.min("start").alias("start")).where(F.col("words") >= least)
-    h = p.select(*by, F.explode(F.regexp_extract_all("prose", F.lit(rx), F.lit(1))).alias("who")).groupBy(*by, F.lower("who").alias("who")).agg(F.count("*").alias("n")).where("n >= 2")
-    return h.join(size, by).groupBy(*by, "file_order", "start").agg(F.sort_array(F.collect_set("who")).alias("holders")).where(F.size("holders") >= 2)
+    words = F.col("words") if "words" in p.columns else F.size(S.words(F.col("prose")))
+    # Of each block only its counts leave its row: its words, and the uses of each head.
+    b = p.select(*by, "file_order", "start", words.alias("words"), seen(F.col("prose")).alias("who"))
+    g = b.groupBy(*by).agg(F.sum("words").alias("words"), F.min("file_order").alias("file_order"), F.min("start").alias("start"), F.flatten(F.collect_list("who")).alias("who")).where(F.col("words") >= least)
+    twice = F.filter(F.array_distinct("who"), lambda w: F.size(F.filter("who", lambda x: x == w)) >= 2)
+    return S.once(g, holders=F.sort_array(twice)).where(F.size("holders") >= 2).select(*by, "file_order", "start", "holders")
 
 
 def phrase_body(name: str) -> str:
@@ -171,9 +193,10 @@ def mentions(located: DataFrame, sections: DataFrame, names: Sequence[str]) -> D
     """(ms, name, chapter, n): whole-word mentions per chapter, for presence and threads."""
     order = sections.where("parent_id is null").select(F.col("id").alias("root"), (F.row_number().over(Window.partitionBy("ms").orderBy("ord")) - 1).alias("chapter"))
     at = roots(sections).join(order, "root").select(F.col("id").alias("section_id"), "chapter")
-    rows = _prose(located).join(at, "section_id").select("ms", "chapter", F.col("prose").alias("text"))
-    hits = terms.found(rows, terms.of_all(rows, names))
-    return hits.groupBy("ms", F.col("term").alias("name"), "chapter").agg(F.count("*").alias("n"))
+    rows = _prose(located).select("ms", "section_id", F.col("prose").alias("text"))
+    # Counted by section before chapters are looked up, so that no text is shuffled.
+    hits = terms.found_all(rows, names).groupBy("ms", "section_id", F.col("term").alias("name")).agg(F.count("*").alias("n"))
+    return hits.join(at, "section_id").groupBy("ms", "name", "chapter").agg(F.sum("n").alias("n"))
 
 
 def presence(located: DataFrame, sections: DataFrame, names: Sequence[str], least: int = 6, gap: int | None = None) -> DataFrame:

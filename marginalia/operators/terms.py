@@ -6,6 +6,7 @@ the texts that follow; a text is read once, whatever the number of terms."""
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,8 +56,22 @@ def found(texts: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     names: ms, name; the few terms of each manuscript go to its texts as one array, which
     is one join on ms. A place is in code points from the text's start."""
     each = names.groupBy("ms").agg(F.sort_array(F.collect_set("name")).alias("_names"))
-    kept = [c for c in texts.columns if c != text]
-    rows = texts.where(F.length(text) > 0).join(each, "ms")
+    return _places(texts.where(F.length(text) > 0).join(each, "ms"), [c for c in texts.columns if c != text], text)
+
+
+def found_all(texts: DataFrame, names: Sequence[str], text: str = "text") -> DataFrame:
+    """`found` with one list of terms for all manuscripts, which goes to the texts with the plan."""
+    listed = sorted({n for n in names if n.strip()})
+    rows = texts.where((F.length(text) > 0) & F.lit(bool(listed)))
+    if all(map(str.isascii, listed)):
+        # Texts of ASCII alone that have none of the terms need not be looked through.
+        some = [F.contains(F.lower(text), F.lit(n.strip().lower())) for n in listed]
+        rows = rows.where(reduce(lambda a, b: a | b, some, F.octet_length(text) != F.char_length(text)))
+    return _places(rows.withColumn("_names", F.array(*map(F.lit, listed)).cast("array<string>")), [c for c in texts.columns if c != text], text)
+
+
+def _places(rows: DataFrame, kept: list[str], text: str) -> DataFrame:
+    """The places of a row's `_names` in its text."""
     struct = rows.select(*kept, F.lit("").alias("term"), F.lit(0).alias("from"), F.lit(0).alias("to")).schema
     arrow = to_arrow_schema(struct)
 
