@@ -214,17 +214,18 @@ def presence(located: DataFrame, sections: DataFrame, names: Sequence[str], leas
 
 def unit_spellings(located: DataFrame, least: int = 4) -> DataFrame:
     """Units of one meaning that are written in several ways."""
-    q = _prose(located).select("ms", F.explode(units.measures(F.col("prose"))).alias("q")).select("ms", "q.unit", "q.dimension", units.factor(F.col("q.unit")).alias("factor"))
+    q = _prose(located).where(F.col("prose").rlike("\\d")).select("ms", F.explode(units.measures(F.col("prose"))).alias("q")).select("ms", "q.unit", "q.dimension", units.factor(F.col("q.unit")).alias("factor"))
     g = q.where("dimension is not null").groupBy("ms", "dimension", "factor", "unit").agg(F.count("*").alias("n")).groupBy("ms", "dimension", "factor").agg(F.sort_array(F.collect_set("unit")).alias("units"), F.sum("n").alias("uses"))
     return g.where((F.size("units") >= 2) & (F.col("uses") >= least) & (F.col("dimension") != "temperature"))
 
 
 def mixed_thousands(located: DataFrame) -> DataFrame:
     """(ms, grouped, plain): manuscripts that write numbers over 999 with and without a separator."""
-    values = F.transform(units.measures(F.col("prose")), lambda q: q["value"])
-    grouped = F.size(F.filter(values, lambda v: v.contains(",")))
-    plain = F.size(F.filter(values, lambda v: v.rlike("^[-−]?\\d{4,}") & ~v.contains(",")))
-    d = _prose(located).select("ms", grouped.alias("grouped"), plain.alias("plain")).groupBy("ms").agg(F.sum("grouped").alias("grouped"), F.sum("plain").alias("plain"))
+    # A block without digits has no numbers; those of the others are read once.
+    rows = S.once(_prose(located).where(F.col("prose").rlike("\\d")), _values=F.transform(units.measures(F.col("prose")), lambda q: q["value"]))
+    grouped = F.size(F.filter("_values", lambda v: v.contains(",")))
+    plain = F.size(F.filter("_values", lambda v: v.rlike("^[-−]?\\d{4,}") & ~v.contains(",")))
+    d = rows.select("ms", grouped.alias("grouped"), plain.alias("plain")).groupBy("ms").agg(F.sum("grouped").alias("grouped"), F.sum("plain").alias("plain"))
     return d.where("grouped > 0 and plain > 0")
 
 
